@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from culprit.functions.regex import SPACE, SPACE_NO_NEWLINE, jvm
+from culprit.functions.regex import ODD_SPACE, SPACE, jvm
 
 # --- fixed values: masks of the log canonicaliser, applied in this order ----------------
 ANSI_ESCAPE = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
@@ -87,9 +87,13 @@ TRUNCATION_MARK = "\n...[truncated]"
 # --- end of fixed values -----------------------------------------------------------------
 
 
+# First characters of patterns that begin with an alternation, to skip positions early.
+STARTS = {CANONICAL_MASKS[4][0]: "(?=[/cC])"}
+
+
 def replace_all(c: Column, masks: Sequence[tuple[str, str]]) -> Column:
     for pattern, replacement in masks:
-        c = F.regexp_replace(c, jvm(pattern), replacement)
+        c = F.regexp_replace(c, STARTS.get(pattern, "") + jvm(pattern), replacement)
     return c
 
 
@@ -100,7 +104,7 @@ def trim_space(c: Column) -> Column:
 
 def collapse_space(c: Column) -> Column:
     """Join the white-space separated fields of a text with single spaces."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[\s\x{85}\p{Z}&&[^ ]]", " "), "  +", " "))
 
 
 def unix_newlines(c: Column) -> Column:
@@ -114,7 +118,7 @@ def canonicalize_log(c: Column) -> Column:
     of being split into lines: one pass per mask, and no per-line array work.
     """
     c = replace_all(unix_newlines(c), CANONICAL_MASKS)
-    c = F.regexp_replace(c, f"[{SPACE_NO_NEWLINE}]+", " ")
+    c = F.regexp_replace(F.regexp_replace(c, ODD_SPACE, " "), "  +", " ")
     c = F.regexp_replace(c, " ?\n[ \n]*", "\n")
     return F.trim(c, F.lit(" \n"))
 

@@ -84,9 +84,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input with fewer files than cores; leave larger inputs alone.
+
+    The key partitioning is the one the later per-log steps ask for.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """`documents` as a log corpus."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("log_id"), "text", "source")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("log_id"), "text", "source")
+    return spread(docs, "log_id")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
