@@ -12,6 +12,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ARROW_TYPES = {
     "string": pa.string(),
@@ -29,3 +30,10 @@ def small_table(spark: SparkSession, rows: Iterable[Mapping[str, Any]], columns:
     schema = pa.schema([pa.field(n, ARROW_TYPES[t]) for n, t in columns.items()])
     data = {n: pa.array([r.get(n) for r in rows], type=schema.field(n).type) for n in columns}
     return spark.createDataFrame(pa.table(data, schema=schema))
+
+
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row, as a scalar subquery."""
+    names = one.columns
+    held = df.withColumn("_row", one.select(F.struct(*names).alias("r")).scalar())
+    return held.select(*df.columns, *[F.col(f"_row.{n}").alias(n) for n in names])

@@ -102,3 +102,145 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """`events` with a time-zone aware timestamp."""
     return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# One log line per event, written in SQL that both engines read alike.
+EVENT_TIME = "substring(CAST(ts AS STRING), 1, 19)"
+EVENT_LINE = f"""CASE event_type
+ WHEN 'error' THEN CASE event_id % 5
+  WHEN 0 THEN concat({EVENT_TIME}, ' ERROR: failed to restore cache /tmp/u', user_id, '/c', event_id, ': timed out')
+  WHEN 1 THEN concat('--- FAIL: TestUser', user_id, ' (0.0', event_id % 10, 's)')
+  WHEN 2 THEN concat('npm ERR! connection refused by 10.0.', user_id, '.', event_id % 250, ' pid ', event_id)
+  WHEN 3 THEN concat('Error: permission denied /home/runner/work/app/u', user_id, '/main.go:', event_id, ':7')
+  ELSE concat('exec: "/usr/local/bin/tool', user_id % 7, '": no such file or directory') END
+ WHEN 'click' THEN CASE event_id % 4
+  WHEN 0 THEN concat('$ go test ./pkg', user_id, '/...')
+  WHEN 1 THEN 'collected 0 items'
+  WHEN 2 THEN concat('Step ', event_id % 9, ': kubectl apply -f deploy/app', user_id, '.yaml')
+  ELSE concat('   golangci-lint run   --timeout ', event_id % 60, 's') END
+ WHEN 'view' THEN CASE event_id % 4
+  WHEN 0 THEN concat('upload artifact report-', event_id)
+  WHEN 1 THEN concat('no files found at C:\\build\\out', user_id)
+  WHEN 2 THEN 'skipping upload because condition evaluated to false'
+  ELSE '' END
+ WHEN 'signup' THEN CASE event_id % 4
+  WHEN 0 THEN concat('FAILED tests/test_user', user_id, '.py::case_', event_id % 7)
+  WHEN 1 THEN concat('make build || true # run ', event_id)
+  WHEN 2 THEN concat('continue-on-error: true for job ', user_id)
+  ELSE concat('AssertionError: expected ', value, ' at https://ci.example.com/runs/', event_id) END
+ ELSE CASE event_id % 4
+  WHEN 0 THEN concat('cache hit for key 0a1b2c3d4e5f6789', user_id)
+  WHEN 1 THEN concat('0 files checked in /opt/hostedtoolcache/go/1.2', user_id % 3, '/x64')
+  WHEN 2 THEN concat('password=hunter', event_id, ' user', user_id, '@example.com')
+  ELSE 'nothing to deploy' END
+END"""
+
+
+def event_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(event_id, user_id, ts, line): `events` told as build-log lines."""
+    return table(spark, sf, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value",
+        F.expr(EVENT_LINE.replace("\\", "\\\\")).alias("line"),
+    )
+
+
+def event_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """One log per user and day: the day's lines in event order."""
+    day = F.to_date("ts")
+    return (
+        event_lines(spark, sf)
+        .groupBy("user_id", day.alias("day"))
+        .agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("ls"))
+        .select(
+            F.concat(F.lit("u"), "user_id", F.lit("-"), F.col("day").cast("string")).alias("log_id"),
+            F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"),
+            F.concat(F.lit("p"), F.col("user_id") % 10).alias("source"),
+        )
+    )
+
+
+EVENT_LOGS_SQL = f"""event_lines AS (
+  SELECT event_id, user_id, ts, event_type, value, {EVENT_LINE} AS line FROM events
+), event_logs AS (
+  SELECT concat('u', user_id, '-', CAST(CAST(ts AS DATE) AS STRING)) AS log_id,
+    string_agg(line, chr(10) ORDER BY event_id) AS text, concat('p', user_id % 10) AS source
+  FROM event_lines GROUP BY user_id, CAST(ts AS DATE)
+)"""
+
+# Parts as files of a source tree.
+FILE_PATH = """concat(
+ CASE p_partkey % 8 WHEN 0 THEN 'src/api/' WHEN 1 THEN 'deploy/' WHEN 2 THEN 'src/tests/' WHEN 3 THEN '.github/workflows/'
+  WHEN 4 THEN 'docs/' WHEN 5 THEN 'app/config/' WHEN 6 THEN '' ELSE 'src/core/' END,
+ CASE WHEN p_partkey % 8 = 6 THEN '' ELSE concat(lower(p_type), '/') END,
+ CASE p_partkey % 50 WHEN 7 THEN 'Dockerfile' WHEN 14 THEN 'go.mod' WHEN 21 THEN 'package.json' WHEN 28 THEN 'Makefile'
+  WHEN 35 THEN 'requirements-ci.txt' WHEN 42 THEN '.env.local'
+  ELSE concat(replace(p_name, ' ', '_'), p_partkey % 40, CASE p_size % 6 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.yml'
+   WHEN 3 THEN '.tf' WHEN 4 THEN '_test.go' ELSE '.toml' END) END)"""
+FILES_SQL = f"files AS (SELECT p_partkey, {FILE_PATH} AS path FROM part)"
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    """(p_partkey, path): `part` told as a file listing; several parts may share a path."""
+    return table(spark, sf, "part").select("p_partkey", F.expr(FILE_PATH).alias("path"))
+
+
+# Rules for the event logs.
+CI_RULES = [
+    {
+        "rule_id": "cache-restore", "title": "Cache could not be restored", "category": "ci", "severity": "medium",
+        "base_score": 0.5, "stage_hints": ["build"], "pack": "starter", "domain": "platform", "class": "cache",
+        "mode": "restore", "likely_files": [".github/workflows/*.yml", "go.mod"], "tags": ["cache"],
+        "fix": "- Clear the cache\n- Run again", "any": ["failed to restore cache", "timed out", "error:"],
+        "hypothesis": {"support": [("cache.restore.detected", 0.0, ""), ("log.contains:timed out", 0.3, "")],
+                       "contradict": [("log.contains:permission denied", 0.0, "")],
+                       "discriminator": [("log.absent:connection refused", 0.0, "no network refusal")], "exclude": []},
+        "boosts": {"delta": [("delta.dependency.changed", 0.8)], "topology": []},
+    },
+    {
+        "rule_id": "npm-network", "title": "Registry refused the connection", "category": "network", "severity": "high",
+        "base_score": 0.5, "stage_hints": [], "pack": "starter", "domain": "network", "class": "registry",
+        "mode": "refused", "likely_files": ["package.json", ".env*"], "tags": ["npm", "network"],
+        "fix": "1. Check the mirror", "any": ["connection refused", "npm err!"], "all": ["npm err!", "refused by"],
+        "hypothesis": {"support": [("log.contains:npm err!", 0.0, "")], "contradict": [("test.failed", 0.2, "")],
+                       "discriminator": [("network.refused", 0.5, "")], "exclude": [("context.stage:deploy", 0.0, "")]},
+        "boosts": {"delta": [], "topology": [("topology.boundary.crossed", 0.5)]}, "requires_topology": True,
+    },
+    {
+        "rule_id": "file-permission", "title": "Permission denied on a file", "category": "auth", "severity": "high",
+        "base_score": 0.5, "stage_hints": ["deploy", "test"], "pack": "security", "domain": "access", "class": "file",
+        "mode": "denied", "likely_files": ["main.go", "deploy/*"], "tags": ["permission"], "fix": "- chmod",
+        "any": ["permission denied", "error:"], "none": ["nothing to deploy"],
+        "hypothesis": {"support": [("any.failure", 0.0, "")], "contradict": [], "discriminator": [],
+                       "exclude": [("log.contains:collected 0 items", 0.0, "")]},
+        "boosts": {"delta": [("delta.scope.changed", 0.0)], "topology": []},
+    },
+    {
+        "rule_id": "missing-executable", "title": "Executable is missing", "category": "runtime", "severity": "critical",
+        "base_score": 1.0, "stage_hints": ["build", "test"], "pack": "starter", "domain": "platform", "class": "runtime",
+        "mode": "missing", "likely_files": ["Dockerfile"], "tags": ["exec", "tool"], "fix": "- Install the tool",
+        "any": ["no such file or directory"], "all": ["exec:", "/usr/local/bin"],
+        "hypothesis": {"support": [], "contradict": [("cache.absent", 0.0, "")], "discriminator": [], "exclude": []},
+        "boosts": {"delta": [("delta.error.new", 0.4)], "topology": []}, "requires_delta": True,
+    },
+    {
+        "rule_id": "go-test-failure", "title": "Go test failed", "category": "test", "severity": "medium",
+        "base_score": 0.25, "stage_hints": ["test"], "pack": "starter", "domain": "test", "class": "unit", "mode": "go",
+        "likely_files": ["*_test.go", "src/core/*"], "tags": ["go", "test"], "fix": "* see log", "any": ["--- fail:", "go test"],
+        "partial": [{"minimum": 2, "patterns": ["--- fail:", "go test", "testuser"]}],
+        "hypothesis": {"support": [("test.failed", 0.0, ""), ("context.stage:test", 0.15, "")], "contradict": [],
+                       "discriminator": [("delta.signal:delta.test.failure.introduced", 0.6, "a new failing test")], "exclude": []},
+        "boosts": {"delta": [("delta.test.failure.introduced", 1.1)], "topology": []},
+    },
+    {
+        "rule_id": "pytest-failure", "title": "Python test failed", "category": "test", "severity": "medium",
+        "base_score": 0.25, "stage_hints": ["test"], "pack": "starter", "domain": "test", "class": "unit", "mode": "pytest",
+        "likely_files": ["tests/*.py"], "tags": ["python", "test"], "fix": "", "any": ["failed tests/", "assertionerror", ".py::"],
+        "hypothesis": {"support": [("test.failed", 0.0, "")], "contradict": [("context.stage.absent:test", 0.1, "")],
+                       "discriminator": [], "exclude": []},
+        "boosts": {"delta": [], "topology": [("topology.failure.clustered", 0.3)]},
+    },
+]
+
+
+def ci_rules(spark: SparkSession) -> RuleSet:
+    return RuleSet.from_records(spark, CI_RULES)

@@ -70,8 +70,14 @@ def line_stage(expr: str) -> str:
     return f"CASE {whens} END"
 
 
-LOGS = f"""docs AS (
-  SELECT doc_id AS log_id, source, text, {lines('text')} AS ls FROM documents
+def staged(source: str = "documents") -> str:
+    """CTEs up to `staged(log_id, source, text, ls, ns, stage)`."""
+    if source == "documents":
+        first = "raw_logs AS (SELECT doc_id AS log_id, source, text FROM documents)"
+    else:
+        first = f"{demo.EVENT_LOGS_SQL}, raw_logs AS (SELECT log_id, source, text FROM event_logs)"
+    return f"""{first}, docs AS (
+  SELECT log_id, source, text, {lines('text')} AS ls FROM raw_logs
 ), logs AS (
   SELECT log_id, source, text, ls, list_transform(ls, lambda l: lower(l)) AS ns FROM docs
 ), staged AS (
@@ -81,21 +87,22 @@ LOGS = f"""docs AS (
 )"""
 
 
-def rule_rows() -> str:
+def rule_rows(rules=None) -> str:
     return values(
         "rules",
-        ["rule_id", "title", "category", "severity", "base_score", "stage_hints", "pack", "domain", "class", "mode", "fix"],
+        ["rule_id", "title", "category", "severity", "base_score", "stage_hints", "pack", "domain", "class", "mode", "fix",
+         "likely_files", "tags"],
         [
             [r["rule_id"], r["title"], r["category"], r["severity"], float(r["base_score"]), r["stage_hints"], r["pack"],
-             r["domain"], r["class"], r["mode"], r["fix"]]
-            for r in demo.RULES
+             r["domain"], r["class"], r["mode"], r["fix"], r["likely_files"], r["tags"]]
+            for r in rules or demo.RULES
         ],
     )
 
 
-def pattern_rows() -> str:
+def pattern_rows(rules=None) -> str:
     rows = []
-    for r in demo.RULES:
+    for r in rules or demo.RULES:
         for o, section in enumerate(("any", "all")):
             rows += [[r["rule_id"], section, o, 0, 0, i, p] for i, p in enumerate(r.get(section, []))]
         for g, group in enumerate(r.get("partial", [])):
@@ -109,9 +116,9 @@ def pattern_rows() -> str:
 )"""
 
 
-def ranked(extra: str = "") -> str:
-    """CTEs up to `ranked(log_id, rule_id, score, confidence, rank, evidence, ...)` on `documents`."""
-    return f"""WITH {LOGS}, {rule_rows()}, {pattern_rows()}, hits AS (
+def ranked(extra: str = "", rules=None, source: str = "documents") -> str:
+    """CTEs up to `ranked(log_id, rule_id, score, confidence, rank, evidence, ...)`."""
+    return f"""WITH {staged(source)}, {rule_rows(rules)}, {pattern_rows(rules)}, hits AS (
   SELECT s.log_id, s.stage, p.rule_id, p.section, p.so, p.group_idx, p.group_min, p.idx, p.norm,
     list_position(list_transform(s.ns, lambda l: contains(l, p.norm)), true) AS line_no,
     s.ls[list_position(list_transform(s.ns, lambda l: contains(l, p.norm)), true)] AS line
@@ -163,8 +170,8 @@ def ranked(extra: str = "") -> str:
 FIRST_LINE = f"lower({trim_space('string_split(text, chr(10))[1]')})"
 
 
-def results() -> str:
-    """`results`: one row per document, like `evaluate_logs`."""
+def results(rules=None, source: str = "documents", extra: str = "") -> str:
+    """`results`: one row per log, like `evaluate_logs`."""
     return ranked(f""", firsts AS (
   SELECT log_id, source, stage, len(ls) AS n_lines, {FIRST_LINE} AS full_line FROM staged
 ), cut AS (
@@ -179,7 +186,7 @@ def results() -> str:
     CASE WHEN first_line_snippet = '' THEN '' ELSE left(sha256(first_line_snippet), 8) END AS first_line_tag,
     first_line_snippet, f.stage, r.severity, r.category, r.title, r.score
   FROM cut f LEFT JOIN ranked r ON r.log_id = f.log_id AND r.rank = 1
-)""").replace("(ord_at(121))", _not_tail(121)).replace("(ord_at(120))", _not_tail(120)).replace("(ord_at(119))", _not_tail(119))
+){extra}""", rules, source).replace("(ord_at(121))", _not_tail(121)).replace("(ord_at(120))", _not_tail(120)).replace("(ord_at(119))", _not_tail(119))
 
 
 def _not_tail(i: int) -> str:
