@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from culprit.functions import text as tx
 from culprit.functions.classify import gap_class
+from culprit.functions.storage import stored
 from culprit.functions.tables import with_row
 
 
@@ -107,7 +108,7 @@ def number_by_count(clusters: DataFrame, count: str = "count", key: str = "signa
 
 def gap_clusters(results: DataFrame, max_samples: int = 5, log_id: str = "log_id") -> DataFrame:
     """Unmatched logs clustered by their masked first line, with samples and a suspected class."""
-    rows = (
+    rows = stored(
         results.filter("NOT matched AND error = ''")
         .select(F.col(log_id), tx.cluster_line(F.col("first_line_snippet")).alias("line"))
         .withColumn("signature", tx.cluster_signature(F.col("line")))

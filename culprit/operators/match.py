@@ -22,9 +22,9 @@ from culprit.operators.rules import RuleSet
 # Up to this many distinct patterns are tested one by one with `contains`; beyond it a
 # multi-pattern automaton reads each text once. Both give the same hits.
 MAX_PLAIN_PATTERNS = 64
-# One automaton holds at most this many pattern characters; a larger catalogue is split by
-# hash and probed part by part, so nothing is left out and no broadcast grows unbounded.
-MAX_AUTOMATON_CHARS = 32 * 1024 * 1024
+# One automaton holds at most this many patterns; a larger catalogue is split by hash and
+# probed part by part, so nothing is left out and no broadcast grows unbounded.
+MAX_AUTOMATON_PATTERNS = 100_000
 
 HIT_TYPE = T.ArrayType(
     T.StructType([T.StructField("norm", T.StringType()), T.StructField("line_no", T.IntegerType())])
@@ -85,9 +85,7 @@ def find_hits(logs: DataFrame, norms: DataFrame, keep: Sequence[str] = (), outer
     column ``norm``. Result: ``keep`` columns, ``norm``, ``line_no``, ``line``. With
     ``outer`` a log without a hit keeps one row with NULLs.
     """
-    norms = norms.select("norm").distinct()
-    size = norms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("norm")), F.lit(0)).alias("chars")).first()
-    parts = max(1, -(-int(size["chars"]) // MAX_AUTOMATON_CHARS))
+    norms = norms.select("norm")
     spark = logs.sparkSession
 
     def probe(patterns: list[str], explode) -> DataFrame:
@@ -105,12 +103,14 @@ def find_hits(logs: DataFrame, norms: DataFrame, keep: Sequence[str] = (), outer
         )
         return found.select(*keep, explode(withlines).alias("h")).select(*keep, "h.norm", "h.line_no", "h.line")
 
-    if parts == 1:
-        patterns = sorted(r["norm"] for r in norms.collect())
-        return probe(patterns, F.explode_outer if outer else F.explode)
+    head = norms.take(MAX_AUTOMATON_PATTERNS + 1)
+    if len(head) <= MAX_AUTOMATON_PATTERNS:
+        return probe(sorted({r["norm"] for r in head}), F.explode_outer if outer else F.explode)
+    distinct = norms.distinct()
+    parts = -(-distinct.count() // (MAX_AUTOMATON_PATTERNS // 2))
     out = None
     for i in range(parts):
-        piece = norms.filter(F.pmod(F.xxhash64("norm"), F.lit(parts)) == i)
+        piece = distinct.filter(F.pmod(F.xxhash64("norm"), F.lit(parts)) == i)
         part = probe(sorted(r["norm"] for r in piece.collect()), F.explode)
         out = part if out is None else out.unionByName(part)
     if outer:
@@ -156,11 +156,8 @@ def _candidates(
             *[F.any_value(c).alias(c) for c in ["stage", *carry]],
         )
     )
-    totals = rule_set.patterns.withColumn("norm", tx.normalize_pattern(F.col("pattern"))).groupBy("rule_id").agg(
-        F.sum(F.expr("CAST(section = 'all' AND norm <> '' AS INT)")).alias("n_all")
-    )
     rules = rule_set.rules.select("rule_id", "base_score", "stage_hints", "title", "category", "severity").join(
-        totals, "rule_id", "left"
+        rule_set.totals(), "rule_id", "left"
     )
     g = grouped.join(rules, "rule_id", "left")
 

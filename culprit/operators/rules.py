@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +36,8 @@ PATTERN_COLUMNS = {
     "idx": "int",
     "pattern": "string",
 }
-SECTIONS = ["any", "all", "partial", "none"]
+WEIGHTED_COLUMNS = {**PATTERN_COLUMNS, "norm": "string", "weight": "double"}
+MAX_SETTLED_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,7 @@ class RuleSet:
 
     rules: DataFrame
     patterns: DataFrame
+    _settled: dict = field(default_factory=dict, compare=False, repr=False)
 
     @staticmethod
     def from_records(spark: SparkSession, records: Iterable[Mapping[str, Any]]) -> RuleSet:
@@ -77,17 +79,23 @@ class RuleSet:
         ``weight`` is 1 / number of rules that list the pattern under ``any``; other
         sections have flat weights.
         """
-        p = self.patterns.withColumn("norm", tx.normalize_pattern(F.col("pattern"))).filter("norm <> ''")
-        idf = (
-            p.filter("section = 'any'")
-            .groupBy("norm")
-            .agg((F.lit(1.0) / F.countDistinct("rule_id")).alias("any_weight"))
-        )
-        return (
-            p.join(idf, "norm", "left")
-            .withColumn("weight", F.when(F.col("section") == "any", F.col("any_weight")).otherwise(F.lit(0.0)))
-            .drop("any_weight")
-        )
+        return self._settle("patterns", _weighted_patterns(self.patterns), WEIGHTED_COLUMNS)
+
+    def totals(self) -> DataFrame:
+        """Per rule: non-empty ``all`` patterns."""
+        p = self.patterns.withColumn("norm", tx.normalize_pattern(F.col("pattern")))
+        n_all = F.sum(F.expr("CAST(section = 'all' AND norm <> '' AS BIGINT)"))
+        return self._settle("totals", p.groupBy("rule_id").agg(n_all.alias("n_all")), {"rule_id": "string", "n_all": "bigint"})
+
+    def _settle(self, name: str, df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+        """Evaluate a derived rule table once if it is small; a large one stays a plan."""
+        if name not in self._settled:
+            head = df.select(*columns).take(MAX_SETTLED_ROWS + 1)
+            if len(head) > MAX_SETTLED_ROWS:
+                self._settled[name] = df
+            else:
+                self._settled[name] = small_table(df.sparkSession, [r.asDict() for r in head], columns)
+        return self._settled[name]
 
     def filter_rules(self, condition) -> RuleSet:
         """Keep the rules that satisfy a condition on the rule table (detector kind, category, id)."""
@@ -102,6 +110,20 @@ class RuleSet:
         return self.rules.filter(F.col("rule_id") == rule_id)
 
 
+def _weighted_patterns(patterns: DataFrame) -> DataFrame:
+    p = patterns.withColumn("norm", tx.normalize_pattern(F.col("pattern"))).filter("norm <> ''")
+    idf = (
+        p.filter("section = 'any'")
+        .groupBy("norm")
+        .agg((F.lit(1.0) / F.countDistinct("rule_id")).alias("any_weight"))
+    )
+    return (
+        p.join(idf, "norm", "left")
+        .withColumn("weight", F.when(F.col("section") == "any", F.col("any_weight")).otherwise(F.lit(0.0)))
+        .drop("any_weight")
+    )
+
+
 def idf_weights(patterns: DataFrame) -> DataFrame:
     """Per normalised ``any`` pattern: rules that list it and the resulting weight."""
     p = patterns.filter("section = 'any'").withColumn("norm", tx.normalize_pattern(F.col("pattern")))

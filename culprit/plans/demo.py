@@ -6,6 +6,8 @@ hit it. The operators themselves know nothing about these rules.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,7 @@ RULES = [
 ]
 
 
+@lru_cache(maxsize=4)
 def rules(spark: SparkSession) -> RuleSet:
     return RuleSet.from_records(spark, RULES)
 
@@ -242,5 +245,6 @@ CI_RULES = [
 ]
 
 
+@lru_cache(maxsize=4)
 def ci_rules(spark: SparkSession) -> RuleSet:
     return RuleSet.from_records(spark, CI_RULES)
