@@ -248,3 +248,36 @@ CI_RULES = [
 @lru_cache(maxsize=4)
 def ci_rules(spark: SparkSession) -> RuleSet:
     return RuleSet.from_records(spark, CI_RULES)
+
+
+# `events` as a run history: user = pipeline, event type = failure, `view` = a run without a match.
+RUNS_SQL = """runs AS (
+  SELECT event_id AS run_id, user_id AS pipeline, event_type <> 'view' AS matched, CASE WHEN event_type <> 'view' THEN event_type END AS failure_id,
+    ts AS completed_at, sha256(concat('in', user_id % 50, '-', event_id % 7)) AS input_hash, sha256(concat(event_type, CASE WHEN user_id % 50 < 3 THEN '' ELSE props END)) AS output_hash
+  FROM events
+), findings AS (
+  SELECT event_id AS run_id, 1 AS rank, event_type AS failure_id, concat('Title of ', event_type, ' v', event_id % 3) AS title,
+    CASE event_type WHEN 'error' THEN 'build' WHEN 'click' THEN 'test' ELSE 'ci' END AS category, (event_id % 100) / 100.0E0 AS confidence,
+    sha256(concat(event_type, ':', user_id % 40, ':', event_id % 60)) AS signature_hash, ts AS seen_at
+  FROM events WHERE event_type <> 'view'
+), matches AS (
+  SELECT event_id AS run_id, 1 AS rank, event_type AS rule_id FROM events WHERE event_type <> 'view'
+  UNION ALL SELECT event_id, 2, CASE event_type WHEN 'error' THEN 'click' WHEN 'click' THEN 'purchase' ELSE 'error' END FROM events
+  WHERE event_type <> 'view' AND event_id % 3 = 0
+), hooks AS (
+  SELECT event_id AS run_id, event_type AS rule_id, sha256(concat(event_type, ':', user_id % 40, ':', event_id % 60)) AS signature_hash,
+    concat('hook-', event_id % 4) AS hook_id, CASE event_id % 3 WHEN 0 THEN 'verify' WHEN 1 THEN 'collect' ELSE 'remediate' END AS category,
+    CASE user_id % 5 WHEN 0 THEN 'blocked' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' ELSE 'executed' END AS status,
+    CASE WHEN user_id % 5 > 2 THEN event_id % 2 = 0 END AS passed, (event_id % 30) / 100.0E0 AS confidence_delta, ts AS executed_at
+  FROM events WHERE event_type <> 'view' AND event_id % 2 = 0
+)"""
+
+
+def history(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One of the history tables derived from `events`."""
+    view = "events_" + "".join(c if c.isalnum() else "_" for c in sf)
+    events(spark, sf).createOrReplaceTempView(view)
+    text = RUNS_SQL.replace("sha256(", "sha2_256(").replace("FROM events", f"FROM {view}")
+    text = text.replace("sha2_256(concat(", "sha2(concat(").replace("event_id % 7)) AS", "event_id % 7), 256) AS")
+    text = text.replace("props END)) AS", "props END), 256) AS").replace("event_id % 60)) AS", "event_id % 60), 256) AS")
+    return spark.sql(f"WITH {text} SELECT * FROM {name}")
