@@ -237,10 +237,10 @@ def excluded_pairs(logs: DataFrame, rule_set: RuleSet, log_id: str = "log_id", t
     return _candidates(logs, rule_set, log_id, text, {}).filter("hit AND blocked").select(log_id, "rule_id")
 
 
-def evaluate_logs(
+def diagnose(
     logs: DataFrame, rule_set: RuleSet, log_id: str = "log_id", text: str = "text", source: str | None = None
 ) -> DataFrame:
-    """One result row per log: the top diagnosis, or unmatched, or an error for an empty log."""
+    """Ranked candidates of every log; a log without a match keeps one row with ``live`` false."""
     carry = {
         "source": F.col(source) if source else F.lit(""),
         "first_line_snippet": tx.first_line(F.col(text)),
@@ -249,8 +249,13 @@ def evaluate_logs(
     cand = _candidates(logs, rule_set, log_id, text, carry)
     for c in ("rule_id", "title", "category", "severity", "score", "evidence"):
         cand = cand.withColumn(c, F.when(F.col("live"), F.col(c)))
-    top = rank_candidates(cand, log_id).filter("rank = 1")
-    return top.select(
+    ranked = rank_candidates(cand, log_id)
+    return ranked.filter("live OR rank = 1").drop("hit", "blocked")
+
+
+def top_results(diagnosed: DataFrame, log_id: str = "log_id") -> DataFrame:
+    """One result row per log from :func:`diagnose`."""
+    return diagnosed.filter("rank = 1").select(
         log_id,
         "source",
         F.col("live").alias("matched"),
@@ -270,6 +275,13 @@ def evaluate_logs(
     )
 
 
+def evaluate_logs(
+    logs: DataFrame, rule_set: RuleSet, log_id: str = "log_id", text: str = "text", source: str | None = None
+) -> DataFrame:
+    """One result row per log: the top diagnosis, or unmatched, or an error for an empty log."""
+    return top_results(diagnose(logs, rule_set, log_id, text, source), log_id)
+
+
 def guard(ranked: DataFrame, log_id: str = "log_id", min_confidence: float = 0.75, min_score: float = 3.5, top: int = 0) -> DataFrame:
     """Keep sure findings only, then the first ``top`` of each log (0 = all)."""
     kept = ranked.filter((F.col("confidence") >= min_confidence) & (F.col("score") >= min_score))

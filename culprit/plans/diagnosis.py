@@ -188,9 +188,8 @@ def pattern_hits_large(spark, sf):
     from culprit.functions import text as tx
 
     pieces = F.explode(F.regexp_extract_all("text", F.lit("[^ \n]+ [^ \n]+ [^ \n]+ [^ \n]+"), F.lit(0)))
-    norms = demo.table(spark, sf, "benchmark").select(tx.normalize_pattern(pieces).alias("norm")) if False else (
-        demo.table(spark, sf, "benchmark").select(pieces.alias("l")).select(tx.normalize_pattern(F.col("l")).alias("norm"))
-    )
+    lines = demo.table(spark, sf, "benchmark").select(pieces.alias("l"))
+    norms = lines.select(tx.normalize_pattern(F.col("l")).alias("norm"))
     h = mt.first_pattern_lines(demo.logs(spark, sf), norms)
     return h.select("log_id", "norm", F.col("line_no").cast("bigint").alias("line_no"))
 

@@ -75,12 +75,12 @@ def recurring_signatures(spark, sf):
 
 @register(
     "recent_findings",
-    f" SELECT run_id, failure_id, title, {ts('seen_at')} FROM findings WHERE rank = 1 AND signature_hash = sha256('error:5:5') ORDER BY findings.seen_at DESC, run_id DESC LIMIT 10",
+    f" SELECT run_id, failure_id, title, {ts('seen_at')} FROM findings WHERE rank = 1 AND signature_hash = sha256('error:8:0') ORDER BY findings.seen_at DESC, run_id DESC LIMIT 10",
 )
 def recent_findings(spark, sf):
     import hashlib
 
-    r = hi.recent_findings(demo.history(spark, sf, "findings"), hashlib.sha256(b"error:5:5").hexdigest())
+    r = hi.recent_findings(demo.history(spark, sf, "findings"), hashlib.sha256(b"error:8:0").hexdigest())
     return r.select("run_id", "failure_id", "title", t("seen_at"))
 
 
