@@ -368,7 +368,7 @@ def review_duplicates(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_i
     groups = (
         prints.drop("n_lines").join(sizes, "set_id").join(near, "set_id", "left").join(second, ["fingerprint", "set_id"], "left")
     )
-    m = members.join(groups, ["fingerprint", "set_id"])
+    m = members.drop("n_lines").join(groups, ["fingerprint", "set_id"])
     duplicate = F.col("copies") > 1
     own = (F.col("n_prints") > 1) & (F.col("n_lines") > 0)  # texts without lines resemble nothing
     found = own | F.col("best").isNotNull()

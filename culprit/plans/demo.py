@@ -281,3 +281,49 @@ def history(spark: SparkSession, sf: str, name: str) -> DataFrame:
     text = text.replace("sha2_256(concat(", "sha2(concat(").replace("event_id % 7)) AS", "event_id % 7), 256) AS")
     text = text.replace("props END)) AS", "props END), 256) AS").replace("event_id % 60)) AS", "event_id % 60), 256) AS")
     return spark.sql(f"WITH {text} SELECT * FROM {name}")
+
+
+# `orders` as commits and `lineitem` x `part` as the files they touch.
+COMMIT_COLUMNS = """concat('repo', o_custkey % 5) AS repo, concat('c', lpad(CAST(o_orderkey AS STRING), 9, '0')) AS hash, o_orderdate AS ts,
+ CASE o_orderkey % 12 WHEN 0 THEN concat('Hotfix: part ', o_orderkey) WHEN 1 THEN concat('Revert "change ', o_orderkey, '"')
+  WHEN 2 THEN concat('fixup! step ', o_orderkey) WHEN 3 THEN concat('Rolled back ', o_orderpriority)
+  ELSE concat('Update ', o_orderpriority, ' ', o_orderkey) END AS subject, CASE WHEN o_custkey % 31 = 0 THEN '' ELSE concat('dev', o_custkey % 97) END AS author"""
+COMMITS_SQL = f"""{FILES_SQL}, commit_lists AS (
+  SELECT l_orderkey, list(path ORDER BY l_linenumber, path) AS fl FROM lineitem JOIN files ON p_partkey = l_partkey GROUP BY 1
+), commits AS (
+  SELECT {COMMIT_COLUMNS}, list_filter(fl, lambda x, i: NOT list_contains(fl[1:i - 1], x)) AS files
+  FROM orders JOIN commit_lists ON l_orderkey = o_orderkey
+), cf AS (
+  SELECT repo, hash, ts, subject, unnest(files) AS file, generate_subscripts(files, 1) AS pos FROM commits
+)"""
+
+
+def commits(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    lists = (
+        lines.join(files(spark, sf), "p_partkey")
+        .groupBy("l_orderkey")
+        .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "path"))).alias("fl"))
+        .select("l_orderkey", F.array_distinct(F.transform("fl", lambda x: x["path"])).alias("files"))
+    )
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", *[c.strip() for c in _split_columns(COMMIT_COLUMNS)])
+    out = orders.join(lists, F.col("o_orderkey") == F.col("l_orderkey"))
+    return out.select("repo", "hash", F.col("ts").cast("timestamp").alias("ts"), "subject", "author", "files")
+
+
+def _split_columns(text: str) -> list[str]:
+    """Split a select list at its top-level commas."""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(text):
+        if c == "'":
+            quoted = not quoted
+        elif not quoted and c in "()":
+            depth += 1 if c == "(" else -1
+        elif not quoted and c == "," and depth == 0:
+            out.append(text[start:i])
+            start = i + 1
+    return [*out, text[start:]]
+
+
+FAILURES = [("tests", "test"), ("ship", "deploy"), ("compile", "build"), ("lock", ""), ("nothing", "")]
+OWN_PATTERNS = {"lock": ["go.mod", "package.json"], "nothing": ["no-such-*"]}
