@@ -147,7 +147,7 @@ def _candidates(
     rows = hits.join(
         patterns.select("norm", "rule_id", "section", "group_idx", "group_min", "idx", "weight"), "norm", "left"
     ).withColumn("section_order", order)
-    item = F.struct("section_order", "group_idx", "idx", "section", "group_min", "weight", "line")
+    item = F.struct("section_order", "group_idx", "idx", "section", "group_min", "weight", "norm", "line")
     grouped = (
         rows.repartition(F.col(log_id))
         .groupBy(log_id, "rule_id")
@@ -186,6 +186,9 @@ def _candidates(
         F.array_distinct(
             F.transform(F.filter("items", lambda x: x["section"] != "none"), lambda x: x["line"])
         ).alias("evidence"),
+        F.size(
+            F.array_distinct(F.transform(F.filter("items", lambda x: x["section"].isin("any", "all")), lambda x: x["norm"]))
+        ).alias("n_matched"),
     )
     score = tx.round2(F.col("base_signal") + F.col("compound_bonus") + F.col("stage_bonus"))
     return (

@@ -307,7 +307,7 @@ def _d(c):
    max(os) FILTER (WHERE kind = 'c' AND pos = 1) AS c1, max(os) FILTER (WHERE kind = 'f' AND pos = 1) AS f1,
    count(*) AS n FROM z GROUP BY 1, 2),
  s AS (SELECT i.repo, i.incident, coalesce(co, []) AS co, coalesce(fo, []) AS fo, c1, f1, list_transform(changed, lambda p: {_d('p')}) AS cd, list_transform(failed, lambda p: {_d('p')}) AS fd FROM incidents i LEFT JOIN g USING (repo, incident)),
- r AS (SELECT repo, incident, co, len(co) > 0 AND len(fo) > 0 AND len(list_intersect(co, fo)) = 0 AS crossed, coalesce(len(list_intersect(c1, f1)) = 0, false) AS mismatch,
+ r AS (SELECT repo, incident, co, len(co) > 0 AND len(fo) > 0 AND len(list_intersect(co, fo)) = 0 AS crossed, c1 IS NOT NULL AND f1 IS NOT NULL AND len(list_intersect(c1, f1)) = 0 AS mismatch,
    len(list_filter(cd, lambda a: len(list_filter(fd, lambda d: a = '.' OR d = a OR starts_with(d, a || '/'))) > 0)) > 0 AS upstream,
    len(fd) >= 2 AND len(list_distinct(list_transform(fd, lambda d: string_split(d, '/')[1]))) = 1 AND fd[1] <> '.' AS clustered FROM s)
 SELECT repo, incident, array_to_string(co, '|') AS owner_zones, crossed AS boundary_crossed, clustered AS failure_clustered, mismatch AS ownership_mismatch, upstream AS upstream_changed FROM r""",
