@@ -327,3 +327,26 @@ def _split_columns(text: str) -> list[str]:
 
 FAILURES = [("tests", "test"), ("ship", "deploy"), ("compile", "build"), ("lock", ""), ("nothing", "")]
 OWN_PATTERNS = {"lock": ["go.mod", "package.json"], "nothing": ["no-such-*"]}
+
+
+# `part` and `lineitem` as source files: one file per part, one line per line item.
+SOURCE_PATH = """concat('mod', p_partkey % 25, CASE p_partkey % 7 WHEN 0 THEN '/handlers/h' WHEN 1 THEN '/tests/t' WHEN 2 THEN '/scripts/s' WHEN 3 THEN '/examples/e'
+ ELSE '/core/c' END, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '.js' ELSE '.go' END)"""
+SOURCE_LINE = """CASE l_linenumber WHEN 1 THEN concat('func handle', l_orderkey % 9, '(input string) {') WHEN 2 THEN concat('\tdb.Query("select ', l_suppkey, '" + input)')
+ WHEN 3 THEN concat('\tif ok', l_orderkey % 3, ' { http.Get(input) }') WHEN 4 THEN CASE WHEN l_orderkey % 4 = 0 THEN '\tvalidate(input)' ELSE '}' END
+ WHEN 5 THEN CASE WHEN l_orderkey % 90 = 0 THEN '// culprit:ignore raw-query reason=legacy until=2025-01-01' WHEN l_orderkey % 5 = 0 THEN 'const limit = 10' ELSE '}' END
+ WHEN 6 THEN CASE WHEN l_orderkey % 2 = 0 THEN '\t// reviewed  by Security' ELSE '\tloop { db.Query(x) }' END ELSE '\tlog.Print("Hot Path")' END"""
+SOURCES_SQL = f"""sources AS (
+  SELECT concat('r', p_partkey % 3) AS repo, {SOURCE_PATH} AS path, l_orderkey, l_linenumber, l_suppkey, {SOURCE_LINE} AS text
+  FROM lineitem JOIN part ON p_partkey = l_partkey
+), src AS (
+  SELECT repo, path, row_number() OVER (PARTITION BY repo, path ORDER BY l_orderkey, l_linenumber, l_suppkey, text) AS line, text AS original FROM sources
+)"""
+
+
+def source_files(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("p_partkey"))
+    parts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("r"), F.col("p_partkey") % 3).alias("repo"), F.expr(SOURCE_PATH).alias("path"))
+    rows = lines.select("p_partkey", "l_orderkey", "l_linenumber", "l_suppkey", F.expr(SOURCE_LINE).alias("text")).join(parts, "p_partkey")
+    ordered = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "text")))
+    return rows.groupBy("repo", "path").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("content"))
