@@ -23,7 +23,7 @@ def prepare_fixtures(fixtures: DataFrame) -> DataFrame:
     text = F.coalesce(
         F.when(tx.trim_space(F.col("normalized_log")) != "", F.col("normalized_log")), F.col("raw_log"), F.lit("")
     )
-    out = fixtures.withColumn("text", text)
+    out = fixtures.withColumn("text", tx.canonicalize_log(text))
     out = out.withColumn("fixture_class", F.coalesce(F.nullif("fixture_class", F.lit("")), F.lit("minimal")))
     known = F.nullif(F.trim(F.coalesce("fingerprint", F.lit(""))), F.lit(""))
     return out.withColumn("fingerprint", F.coalesce(known, tx.fixture_fingerprint(F.col("text"))))

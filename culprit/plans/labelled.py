@@ -192,9 +192,8 @@ def metadata_issues(spark, sf):
 
 @register(
     "prepared_fixtures",
-    """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE lower(text) END AS n, text FROM documents)
-SELECT doc_id AS log_id, CASE WHEN n = ' ' THEN text ELSE n END AS text, left(sha256(CASE WHEN n = ' ' THEN text ELSE n END), 16) AS fingerprint,
- CASE WHEN doc_id % 2 = 0 THEN 'real' ELSE 'minimal' END AS fixture_class FROM f""",
+    f"""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE lower(text) END AS n FROM documents), g AS (SELECT doc_id, array_to_string({sql.lines('n')}, chr(10)) AS t FROM f)
+SELECT doc_id AS log_id, t AS text, left(sha256(t), 16) AS fingerprint, CASE WHEN doc_id % 2 = 0 THEN 'real' ELSE 'minimal' END AS fixture_class FROM g""",
 )
 def prepared_fixtures(spark, sf):
     d = demo.table(spark, sf, "documents").select(
