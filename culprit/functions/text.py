@@ -222,10 +222,10 @@ def input_hash(c: Column) -> Column:
 
 def fnv1a32(c: Column) -> Column:
     """FNV-1a, 32 bit, over the UTF-8 bytes, as eight hex digits."""
-    digits = F.hex(F.encode(c, "UTF-8"))
+    raw = F.encode(c, "UTF-8")  # slicing bytes is constant time, slicing text is not
 
     def step(acc: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint")
+        byte = F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint")
         return (acc.bitwiseXOR(byte) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
 
     start = F.lit(2166136261).cast("bigint")

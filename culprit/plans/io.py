@@ -265,7 +265,7 @@ def stream_sliding_windows(spark, sf):
     f"""WITH f AS (SELECT date_trunc('millisecond', ts) AS ts0, ts, concat(event_type, '-', user_id % 5) AS sig FROM events WHERE event_type <> 'view'),
  g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM f WINDOW w AS (PARTITION BY sig ORDER BY ts)),
  h AS (SELECT *, sum(brk) OVER (PARTITION BY sig ORDER BY ts) AS k FROM g), s AS (SELECT sig, k, min(ts) AS a, max(ts) AS b, count(*) AS n FROM h GROUP BY 1, 2)
-SELECT sig AS signature_hash, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, n FROM s WHERE b + INTERVAL 30 MINUTE <= {CLOSED}""",
+SELECT sig AS signature_hash, strftime(a, '%Y-%m-%d %H:%M:%S') AS session_start, n FROM s WHERE b + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM f)""",
 )
 def stream_sessions(spark, sf):
     f = _event_stream(spark, sf).filter("matched").select(F.col("ts").alias("seen_at"), F.concat_ws("-", "event_type", (F.col("user_id") % 5).cast("string")).alias("signature_hash"))
