@@ -93,12 +93,16 @@ def find_hits(logs: DataFrame, norms: DataFrame, keep: Sequence[str] = (), outer
             hits = _plain_hits(F.col("norm"), patterns) if patterns else F.array().cast(HIT_TYPE)
         else:
             hits = _automaton_hits(spark, F.col("norm"), patterns)
-        lines = F.split("canonical", "\n")
+        def line(n: Column) -> Column:
+            # cut the n-th line out of the text; splitting it would repeat for every hit
+            upto = F.call_function("substring_index", F.col("canonical"), F.lit("\n"), n)
+            return F.call_function("substring_index", upto, F.lit("\n"), F.lit(-1))
+
         found = logs.select(*keep, "canonical", hits.alias("hits"))
         withlines = F.transform(
             "hits",
             lambda h: F.struct(
-                h["norm"].alias("norm"), h["line_no"].alias("line_no"), F.get(lines, h["line_no"] - 1).alias("line")
+                h["norm"].alias("norm"), h["line_no"].alias("line_no"), line(h["line_no"]).alias("line")
             ),
         )
         return found.select(*keep, explode(withlines).alias("h")).select(*keep, "h.norm", "h.line_no", "h.line")

@@ -91,18 +91,24 @@ def rule_profiles(rule_set: RuleSet) -> DataFrame:
     tokens = F.flatten(F.transform(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array("rule_id", "title")), tx.token_set))
     return rule_set.rules.select(
         "rule_id", "stage_hints",
-        F.array_sort(F.array_distinct(F.filter(files, lambda f: F.trim(f) != ""))).alias("likely_files"),
+        F.transform(
+            F.array_sort(F.array_distinct(F.filter(files, lambda f: F.trim(f) != ""))),
+            lambda h: F.struct(h.alias("hint"), F.contains(h, F.lit("*")).alias("glob"), _hint_regex(h).alias("rx")),
+        ).alias("likely_files"),
         classes.alias("classes"),
         F.array_sort(F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 3))).alias("tokens"),
     ).join(p, "rule_id", "left")
 
 
+def _hint_regex(hint: Column) -> Column:
+    """Glob hint as one regex: without a slash it fits the base name, else the whole path."""
+    rx = pt.glob_to_regex(hint)
+    return F.when(F.contains(hint, F.lit("/")), rx).otherwise(F.concat(F.lit("(?:^|/)"), F.substring(rx, F.lit(2), F.length(rx))))
+
+
 def _file_fits(file: Column, hint: Column) -> Column:
     """A hint with ``*`` is a glob on the path or base name; otherwise part of the path."""
-    rx = pt.glob_to_regex(hint)
-    return F.when(
-        F.contains(hint, F.lit("*")), F.rlike(file, rx) | F.rlike(tx.base_name(file), rx)
-    ).otherwise(F.contains(file, hint))
+    return F.when(hint["glob"], F.rlike(file, hint["rx"])).otherwise(F.contains(file, hint["hint"]))
 
 
 def _ratio(n: Column, of: Column) -> Column:
@@ -155,7 +161,9 @@ def score_features(
     states that the rule requires that kind of context.
     """
     none = F.array().cast("array<string>")
-    rows = ranked.join(rule_profiles(rule_set), "rule_id").join(context, log_id, "left")
+    # classes of the changed files once per log, not once per candidate
+    classed = context.withColumn("changed_classes", F.transform(F.coalesce("changed_files", none), pt.changed_file_class))
+    rows = ranked.join(rule_profiles(rule_set), "rule_id").join(classed, log_id, "left")
     has_delta = F.col("delta_signals").isNotNull()
     for c in CONTEXT_COLUMNS:
         rows = rows.withColumn(f"_{c}", F.coalesce(c, none))
@@ -166,11 +174,13 @@ def score_features(
     separation = F.when(
         (F.col("rank") != 1) | (score <= 0), 0.0
     ).when(F.col("_second").isNull(), 1.0).when(F.col("_second") >= score, 0.0).otherwise(clamp01((score - F.col("_second")) / score))
-    ev_tokens = F.transform("evidence", tx.token_set)
+    haystack = F.lower(F.array_join(F.concat("evidence", F.array(F.coalesce("command", F.lit("")), F.coalesce("step", F.lit("")))), " "))
+    # columns of their own: inside a lambda they would be computed once per element
+    rows = rows.withColumn("_tokens", F.transform("evidence", tx.token_set)).withColumn("_haystack", haystack)
+    ev_tokens, haystack = F.col("_tokens"), F.col("_haystack")
     pts = F.coalesce("pattern_tokens", F.array().cast("array<array<string>>"))
     exact = F.exists(ev_tokens, lambda e: F.exists(pts, lambda p: e == p))
     fuzzy = F.coalesce(F.array_max(F.flatten(F.transform(ev_tokens, lambda e: F.transform(pts, lambda p: tx.jaccard(e, p))))), F.lit(0.0))
-    haystack = F.lower(F.array_join(F.concat("evidence", F.array(F.coalesce("command", F.lit("")), F.coalesce("step", F.lit("")))), " "))
     changed = F.col("_changed_files")
     repo_files = F.array_distinct(F.filter(F.concat("_recent_files", changed), lambda f: F.trim(f) != ""))
     hints = F.col("likely_files")
@@ -179,7 +189,7 @@ def score_features(
         return F.size(F.filter(files, lambda f: F.exists(hints, lambda h: _file_fits(f, h))))
 
     def class_share(name: str) -> Column:
-        n = F.size(F.filter(changed, lambda f: F.coalesce(pt.changed_file_class(f) == name, F.lit(False))))
+        n = F.size(F.filter(F.coalesce("changed_classes", none), lambda c: F.coalesce(c == name, F.lit(False))))
         return F.when(F.array_contains("classes", name), _ratio(n, F.size(changed))).otherwise(0.0)
 
     drift = clamp01(F.size("_drift_signals") * 0.2 + F.size("_hotfix_signals") * 0.1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from culprit.functions.storage import stored
 from culprit.functions.tables import small_table
 from culprit.operators import source_scan as sc
 from culprit.plans import demo, sql
@@ -135,8 +136,7 @@ SUPPRESS = f"""fl AS (SELECT DISTINCT repo, path, module FROM sl), sup AS (
 
 @register("source_suppressions", f"WITH {HITS}, {SUPPRESS} SELECT repo, rule_id, path, line, weight::DOUBLE AS weight, sall AS suppress_all, reason, expires_on FROM sup")
 def source_suppressions(spark, sf):
-    files = demo.source_files(spark, sf)
-    s = sc.suppression_matches(files, sc.line_table(files), source_rules(spark))
+    s = sc.suppression_matches(demo.source_files(spark, sf), source_rules(spark))
     return s.select("repo", "rule_id", "path", F.col("line").cast("bigint").alias("line"), "weight", "suppress_all", "reason", "expires_on")
 
 
@@ -179,7 +179,7 @@ SELECT repo, rule_id, {_r2('f')} AS score, CASE WHEN p <= 0 THEN 0.1 ELSE {_r2('
 
 @register("source_scan", f"WITH {SCAN}")
 def source_scan(spark, sf):
-    s = sc.scan_sources(demo.source_files(spark, sf), source_rules(spark), _changes(spark, sf))
+    s = sc.scan_sources(stored(demo.source_files(spark, sf)), source_rules(spark), stored(_changes(spark, sf)))
     return s.drop("rank", "n_triggers", "n_mitigations")
 
 
@@ -194,4 +194,4 @@ def source_scan(spark, sf):
 SELECT repo, rule_id, kind, CASE WHEN line > 0 THEN path || ':' || line || ' ' || label ELSE path || ' ' || label END AS evidence FROM ev WHERE (repo, rule_id) IN (SELECT repo, rule_id FROM trg)""",
 )
 def source_evidence(spark, sf):
-    return sc.scan_evidence(demo.source_files(spark, sf), source_rules(spark)).select("repo", "rule_id", "kind", "evidence")
+    return sc.scan_evidence(stored(demo.source_files(spark, sf)), source_rules(spark)).select("repo", "rule_id", "kind", "evidence")
