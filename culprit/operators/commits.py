@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from culprit.functions import classify as cl
 from culprit.functions import paths as pt
+from culprit.functions.storage import stored
 from culprit.functions.tables import small_table, with_row
 from culprit.functions.text import dir_name
 
@@ -118,11 +119,10 @@ def co_change_pairs(commits: DataFrame) -> DataFrame:
     before pairing. A commit with many files is cut into blocks on one side of the join, so its
     pairs are built by several tasks.
     """
-    files = commits.select("repo", "hash", F.explode("files").alias("file"))
+    blocks = F.ceil(F.size("files") / PAIR_BLOCK).cast("int")
+    files = commits.select("repo", "hash", blocks.alias("blocks"), F.explode("files").alias("file"))
     again = repeated(file_churn(commits)).select("repo", "file")
-    kept = files.join(again, ["repo", "file"], "left_semi")
-    sizes = kept.groupBy("repo", "hash").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    sized = kept.join(sizes, ["repo", "hash"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sized = stored(files.join(again, ["repo", "file"], "left_semi"))  # both sides of the pairing read it
     left = sized.select("repo", "hash", F.col("file").alias("file_a"), F.pmod(F.xxhash64("file"), F.col("blocks")).alias("block"))
     right = sized.select(
         "repo", "hash", F.col("file").alias("file_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("blocks") - 1).cast("bigint"))).alias("block")
@@ -143,18 +143,18 @@ def recent_files(commits: DataFrame, n: int = RECENT_FILES) -> DataFrame:
 def matched_files(files: DataFrame, patterns: DataFrame, file: str = "file") -> DataFrame:
     """Distinct (repo, file) x failure whose glob fits the base name, the path or one segment.
 
-    The globs ride along as one constant array, so the test is a projection and not a join.
+    The globs of a failure become one alternation: a glob without a slash must fill one path
+    segment, one with a slash the whole path. The alternations ride along as one constant
+    array, so the test is a projection and not a join.
     """
-    globs = patterns.groupBy("failure_id").agg(F.collect_list(pt.glob_to_regex(F.col("pattern"))).alias("rx"))
-    table = globs.agg(F.collect_list(F.struct("failure_id", "rx")).alias("globs"))
+    rx = pt.glob_to_regex(F.col("pattern"))
+    body = F.substring(rx, F.lit(2), F.length(rx) - 2)
+    whole = F.contains("pattern", F.lit("/"))
+    one = F.when(whole, F.concat(F.lit("^"), body, F.lit("$"))).otherwise(F.concat(F.lit("(?:^|/)"), body, F.lit("(?:/|$)")))
+    per_failure = patterns.groupBy("failure_id").agg(F.array_join(F.array_sort(F.collect_set(one)), "|").alias("rx"))
+    table = per_failure.agg(F.collect_list(F.struct("failure_id", "rx")).alias("globs"))
     rows = with_row(files.select("repo", F.col(file).alias("file")).distinct(), table)
-    parts = F.split("file", "/")
-    hits = F.filter(
-        "globs",
-        lambda g: F.exists(
-            g["rx"], lambda r: F.rlike(F.col("file"), r) | F.exists(parts, lambda s: F.rlike(s, r))
-        ),
-    )
+    hits = F.filter("globs", lambda g: F.rlike(F.col("file"), g["rx"]))
     return rows.select("repo", "file", F.explode(F.transform(hits, lambda g: g["failure_id"])).alias("failure_id"))
 
 

@@ -79,10 +79,12 @@ def failure_distribution(results: DataFrame, top: int = 20) -> DataFrame:
 
 def unmatched_clusters(results: DataFrame, top: int = 20, log_id: str = "log_id") -> DataFrame:
     """Unmatched logs grouped by first-line tag."""
+    per_line = results.filter("NOT matched AND first_line_tag <> ''").groupBy("first_line_tag", "first_line_snippet").agg(
+        F.count("*").alias("n"), F.min(log_id).alias("first")
+    )
     return (
-        results.filter("NOT matched AND first_line_tag <> ''")
-        .groupBy(F.col("first_line_tag").alias("tag"))
-        .agg(F.min_by("first_line_snippet", log_id).alias("snippet"), F.count("*").alias("count"))
+        per_line.groupBy(F.col("first_line_tag").alias("tag"))
+        .agg(F.min_by("first_line_snippet", "first").alias("snippet"), F.sum("n").alias("count"))
         .orderBy(F.desc("count"), "tag")
         .limit(top)
     )
@@ -113,8 +115,10 @@ def gap_clusters(results: DataFrame, max_samples: int = 5, log_id: str = "log_id
         .select(F.col(log_id), tx.cluster_line(F.col("first_line_snippet")).alias("line"))
         .withColumn("signature", tx.cluster_signature(F.col("line")))
     )
-    counts = rows.groupBy("signature").agg(
-        F.count("*").alias("count"), F.min_by("line", log_id).alias("representative_line")
+    # lines as keys keep the large step a hash aggregate; equal signatures have equal lines
+    per_line = rows.groupBy("signature", "line").agg(F.count("*").alias("n"), F.min(log_id).alias("first"))
+    counts = per_line.groupBy("signature").agg(
+        F.sum("n").alias("count"), F.min_by("line", "first").alias("representative_line")
     )
     # the filter on row_number lets Spark keep only the first ids of each group before the shuffle
     order = W.partitionBy("signature").orderBy(log_id)

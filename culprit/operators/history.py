@@ -27,16 +27,19 @@ QUARANTINE_FPC, QUARANTINE_PHI, OBSERVE_PHI = 0.5, 0.4, 0.6
 
 
 def recurrence(findings: DataFrame) -> DataFrame:
-    """First seen, last seen and occurrences per signature (leading findings only)."""
-    return (
-        findings.filter("rank = 1")
-        .groupBy("signature_hash")
-        .agg(
-            F.min_by("failure_id", F.struct("seen_at", "run_id")).alias("failure_id"),
-            F.min("seen_at").alias("first_seen_at"),
-            F.max("seen_at").alias("last_seen_at"),
-            F.count("*").alias("occurrence_count"),
-        )
+    """First seen, last seen and occurrences per signature (leading findings only).
+
+    Grouped with the failure id as a key first: all values are then of fixed width, so the
+    large step is a hash aggregate with map-side combine.
+    """
+    per_failure = findings.filter("rank = 1").groupBy("signature_hash", "failure_id").agg(
+        F.min("seen_at").alias("first"), F.max("seen_at").alias("last"), F.count("*").alias("n")
+    )
+    return per_failure.groupBy("signature_hash").agg(
+        F.min_by("failure_id", F.struct("first", "failure_id")).alias("failure_id"),
+        F.min("first").alias("first_seen_at"),
+        F.max("last").alias("last_seen_at"),
+        F.sum("n").alias("occurrence_count"),
     )
 
 
@@ -80,9 +83,13 @@ def recent_findings(findings: DataFrame, signature_hash: str, limit: int = 10) -
 def rule_quality(findings: DataFrame, matches: DataFrame, limit: int | None = None) -> DataFrame:
     """Per rule: times selected and matched, average rank and confidence, recurrence."""
     leading = findings.filter("rank = 1")
-    # one row per (rule, signature) first: a hot rule reaches the second step already reduced
-    per_signature = leading.groupBy("failure_id", "signature_hash").agg(
-        F.count("*").alias("n"), F.sum("confidence").alias("conf"), F.max("title").alias("title"),
+    # texts are keys here and values only in the small second step: the large one is a hash
+    # aggregate, and a hot rule reaches the second step already reduced
+    per_title = leading.groupBy("failure_id", "signature_hash", "title", "category").agg(
+        F.count("*").alias("n"), F.sum("confidence").alias("conf"), F.max("seen_at").alias("seen_at")
+    )
+    per_signature = per_title.groupBy("failure_id", "signature_hash").agg(
+        F.sum("n").alias("n"), F.sum("conf").alias("conf"), F.max("title").alias("title"),
         F.max("category").alias("category"), F.max("seen_at").alias("seen_at"),
     )
     totals = per_signature.groupBy("signature_hash").agg(F.sum("n").alias("occurrences"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from culprit.functions import classify as cl
 from culprit.functions.regex import glob_regex
+from culprit.functions.storage import stored
 from culprit.operators import changes as ch
 from culprit.operators import commits as cm
 from culprit.operators import owners as ow
@@ -80,7 +81,7 @@ def lookback_commits(spark, sf):
     C + " SELECT a.repo, a.file AS file_a, b.file AS file_b, count(*) AS count FROM cf a JOIN cf b ON a.repo = b.repo AND a.hash = b.hash AND a.file < b.file GROUP BY 1, 2, 3 HAVING count(*) >= 2",
 )
 def co_change_pairs(spark, sf):
-    return cm.co_change_pairs(demo.commits(spark, sf))
+    return cm.co_change_pairs(stored(demo.commits(spark, sf)))
 
 
 @register("config_churn", C + CHURN + f", p AS (SELECT repo, file AS path, count FROM churn) SELECT repo, path AS file, count, {CONFIG_SQL} AS is_config, {CI_CONFIG_SQL} AS is_ci_config FROM p WHERE {CONFIG_SQL} OR {CI_CONFIG_SQL}")
@@ -133,7 +134,7 @@ def _rank(df):
 SELECT * FROM d UNION ALL SELECT p.repo, p.failure_id, f.rank, f.file FROM pairs p JOIN f USING (repo) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.repo = p.repo AND d.failure_id = p.failure_id)""",
 )
 def relevant_files(spark, sf):
-    return _rank(cm.relevant_files(demo.commits(spark, sf), _patterns(spark)))
+    return _rank(cm.relevant_files(stored(demo.commits(spark, sf)), _patterns(spark)))
 
 
 MC = ", mcm AS (SELECT DISTINCT repo, failure_id, hash, ts, subject FROM mf)"
@@ -141,7 +142,7 @@ MC = ", mcm AS (SELECT DISTINCT repo, failure_id, hash, ts, subject FROM mf)"
 
 @register("related_commits", M + MC + f" SELECT repo, failure_id, row_number() OVER (PARTITION BY repo, failure_id ORDER BY ts DESC, hash) AS rank, left(hash, 7) AS hash, subject, {DATE} AS date FROM mcm QUALIFY rank <= 5")
 def related_commits(spark, sf):
-    return _rank(cm.related_commits(demo.commits(spark, sf), _patterns(spark)))
+    return _rank(cm.related_commits(stored(demo.commits(spark, sf)), _patterns(spark)))
 
 
 def _fallback(direct, fb, col):
@@ -155,7 +156,7 @@ def _fallback(direct, fb, col):
  fb AS (SELECT repo, dir, row_number() OVER (PARTITION BY repo ORDER BY count DESC, dir) AS rank FROM dirs QUALIFY rank <= 5) """ + _fallback("d", "fb", "dir"),
 )
 def hotspot_dirs(spark, sf):
-    return _rank(cm.hotspot_dirs(demo.commits(spark, sf), _patterns(spark)))
+    return _rank(cm.hotspot_dirs(stored(demo.commits(spark, sf)), _patterns(spark)))
 
 
 @register(
@@ -165,7 +166,7 @@ def hotspot_dirs(spark, sf):
 SELECT repo, failure_id, row_number() OVER (PARTITION BY repo, failure_id ORDER BY count DESC, file_a, file_b) AS rank, file_a || ' <-> ' || file_b AS hint FROM ph QUALIFY rank <= 3""",
 )
 def co_change_hints(spark, sf):
-    return _rank(cm.co_change_hints(cm.co_change_pairs(demo.commits(spark, sf)), _patterns(spark)))
+    return _rank(cm.co_change_hints(cm.co_change_pairs(stored(demo.commits(spark, sf))), _patterns(spark)))
 
 
 @register(
@@ -174,7 +175,7 @@ def co_change_hints(spark, sf):
  fb AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash) AS rank, subject AS hint FROM commits WHERE {HOT} QUALIFY rank <= 5) """ + _fallback("d", "fb", "hint"),
 )
 def hotfix_hints(spark, sf):
-    return _rank(cm.hotfix_hints(demo.commits(spark, sf), _patterns(spark)))
+    return _rank(cm.hotfix_hints(stored(demo.commits(spark, sf)), _patterns(spark)))
 
 
 @register(
@@ -187,7 +188,7 @@ def hotfix_hints(spark, sf):
  fb AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash) AS rank, subject AS hint FROM commits WHERE {REV} QUALIFY rank <= 5) """ + _fallback("d", "fb", "hint"),
 )
 def drift_hints(spark, sf):
-    return _rank(cm.drift_hints(demo.commits(spark, sf), _patterns(spark)))
+    return _rank(cm.drift_hints(stored(demo.commits(spark, sf)), _patterns(spark)))
 
 
 @register(
@@ -198,7 +199,7 @@ UNION ALL SELECT repo, 'ci_config', row_number() OVER (PARTITION BY repo ORDER B
 UNION ALL SELECT repo, 'large_commit', row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash) AS rank, format('{{}} ({{}} files)', subject, len(files)) FROM commits WHERE len(files) >= 10 QUALIFY rank <= 5""",
 )
 def change_hints(spark, sf):
-    return _rank(cm.change_hints(demo.commits(spark, sf)))
+    return _rank(cm.change_hints(stored(demo.commits(spark, sf))))
 
 
 @register(
@@ -211,7 +212,7 @@ UNION ALL SELECT repo, 'drift', row_number() OVER (PARTITION BY repo ORDER BY pa
 UNION ALL SELECT repo, 'commit', row_number() OVER (PARTITION BY repo ORDER BY ts DESC, hash) AS rank, left(hash, 7) || ' ' || {DATE} || ' ' || subject FROM commits QUALIFY rank <= 5""",
 )
 def plain_context(spark, sf):
-    return _rank(cm.plain_context(demo.commits(spark, sf)))
+    return _rank(cm.plain_context(stored(demo.commits(spark, sf))))
 
 
 # Owner rules: one per supplier nation and region, later rules win.
