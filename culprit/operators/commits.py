@@ -171,6 +171,7 @@ def _top(rows: DataFrame, order: list[Column], n: int, keys: tuple[str, ...] = (
 
 def _with_fallback(direct: DataFrame, fallback: DataFrame, pairs: DataFrame) -> DataFrame:
     """``direct`` rows, and per-repo ``fallback`` rows for the (repo, failure) pairs that have none."""
+    direct = stored(direct)  # a short list per pair, needed twice
     missing = pairs.join(direct.select("repo", "failure_id").distinct(), ["repo", "failure_id"], "left_anti")
     return direct.unionByName(missing.join(fallback, "repo").select(*direct.columns))
 
