@@ -93,7 +93,9 @@ def rule_profiles(rule_set: RuleSet) -> DataFrame:
         "rule_id", "stage_hints",
         F.transform(
             F.array_sort(F.array_distinct(F.filter(files, lambda f: F.trim(f) != ""))),
-            lambda h: F.struct(h.alias("hint"), F.contains(h, F.lit("*")).alias("glob"), _hint_regex(h).alias("rx")),
+            lambda h: F.struct(
+                h.alias("hint"), F.contains(h, F.lit("*")).alias("glob"), _hint_regex(h).alias("rx"), _longest_piece(h).alias("piece")
+            ),
         ).alias("likely_files"),
         classes.alias("classes"),
         F.array_sort(F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 3))).alias("tokens"),
@@ -106,9 +108,18 @@ def _hint_regex(hint: Column) -> Column:
     return F.when(F.contains(hint, F.lit("/")), rx).otherwise(F.concat(F.lit("(?:^|/)"), F.substring(rx, F.lit(2), F.length(rx))))
 
 
+def _longest_piece(hint: Column) -> Column:
+    """Longest literal piece of a glob: a path without it cannot fit."""
+    pieces = F.transform(F.split(hint, "[*?]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
+    return F.array_max(pieces)["p"]
+
+
 def _file_fits(file: Column, hint: Column) -> Column:
-    """A hint with ``*`` is a glob on the path or base name; otherwise part of the path."""
-    return F.when(hint["glob"], F.rlike(file, hint["rx"])).otherwise(F.contains(file, hint["hint"]))
+    """A hint with ``*`` is a glob on the path or base name; otherwise part of the path.
+
+    The cheap test for the literal piece spares most regex evaluations.
+    """
+    return F.when(hint["glob"], F.contains(file, hint["piece"]) & F.rlike(file, hint["rx"])).otherwise(F.contains(file, hint["hint"]))
 
 
 def _ratio(n: Column, of: Column) -> Column:
