@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from culprit.llm import bpe_transducer, line_dedup, simhash_trie
+from culprit.llm import bpe_transducer, entropy_mix, line_dedup, simhash_trie, spotsigs
 
 QUERIES = {
+    "op1_spotsigs": spotsigs.op1,
     "op2_line_dedup": line_dedup.op2,
     "op6_bpe_transducer": bpe_transducer.op6,
+    "op8_entropy_mix": entropy_mix.op8,
     "op10_simhash_trie": simhash_trie.op10,
 }
 ORACLES = {
+    "op1_spotsigs": spotsigs.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
 }
