@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from culprit.llm import bpe_transducer, entropy_mix, line_dedup, simhash_trie, spotsigs
+from culprit.llm import bpe_transducer, entropy_mix, html_tree, line_dedup, simhash_trie, spotsigs
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1,
     "op2_line_dedup": line_dedup.op2,
+    "op5_html_tree": html_tree.op5,
     "op6_bpe_transducer": bpe_transducer.op6,
     "op8_entropy_mix": entropy_mix.op8,
     "op10_simhash_trie": simhash_trie.op10,
