@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from culprit.llm import bpe_transducer, entropy_mix, html_tree, line_dedup, simhash_trie, spotsigs
+from culprit.llm import bpe_transducer, entropy_mix, html_tree, line_dedup, simhash_trie, spotsigs, suffix_dedup
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_html_tree": html_tree.op5,
     "op6_bpe_transducer": bpe_transducer.op6,
     "op8_entropy_mix": entropy_mix.op8,
+    "op9_suffix_dedup": suffix_dedup.op9,
     "op10_simhash_trie": simhash_trie.op10,
 }
 ORACLES = {
