@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from culprit.llm import bpe_transducer, entropy_mix, html_tree, line_dedup, simhash_trie, spotsigs, suffix_dedup
+from culprit.llm import bpe_transducer, entropy_mix, html_tree, line_dedup, pivot_topk, simhash_trie, spotsigs, suffix_dedup
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1,
     "op2_line_dedup": line_dedup.op2,
     "op5_html_tree": html_tree.op5,
     "op6_bpe_transducer": bpe_transducer.op6,
+    "op7_pivot_topk": pivot_topk.op7,
     "op8_entropy_mix": entropy_mix.op8,
     "op9_suffix_dedup": suffix_dedup.op9,
     "op10_simhash_trie": simhash_trie.op10,
@@ -16,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op1_spotsigs": spotsigs.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op7_pivot_topk": pivot_topk.OP7_SQL,
 }
