@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from culprit.llm import bpe_transducer, entropy_mix, html_tree, language_kernel, line_dedup, pivot_topk, simhash_trie, spotsigs, suffix_dedup
+from culprit.llm import bpe_transducer, entropy_mix, html_tree, language_kernel, line_dedup, pivot_topk, quality_crf, simhash_trie, spotsigs, suffix_dedup
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1,
     "op2_line_dedup": line_dedup.op2,
+    "op3_quality_crf": quality_crf.op3,
     "op4_language_kernel": language_kernel.op4,
     "op5_html_tree": html_tree.op5,
     "op6_bpe_transducer": bpe_transducer.op6,

@@ -174,13 +174,13 @@ def links(classes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """``doc``, ``fp`` and ``component``, the smallest document number in reach, for each row."""
-    found = stored(docs.select(rows.doc_number(docs).alias("doc"), fingerprints(rows.body(docs).cast("binary"), words).alias("fp")))
+    """``doc``, ``key`` (hash of the text), ``fp`` and ``component``, the smallest document number in reach, for each row."""
+    found = stored(docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(rows.body(docs)).alias("key"), fingerprints(rows.body(docs).cast("binary"), words).alias("fp")))
     classes = stored(found.groupBy("fp").agg(F.min("doc").alias("node")))
     # one number can stand for several fingerprints when rows share an id: such classes are linked too
     joined = components(links(classes, bits))
     labels = classes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return found.join(labels, "fp").select("doc", "fp", "component")
+    return found.join(labels, "fp").select("doc", "key", "fp", "component")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
