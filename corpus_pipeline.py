@@ -39,7 +39,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays."""
     groups = simhash_trie.near_duplicates(docs, WORDS, BITS)
-    first = groups.groupBy("component").agg(F.min(F.struct("doc", "key")).alias("one")).select("one.doc", "one.key")
+    first = groups.groupBy("group").agg(F.min(F.struct("doc", "key")).alias("one")).select("one.doc", "one.key")
     return _keyed(docs).join(first, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).select("row.*")
 
 

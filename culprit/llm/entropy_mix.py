@@ -30,7 +30,7 @@ from culprit.llm import rows
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 STEPS, CLOSE = 60, 1e-9
-OFFERED = 4  # documents of a source, size class and direction that may settle what rounding leaves
+OFFERED = 16  # documents of a source, size class and direction that may settle what rounding leaves
 
 
 def n_words(text: Column) -> Column:

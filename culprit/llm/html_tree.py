@@ -170,7 +170,8 @@ def main_text(html: str | None) -> str:
         return ""
     parser = TreeParser()
     parser.feed(html)
-    parser.close()
+    if not parser.rawdata.startswith("<!--"):  # a comment that is never closed reaches to the end
+        parser.close()
     root = parser.root
     scored: dict[int, Element] = {}
     for owner, text, linked in blocks(root):

@@ -10,7 +10,7 @@ tasks go through connected components.
 
 Rules: A-Z lower-cased, words split at ASCII white space, shingles of ``words`` words with repeats,
 a shorter text is one shingle, a text without words has fingerprint 0; null text is empty; a null
-id counts as the smallest; rows that share an id share a component number. Nothing is sampled or
+id counts as the smallest; rows that share an id are documents of their own. Nothing is sampled or
 capped.
 """
 
@@ -174,13 +174,14 @@ def links(classes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """``doc``, ``key`` (hash of the text), ``fp`` and ``component``, the smallest document number in reach, for each row."""
+    """``doc``, ``key`` (hash of the text), ``fp``, ``group`` (a fingerprint that stands for all in reach) and
+    ``component``, the smallest document number in reach, for each row."""
     found = stored(docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(rows.body(docs)).alias("key"), fingerprints(rows.body(docs).cast("binary"), words).alias("fp")))
-    classes = stored(found.groupBy("fp").agg(F.min("doc").alias("node")))
-    # one number can stand for several fingerprints when rows share an id: such classes are linked too
-    joined = components(links(classes, bits))
-    labels = classes.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return found.join(labels, "fp").select("doc", "key", "fp", "component")
+    classes = stored(found.groupBy("fp").agg(F.min("doc").alias("least")))
+    joined = components(links(classes.select("fp", F.col("fp").alias("node")), bits))
+    grouped = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component"))
+    return found.join(grouped.join(least, "group").select("fp", "group", "component"), "fp").select("doc", "key", "fp", "group", "component")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
