@@ -61,23 +61,25 @@ def pick_baseline(runs: DataFrame, keys: Sequence[str] = ("repo", "workflow", "b
     """
     keys = list(keys)
     order = ["ts", "run_id"]
-    me = F.struct("run_id", "sha", "ts")
-    good = runs.filter("status = 'success'").select(*keys, *order, "sha")
+    # commit names and states are compared without case and outer white space
+    runs = runs.withColumn("_sha", F.lower(F.trim("sha")))
+    me = F.struct("run_id", "sha", "ts", "_sha")
+    good = runs.filter(F.lower(F.trim("status")) == "success").select(*keys, *order, "sha", "_sha")
     b = time_bucket(F.col("ts"), bucket)
     linked = last_before(good, keys, order, b, me, "prev")
-    turn = F.when(~F.col("prev.sha").eqNullSafe(F.col("sha")), F.struct("run_id", "prev"))
+    turn = F.when(~F.col("prev._sha").eqNullSafe(F.col("_sha")), F.struct("run_id", "prev"))
     # the latest change of commit at or before a success starts its streak
     streak = last_before(linked, keys, order, b, turn, "turn_before")
     start = F.coalesce(turn, F.col("turn_before"))
-    remembered = streak.select(*keys, *order, "sha", F.struct("run_id", "sha", "ts", start["prev"].alias("other")).alias("mark"))
+    remembered = streak.select(*keys, *order, "sha", F.struct("run_id", "sha", "ts", "_sha", start["prev"].alias("other")).alias("mark"))
     rows = runs.join(remembered.select(*keys, "run_id", "mark"), [*keys, "run_id"], "left")
     seen = last_before(rows, keys, order, b, F.col("mark"), "last_good")
     other = F.col("last_good.other")
     chosen = F.when(
-        F.lower("last_good.sha") != F.lower("sha"),
+        F.col("last_good._sha") != F.col("_sha"),
         F.struct(F.col("last_good.run_id").alias("run_id"), F.col("last_good.sha").alias("sha"), F.col("last_good.ts").alias("ts")),
-    ).otherwise(other)
-    return seen.withColumn("baseline", chosen).drop("mark", "last_good")
+    ).otherwise(F.when(other.isNotNull(), F.struct(other["run_id"].alias("run_id"), other["sha"].alias("sha"), other["ts"].alias("ts"))))
+    return seen.withColumn("baseline", chosen).drop("mark", "last_good", "_sha")
 
 
 def env_diff(baseline: dict[str, Column], current: dict[str, Column]) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.functions import text as tx
+from culprit.functions.storage import stored
 from culprit.functions.tables import small_table
 
 RULE_COLUMNS = {
@@ -37,7 +38,6 @@ PATTERN_COLUMNS = {
     "pattern": "string",
 }
 WEIGHTED_COLUMNS = {**PATTERN_COLUMNS, "norm": "string", "weight": "double"}
-MAX_SETTLED_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -88,13 +88,10 @@ class RuleSet:
         return self._settle("totals", p.groupBy("rule_id").agg(n_all.alias("n_all")), {"rule_id": "string", "n_all": "bigint"})
 
     def _settle(self, name: str, df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-        """Evaluate a derived rule table once if it is small; a large one stays a plan."""
+        """A derived rule table is written once and read back: its size is then known to the planner, and no rows
+        go through the driver."""
         if name not in self._settled:
-            head = df.select(*columns).take(MAX_SETTLED_ROWS + 1)
-            if len(head) > MAX_SETTLED_ROWS:
-                self._settled[name] = df
-            else:
-                self._settled[name] = small_table(df.sparkSession, [r.asDict() for r in head], columns)
+            self._settled[name] = stored(df.select(*columns))
         return self._settled[name]
 
     def filter_rules(self, condition) -> RuleSet:

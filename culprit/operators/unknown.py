@@ -33,14 +33,13 @@ def candidate_patterns(
             (-cl.candidate_score(l)).alias("neg"), l.alias("line"), F.lower(l).alias("low"), i.alias("i")
         ),
     )
-    rows = base.select(log_id, "stage", F.explode(numbered).alias("x")).select(log_id, "stage", "x.*")
+    by_text = F.array_sort(F.transform(numbered, lambda x: F.struct(x["low"].alias("low"), x["i"].alias("i"), x["neg"].alias("neg"), x["line"].alias("line"))))
+    rows = base.select(log_id, "stage", by_text.alias("xs"))
     # first spelling of a line wins over later ones that differ in case only
-    distinct = rows.groupBy(log_id, "low").agg(F.min_by(F.struct("neg", "line", "stage"), "i").alias("f")).select(
-        log_id, "f.*"
-    )
-    order = W.partitionBy(log_id).orderBy("neg", "line")
-    ranked = distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.select(log_id, "rank", F.col("line").alias("pattern"), (-F.col("neg")).alias("score"), "stage")
+    first = F.filter("xs", lambda x, i: (i == 0) | (F.get(F.col("xs"), i - 1)["low"] != x["low"]))
+    best = F.slice(F.array_sort(F.transform(first, lambda x: F.struct(x["neg"].alias("neg"), x["line"].alias("line")))), 1, top)
+    ranked = rows.select(log_id, "stage", F.posexplode(best).alias("at", "x"))
+    return ranked.select(log_id, (F.col("at") + 1).alias("rank"), F.col("x.line").alias("pattern"), (-F.col("x.neg")).alias("score"), "stage")
 
 
 def dominant_signals(candidates: DataFrame) -> DataFrame:
