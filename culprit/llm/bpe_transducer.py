@@ -3,8 +3,8 @@
 Two facts make merges a left-to-right machine. Every run of neighbouring tokens of an encoding is
 itself the encoding of its bytes, and a sequence of tokens is an encoding if each neighbouring pair
 is. So the encoding of a prefix ends in the one token that is a suffix of it and goes with the
-token before. A state is therefore (last settled token, bytes still open); reading a byte finds the
-token that ends there. Positions from which a longer token could still start are alive; what the
+token before. A state is therefore (right edge of the last settled token, bytes still open); reading a
+byte finds the token that ends there. Positions from which a longer token could still start are alive; what the
 splits of all live positions have in common is settled and emitted. Each (state, byte) is worked
 out once and remembered (lazy determinisation).
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from culprit.llm import rows
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 350_000
-MAX_PIECES = 400_000
+MAX_STATES = 600_000
+MAX_PIECES = 250_000
 MAX_PIECE_BYTES = 64
 CHUNK = 1 << 20
 
@@ -44,30 +44,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class State:
-    __slots__ = ("left", "open", "ends", "live", "step")
-
-    def __init__(self, left: int, open_: bytes, ends: tuple[int, ...], live: tuple[int, ...]):
-        self.left, self.open = left, open_
-        self.ends = ends  # ends[i]: the token that ends after open byte i
-        self.live = live  # positions from which the open bytes begin a longer token
-        self.step: dict[int, tuple[State, tuple[int, ...]]] = {}
-
-
 class Transducer:
+    """States are numbers. Of each: the right edge of the last settled token, the open bytes, the token that ends
+    after each open byte, where the first open token ends on the way there, and the positions from
+    which the open bytes begin a longer token."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {r: t for t, r in ranks.items()}
+        self.size = {r: len(t) for t, r in ranks.items()}
         #: For tokens and beginnings of tokens: the token or -1, and whether a longer token begins so.
         self.known = {t[:i]: (-1, True) for t in ranks for i in range(1, len(t))}
         self.known.update({t: (r, t in self.known) for t, r in ranks.items()})
         self.edges: tuple[dict[int, tuple], dict[int, tuple]] = {}, {}
+        self.rights: dict[int, tuple] = {}
+        self.same: dict[tuple, tuple] = {}
         self.whole: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.start = State(-1, b"", (), ())
-        self.states = {(-1, b""): self.start}
+        self.states: list[tuple] = [((), b"", (), (), ())]
+        self.number = {(id(self.same.setdefault((), ())), b""): 0}
+        self.step: dict[int, int] = {}  # state and byte to the next state, or to ~i where tokens are emitted:
+        self.emitting: list[tuple[int, tuple[int, ...]]] = []  # the i-th next state with its tokens
 
     def parts(self, data: bytes, below: int) -> list[bytes]:
         """What the merges with a rank under ``below`` make of the bytes of one token."""
@@ -99,81 +98,138 @@ class Transducer:
             ok = self.whole[token] = len(self.parts(self.token[token], 1 << 40)) == 1
         return ok
 
-    def goes_after(self, left: int, right: int) -> bool:
-        """Whether [left, right] is an encoding: no merge across the boundary comes while both its parts stand
-        there. Of equal ranks the leftmost merge is first."""
+    def right_edge(self, token: int) -> tuple[tuple[bytes, int], ...]:
+        """The parts at the right end of a token that some merge takes as its left part. Tokens with equal right
+        edges need not be told apart any more, so this stands for the settled token in a state."""
+        known = self.rights.get(token)
+        if known is None:
+            edge = tuple([(x, until) for x, until in self.edge(token, 1) if self.known[x][1]])
+            known = self.rights[token] = self.same.setdefault(edge, edge)
+        return known
+
+    def goes_after(self, left: tuple[tuple[bytes, int], ...], right: int) -> bool:
+        """Whether a token with this right edge and ``right`` are an encoding: no merge across the boundary comes
+        while both its parts stand there. Of equal ranks the leftmost merge is first."""
         rank = self.ranks.get
-        for x, x_until in self.edge(left, 1):
-            for y, y_until in self.edge(right, 0):
+        edge = self.edge(right, 0)
+        for x, x_until in left:
+            for y, y_until in edge:
                 r = rank(x + y)
                 if r is not None and r < x_until and r <= y_until:
                     return False
         return True
 
     def split(self, ends: tuple[int, ...], at: int) -> list[int]:
-        """Ends of the tokens that lead to position ``at``, from the right."""
+        """The tokens that lead to position ``at``."""
         out = []
         while at > 0:
-            out.append(at)
-            at -= len(self.token[ends[at - 1]])
-        return out
-
-    def built(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        data = s.open + bytes((byte,))
-        n, last, live = len(data), -1, []
-        for at in (*s.live, n - 1):  # from the longest ending on
-            token, begins = self.known.get(data[at:], (-1, False))
+            out.append(ends[at - 1])
+            at -= self.size[ends[at - 1]]
+        return out[::-1]
+
+    def ending(self, state: int, data: bytes) -> tuple[int, int, list[int]]:
+        """Of the open bytes and one more: the token that ends there, where it starts, and the live positions."""
+        left, _, ends, _, live_before = self.states[state]
+        last, start, live = -1, 0, []
+        get, whole, rights = self.known.get, self.whole.get, self.rights.get
+        for at in (*live_before, len(data) - 1):  # from the longest ending on
+            token, begins = get(data[at:], (-1, False))
             if begins:
                 live.append(at)
-            if last < 0 <= token and self.is_whole(token):
-                before = s.ends[at - 1] if at else s.left
-                if before < 0 or self.goes_after(before, token):
-                    last = token
+            if last < 0 <= token and (whole(token) or self.is_whole(token)):
+                edge = left if not at else rights(ends[at - 1])
+                if edge is None:
+                    edge = self.right_edge(ends[at - 1])
+                if not edge or self.goes_after(edge, token):
+                    last, start = token, at
         if last < 0:
             raise ValueError("a byte is missing from the vocabulary")
-        ends = (*s.ends, last)
-        own = self.split(ends, n)
-        common = set(own)
-        for at in live:
-            common.intersection_update(self.split(ends, at))
-        settled = max(common, default=0)
-        emitted = tuple([ends[i - 1] for i in reversed(own) if i <= settled])
-        key = (emitted[-1] if emitted else s.left, data[settled:])
-        state = self.states.get(key)
-        if state is None:
-            state = self.states[key] = State(*key, ends[settled:], tuple([at - settled for at in live]))
-        s.step[byte] = state, emitted
-        return state, emitted
+        return last, start, live
+
+    def built(self, state: int, byte: int) -> int:
+        left, data, ends, roots, _ = self.states[state]
+        data += bytes((byte,))
+        n = len(data)
+        last, start, live = self.ending(state, data)
+        root = roots[start - 1] if start else n
+        ends, roots = (*ends, last), (*roots, root)
+        emitted: tuple[int, ...] = ()
+        # as long as all that can still happen begins with the same token, that token is settled
+        while n and not (live and live[0] == 0):
+            first = roots[-1]
+            for at in live:
+                if roots[at - 1] != first:
+                    break
+            else:
+                emitted += (ends[first - 1],)
+                left = self.right_edge(ends[first - 1])
+                data, ends, live, n = data[first:], ends[first:], [at - first for at in live], n - first
+                again: list[int] = []
+                for i, token in enumerate(ends, 1):
+                    before = i - self.size[token]
+                    again.append(again[before - 1] if before > 0 else i)
+                roots = tuple(again)
+                continue
+            break
+        key = (id(left), data)  # equal edges are one object that lives as long as this machine
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.states)
+            self.states.append((left, data, ends, roots, tuple(live)))
+        if emitted:
+            self.emitting.append((to, emitted))
+            to = ~(len(self.emitting) - 1)
+        self.step[state << 8 | byte] = to
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > MAX_STATES:
             self.clear()
-        s, out = self.start, []
-        for n, byte in enumerate(piece, 1):
-            s, emitted = s.step.get(byte) or self.built(s, byte)
-            out += emitted
+        state, out, get = 0, [], self.step.get
+        for n, byte in enumerate(piece[:-1], 1):
+            to = get(state << 8 | byte)
+            if to is None:
+                to = self.built(state, byte)
+            if to < 0:
+                state, emitted = self.emitting[~to]
+                out += emitted
+            else:
+                state = to
             if not n % CHUNK and len(self.states) > MAX_STATES:  # one endless piece: go on from a copy of the state
-                kept = s
+                kept = self.states[state]
                 self.clear()
-                s = self.states[kept.left, kept.open] = State(kept.left, kept.open, kept.ends, kept.live)
-        return out + [s.ends[i - 1] for i in reversed(self.split(s.ends, len(s.open)))]
+                get = self.step.get
+                if kept[0] or kept[1]:
+                    self.states.append(kept)
+                    self.number[id(kept[0]), kept[1]] = 1
+                state = len(self.states) - 1
+        # nothing follows the last byte: its token ends the encoding and needs no state
+        _, data, ends, _, _ = self.states[state]
+        last, start, _ = self.ending(state, data + piece[-1:])
+        return out + self.split(ends, start) + [last]
 
 
 class Pieces(dict):
-    """Ids of a piece as little-endian unsigned 32-bit integers."""
+    """Ids of a piece as little-endian unsigned 32-bit integers; the pieces of the last generation are kept
+    while a new one fills."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
+        self.last: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode("utf-8")
-        whole = self.machine.ranks.get(data)
-        ids = np.array([whole] if whole is not None else self.machine.encode(data), dtype="<u4").tobytes()
-        if len(data) <= MAX_PIECE_BYTES:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.last.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8")
+            whole = self.machine.ranks.get(data)
+            ids = np.array([whole] if whole is not None else self.machine.encode(data), dtype="<u4").tobytes()
+            if len(data) > MAX_PIECE_BYTES:
+                return ids
+        if len(self) >= MAX_PIECES:
+            self.last = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -215,7 +271,10 @@ class Codec:
         self.pieces = Pieces(self.machine)
         self.pattern = regex.compile(pattern)
         self.cut = regex.compile(r"\S(?=\s)")
-        self.table = [self.machine.token.get(i, b"") for i in range(max(self.machine.token) + 1)]
+        tokens = [self.machine.token.get(i, b"") for i in range(max(self.machine.token) + 1)]
+        self.all_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def parts(self, text: str) -> Iterator[str]:
         """The text in parts of about CHUNK characters that the pattern treats alike."""
@@ -233,9 +292,11 @@ class Codec:
             yield b"".join(map(self.pieces.__getitem__, self.pattern.findall(part)))
 
     def decode_parts(self, parts: Iterable[bytes]) -> Iterator[bytes]:
-        get = self.table.__getitem__
-        for ids in parts:
-            yield b"".join(map(get, np.frombuffer(ids, "<u4").tolist()))
+        for some in parts:
+            ids = np.frombuffer(some, "<u4")
+            size = self.sizes[ids]
+            ends = np.cumsum(size)
+            yield self.all_bytes[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[ids] - ends + size, size)].tobytes()
 
     def decode_text(self, ids: bytes) -> str:
         stream = Utf8Stream()
