@@ -67,10 +67,11 @@ def coverage(results: DataFrame, by_source: bool = False) -> DataFrame:
 
 def failure_distribution(results: DataFrame, top: int = 20) -> DataFrame:
     """Share of each failure among the matched logs, most frequent first."""
-    counts = results.filter("matched AND failure_id <> ''").groupBy("failure_id").agg(F.count("*").alias("n"))
-    total = results.filter("matched").agg(F.count("*").alias("total"))
+    counts = results.filter("matched").groupBy("failure_id").agg(F.count("*").alias("n"))
+    # the total comes from the counts, one row for each rule, and not from a second look at the corpus
     return (
-        with_row(counts, total)
+        counts.withColumn("total", F.sum("n").over(W.partitionBy()))
+        .filter("failure_id <> ''")
         .select("failure_id", F.col("n").alias("count"), (F.col("n") / F.col("total") * 100).alias("pct"))
         .orderBy(F.desc("count"), "failure_id")
         .limit(top)
@@ -233,6 +234,7 @@ def quality_gate(
     log_id: str = "log_id",
 ) -> DataFrame:
     """One row: pass or fail of a comparison, with the reasons."""
+    baseline, current = stored(baseline), stored(current)
     row = match_rate_delta(baseline, current)
     if fail_on_nondeterminism:
         changed = determinism_diff(baseline, current, log_id).filter("field <> 'fixture_id'")
@@ -260,35 +262,23 @@ def quality_gate(
 
 
 def tree_hash(ids: DataFrame, key: str = "fixture_id") -> DataFrame:
-    """Order-free corpus hash for any size: a hash per id prefix, then a hash of those.
-
-    Not equal to :func:`corpus_hash`; the two have different names on purpose.
-    """
-    leaf = ids.groupBy(F.substring(key, 1, 3).alias("p")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("h")
-    )
-    return leaf.agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n"), 256).alias(
-            "tree_hash"
-        )
-    )
-
-
-MAX_EXACT_IDS = 2_000_000
+    """Order-free corpus hash for any size: a hash for each id prefix of 6 characters, of those for each prefix of 3,
+    and of those. Not equal to :func:`corpus_hash`; the two have different names on purpose."""
+    pairs_hash = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n"), 256)
+    leaf = ids.groupBy(F.substring(key, 1, 6).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(key)), "\n"), 256).alias("h"))
+    branch = leaf.groupBy(F.substring("p", 1, 3).alias("q")).agg(pairs_hash.alias("h")).withColumnRenamed("q", "p")
+    return branch.agg(pairs_hash.alias("tree_hash"))
 
 
 def corpus_hash(ids: DataFrame, key: str = "fixture_id") -> DataFrame:
-    """Hash of all sorted ids as one text. Needs them in one row, so larger corpora are refused."""
-    n = ids.count()
-    if n > MAX_EXACT_IDS:
-        raise ValueError(f"{n} ids do not fit one row; use tree_hash")
+    """Hash of all sorted ids as one text, which has to fit one row; :func:`tree_hash` is the form for any size."""
     joined = F.concat(F.array_join(F.array_sort(F.collect_list(key)), "\n"), F.lit("\n"))
     return ids.agg(F.sha2(joined, 256).alias("corpus_hash"))
 
 
-def manifest(fixtures: DataFrame, key: str = "fixture_id", exact: bool = True) -> DataFrame:
-    """Corpus size, sorted sources and hash."""
-    hashes = corpus_hash(fixtures, key) if exact else tree_hash(fixtures, key)
+def manifest(fixtures: DataFrame, key: str = "fixture_id") -> DataFrame:
+    """Corpus size, sorted sources and tree hash."""
+    hashes = tree_hash(fixtures, key)
     sources = fixtures.groupBy("source").agg(F.count("*").alias("n"))
     summary = sources.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("fixture_count"), F.array_sort(F.collect_list("source")).alias("sources")
@@ -298,6 +288,7 @@ def manifest(fixtures: DataFrame, key: str = "fixture_id", exact: bool = True) -
 
 def coverage_summary(results: DataFrame, top: int = 5, log_id: str = "log_id") -> DataFrame:
     """One row: size, rate, the most frequent failures and the largest gaps (errors left out)."""
+    results = stored(results)
     covered = failure_distribution(results, top).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "failure_id"))), lambda x: x["failure_id"]

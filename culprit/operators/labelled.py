@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from culprit.functions import text as tx
+from culprit.functions.storage import stored
 from culprit.functions.tables import with_row
 
 # --- fixed values: confidence floor of real fixtures, default ranks, near-duplicate threshold ---
@@ -290,9 +292,11 @@ def near_sets(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_id: str =
     ``pairs(set_a, set_b, similarity)``. Copies share one set, so they are never paired.
 
     Pairs come from prefix filtering: with any fixed order of lines, two sets at Jaccard >= t
-    share a line among the first ``n - ceil(t n) + 1`` of each. Ordering rare lines first keeps
-    boilerplate out of the prefixes; only lines above a share of all lines need their count, and
-    at most ``MAX_HOT`` lines can be above it. Lines are compared by their 64-bit hash.
+    share a line among the first ``n - ceil(t n) + 1`` of each. Lines are in order of the number of
+    sets that hold them, so boilerplate is last and lines that only one set holds come first and
+    are never looked up. The index has a set's number, size and the line's position, no lines; sets
+    meet in their own size class and the next one, and size and position decide which of them are
+    compared, each pair once. Lines are compared by their 64-bit hash.
     """
     lines = F.filter(
         F.transform(F.split(F.lower(F.col(text)), "\n"), tx.trim_space), lambda l: l != ""
@@ -301,41 +305,33 @@ def near_sets(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_id: str =
         log_id, tx.fixture_fingerprint(F.col(text)).alias("fingerprint"),
         F.array_sort(F.array_distinct(F.transform(lines, lambda l: F.xxhash64(l)))).alias("hs"),
     ).withColumn("set_key", F.sha2(F.array_join(F.col("hs").cast("array<string>"), ","), 256))
-    sets = base.groupBy("set_key").agg(F.min(log_id).alias("set_id"), F.any_value("hs").alias("hs"))
+    base = stored(base)
+    sets = stored(base.groupBy("set_key").agg(F.min(log_id).alias("set_id"), F.any_value("hs").alias("hs")))
     members = base.select(log_id, "fingerprint", "set_key", F.size("hs").alias("n_lines")).join(sets.select("set_key", "set_id"), "set_key").drop("set_key")
-    exploded = sets.select("set_id", F.explode("hs").alias("h"))
-    counts = exploded.groupBy("h").agg(F.count("*").alias("n"))
-    total = exploded.agg(F.count("*").alias("total"))
-    hot = with_row(counts.filter("n > 1"), total).filter(F.col("n") * MAX_HOT >= F.col("total")).select("h", F.col("n").alias("freq"))
-    ordered = (
-        exploded.join(hot, "h", "left")
-        .groupBy("set_id")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "h"))).alias("o"))
-        .select("set_id", F.transform("o", lambda x: x["h"]).alias("hs"))
-    )
-    n = F.size("hs")
-    prefix = F.slice("hs", F.lit(1), n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
-    index = ordered.select("set_id", "hs", prefix.alias("prefix")).select("*", F.explode("prefix").alias("h"))
-
-    def side(p: str) -> DataFrame:
-        return index.select("h", *[F.col(c).alias(f"{c}_{p}") for c in ("set_id", "hs", "prefix")])
-
-    na, nb = F.size("hs_a"), F.size("hs_b")
-    candidates = side("a").join(side("b"), "h").filter(
-        (F.col("set_id_a") < F.col("set_id_b"))
-        & (F.least(na, nb) >= F.greatest(na, nb) * F.lit(threshold) - 1e-9)
-        & (F.get(F.array_intersect("prefix_a", "prefix_b"), 0) == F.col("h"))
-    )
+    each = sets.select("set_id", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("holders")).filter("holders > 1")
+    own = W.partitionBy("set_id")
+    at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "h"))
+    size_class = F.floor(F.log("n") / F.lit(-math.log(threshold)))
+    ranked = each.join(often, "h").withColumn("at", at).withColumn("class", size_class)
+    index = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("h", "class", "set_id", "n", "at")
+
+    left = index.select("h", "class", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "at")])
+    right = index.select("h", F.explode(F.array("class", F.col("class") - 1)).alias("class"), *[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "at")])
+    na, nb = F.col("n_a"), F.col("n_b")
+    once = (na < nb) | ((na == nb) & (F.col("set_id_a") < F.col("set_id_b")))
+    reach = F.least(na - F.col("at_a"), nb - F.col("at_b")) + F.least("at_a", "at_b")
+    near = (na >= nb * threshold - 1e-9) & (reach >= (na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    candidates = left.join(right, ["h", "class"]).filter(once & near).select("set_id_a", "set_id_b").distinct()
+    lines_of = lambda s: sets.select(F.col("set_id").alias(f"set_id_{s}"), F.col("hs").alias(f"hs_{s}"))
     shared = F.size(F.array_intersect("hs_a", "hs_b"))
-    pairs = candidates.select(
-        F.col("set_id_a").alias("set_a"), F.col("set_id_b").alias("set_b"), (shared / (na + nb - shared)).alias("similarity")
+    similarity = shared / (F.size("hs_a") + F.size("hs_b") - shared)
+    pairs = candidates.join(lines_of("a"), "set_id_a").join(lines_of("b"), "set_id_b").select(
+        F.least("set_id_a", "set_id_b").alias("set_a"), F.greatest("set_id_a", "set_id_b").alias("set_b"), similarity.alias("similarity")
     ).filter(F.col("similarity") >= threshold)
     return members, pairs
 
 
-MAX_HOT = 100_000
-
-
 def review_duplicates(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_id: str = "log_id", text: str = "text") -> DataFrame:
     """Status of each text: exact duplicate, near-duplicate or candidate.
 

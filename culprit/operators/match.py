@@ -7,7 +7,7 @@ and the ranking windows. Log texts are never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,7 +49,7 @@ def _automaton_hits(spark, text: Column, patterns: Sequence[str]) -> Column:
     shared = spark.sparkContext.broadcast(list(patterns))
 
     @F.pandas_udf(HIT_TYPE)
-    def find(texts: pd.Series) -> pd.Series:
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
@@ -73,7 +73,8 @@ def _automaton_hits(spark, text: Column, patterns: Sequence[str]) -> Column:
                         first[p] = line - t.count("\n", start, seen)
             return [{"norm": p, "line_no": n} for p, n in first.items()]
 
-        return texts.map(first_lines)
+        for texts in batches:  # one automaton for all batches of a task
+            yield texts.map(first_lines)
 
     return find(text)
 

@@ -222,20 +222,23 @@ def quality_gate(spark, sf):
     return g.select("pass", F.array_join("fail_reasons", "|").alias("fail_reasons"), "n_unstable")
 
 
+TREE_SQL = """p AS (SELECT left(fixture_id, 6) AS p, sha256(string_agg(fixture_id, chr(10) ORDER BY fixture_id)) AS h FROM f GROUP BY 1),
+ q AS (SELECT left(p, 3) AS p, sha256(string_agg(h, chr(10) ORDER BY p)) AS h FROM p GROUP BY 1)"""
+
+
 @register(
     "corpus_manifest",
-    INGEST_SQL + " SELECT count(*) AS fixture_count, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT source AS s FROM f)) AS sources, "
-    "sha256(string_agg(fixture_id, chr(10) ORDER BY fixture_id) || chr(10)) AS corpus_hash FROM f",
+    INGEST_SQL + f", {TREE_SQL} SELECT count(*) AS fixture_count, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT source AS s FROM f)) AS sources, "
+    "(SELECT sha256(string_agg(h, chr(10) ORDER BY p)) FROM q) AS tree_hash FROM f",
 )
 def corpus_manifest(spark, sf):
     m = cp.manifest(ingest_corpus(spark, sf).select("fixture_id", "source"))
-    return m.select("fixture_count", F.array_join("sources", ",").alias("sources"), "corpus_hash")
+    return m.select("fixture_count", F.array_join("sources", ",").alias("sources"), "tree_hash")
 
 
 @register(
     "corpus_tree_hash",
-    INGEST_SQL + """, p AS (SELECT left(fixture_id, 3) AS p, sha256(string_agg(fixture_id, chr(10) ORDER BY fixture_id)) AS h FROM f GROUP BY 1)
-SELECT sha256(string_agg(h, chr(10) ORDER BY p)) AS tree_hash FROM p""",
+    INGEST_SQL + f", {TREE_SQL} SELECT sha256(string_agg(h, chr(10) ORDER BY p)) AS tree_hash FROM q",
 )
 def corpus_tree_hash(spark, sf):
     return cp.tree_hash(ingest_corpus(spark, sf).select("fixture_id"))

@@ -216,10 +216,10 @@ def ingest_new_fixtures(spark, sf):
 @register(
     "promoted_fixtures",
     """SELECT d.doc_id AS log_id, d.lang, 'real' AS fixture_class, 'promoted' AS review_status, '2024-01-01T00:00:00Z' AS promoted_at,
- CASE WHEN l.quality = 1 THEN 'french-text' ELSE 'stutter' END AS expected_rule FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0""",
+ CASE WHEN l.quality = 1 THEN 'french-text' ELSE 'stutter' END AS expected_rule FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def promoted_fixtures(spark, sf):
-    staging = demo.table(spark, sf, "documents").filter("doc_id % 2 = 0").select(
+    staging = demo.table(spark, sf, "documents").select(
         F.col("doc_id").alias("log_id"), "lang", F.lit("staging").alias("fixture_class"), F.lit("").alias("expected_rule"))
     accepted = demo.table(spark, sf, "labels").select(F.col("doc_id").alias("log_id"), F.when(F.col("quality") == 1, "french-text").otherwise("stutter").alias("expected_rule"))
     return lb.promote(staging, accepted, F.lit("2024-01-01T00:00:00Z")).select("log_id", "lang", "fixture_class", "review_status", "promoted_at", "expected_rule")

@@ -418,7 +418,7 @@ def change_signals(spark, sf):
 
 @register(
     "merged_contexts",
-    f"""{C}, a AS (SELECT repo, strftime(ts, '%Y-%m') AS m, list(DISTINCT file) AS fl FROM cf WHERE hash[-1] IN ('0', '1') GROUP BY 1, 2), b AS (SELECT repo, strftime(ts, '%Y-%m') AS m, list(DISTINCT file) AS fl FROM cf WHERE hash[-1] IN ('1', '2') GROUP BY 1, 2),
+    f"""{C}, a AS (SELECT repo, strftime(ts, '%Y-%m') AS m, list(DISTINCT file) AS fl FROM cf WHERE hash[-1] IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9') GROUP BY 1, 2), b AS (SELECT repo, strftime(ts, '%Y-%m') AS m, list(DISTINCT file) AS fl FROM cf WHERE hash[-1] IN ('5', '6', '7', '8', '9', 'a', 'b', 'c', 'd', 'e', 'f') GROUP BY 1, 2),
  j AS (SELECT coalesce(a.repo, b.repo) || ':' || coalesce(a.m, b.m) AS change_id, a.fl AS fa, b.fl AS fb FROM a FULL JOIN b ON a.repo = b.repo AND a.m = b.m)
 SELECT change_id, CASE WHEN fa IS NOT NULL THEN 'root-a' ELSE 'root-b' END AS root, CASE WHEN fb IS NOT NULL THEN 'ci' ELSE '' END AS provider,
  array_to_string(list_sort(list_distinct(list_concat(coalesce(fa, []), coalesce(fb, [])))), '|') AS changed_files,
@@ -432,7 +432,7 @@ def merged_contexts(spark, sf):
         d = c.filter(end.isin(*ends)).select("change_id", F.explode("files").alias("f")).groupBy("change_id").agg(F.array_sort(F.collect_set("f")).alias("changed_files"))
         return d.withColumns({"root": F.lit(root), "provider": F.lit(provider), "env_diff": F.create_map(*[F.lit(x) for kv in env.items() for x in kv])})
 
-    m = ch.merge_contexts(side(("0", "1"), "root-a", "", {"k": "a", "x": "a"}), side(("1", "2"), "root-b", "ci", {"k": "b", "y": "b"}), lists=["changed_files"])
+    m = ch.merge_contexts(side("0123456789", "root-a", "", {"k": "a", "x": "a"}), side("56789abcdef", "root-b", "ci", {"k": "b", "y": "b"}), lists=["changed_files"])
     env = F.array_join(F.transform(F.array_sort(F.map_entries("env_diff")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return m.select("change_id", "root", "provider", F.array_join("changed_files", "|").alias("changed_files"), env.alias("env"))
 
