@@ -27,56 +27,56 @@ MIN_LOG_LINES = 6
 FENCED_BLOCK = r"(?s)```[^\n`]*\n(.*?)```"
 # --- end of fixed values ----------------------------------------------------------------------------------
 
+LINE_STARTS = frozenset(["pre", "br", *BLOCK_TAGS])
 _SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-class _Text(HTMLParser):
-    """Text of a page: block tags break lines, ``pre`` keeps its white space."""
+class _Segments(HTMLParser):
+    """A page as lines of pieces: ``(text, verbatim)``; block tags begin a line, text inside ``pre`` is verbatim."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.fresh = True  # at the start of a line
-        self.pre = False
-
-    def _break(self) -> None:
-        if self.out and not self.out[-1].endswith("\n"):
-            self.out.append("\n")
-        self.fresh = True
+        self.lines: list[list[tuple[str, bool]]] = [[]]
+        self.verbatim = False
 
     def handle_starttag(self, tag, attrs) -> None:
-        if tag == "pre":
-            self.pre = True
-        if tag in ("pre", "br", *BLOCK_TAGS):
-            self._break()
+        self.verbatim |= tag == "pre"
+        if tag in LINE_STARTS:
+            self.lines.append([])
+
+    def handle_endtag(self, tag) -> None:
+        self.verbatim &= tag != "pre"
+        if tag in LINE_STARTS and tag != "br":
+            self.lines.append([])
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
 
-    def handle_endtag(self, tag) -> None:
-        if tag == "pre":
-            self.pre = False
-        if tag == "pre" or tag in BLOCK_TAGS:
-            self._break()
-
     def handle_data(self, data) -> None:
         text = html.unescape(data)
-        if self.pre:
-            if text:
-                self.out.append(text)
-                self.fresh = text.endswith("\n")
-            return
-        text = " ".join(w for w in _SPACES.split(text) if w)
+        if not self.verbatim:
+            text = " ".join(filter(None, _SPACES.split(text)))
         if text:
-            self.out.append(text if self.fresh else " " + text)
-            self.fresh = False
+            self.lines[-1].append((text, self.verbatim))
+
+
+def _joined(pieces: list[tuple[str, bool]]) -> str:
+    """Pieces of running text are set apart by a space, unless they begin a line; verbatim pieces are not."""
+    out: list[str] = []
+    for text, verbatim in pieces:
+        if out and not verbatim and not out[-1].endswith("\n"):
+            out.append(" ")
+        out.append(text)
+    return "".join(out)
 
 
 def page_text(page: str | None) -> str:
-    parser = _Text()
+    parser = _Segments()
     parser.feed((page or "").strip())
     parser.close()
-    lines = [l.strip() for l in "".join(parser.out).replace("\r\n", "\n").split("\n")]
+    texts = [t for t in map(_joined, parser.lines) if t]
+    whole = "".join(t if t.endswith("\n") else f"{t}\n" for t in texts)
+    lines = [l.strip() for l in whole.replace("\r\n", "\n").split("\n")]
     kept = [l for i, l in enumerate(lines) if l or (i and lines[i - 1])]
     return "\n".join(kept).strip()
 

@@ -12,6 +12,7 @@ from culprit.functions import text as tx
 from culprit.functions.storage import checkpoint_dir
 from culprit.operators import corpus as cp
 from culprit.operators import match as mt
+from culprit.operators import rules as ru
 from culprit.plans import demo, sql
 from culprit.plans.sql import any_of, lit, sub
 from culprit.plans.texts import CLUSTER, evidence_line_sql
@@ -321,3 +322,61 @@ def input_hashes(spark, sf):
 def match_fingerprints(spark, sf):
     r = mt.match_rules(demo.logs(spark, sf), demo.rules(spark))
     return r.select("log_id", "rule_id", mt.match_fingerprint(F.col("rule_id"), F.col("evidence")).alias("fingerprint"))
+
+
+@register("log_files", "SELECT doc_id AS log_id, text || chr(10) AS text FROM documents")
+def log_files(spark, sf):
+    """Each document as a log file of its own, read back with its path as source."""
+    path = scratch(spark, "logs")
+    demo.table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    name = F.regexp_extract("source", "doc_id=(-?[0-9]+)/[^/]*$", 1).cast("bigint")
+    return sc.read_logs(spark, path).select(name.alias("log_id"), "text")
+
+
+@register(
+    "fixture_files",
+    f"""WITH g AS (SELECT doc_id, array_to_string({sql.lines('text')}, chr(10)) AS t FROM documents)
+SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'real' ELSE 'minimal' END AS fixture_class, left(sha256(t), 16) AS fingerprint, 'rule-' || doc_id % 5 AS expected FROM g""",
+)
+def fixture_files(spark, sf):
+    """Labelled fixtures as JSON lines and back."""
+    path = scratch(spark, "fixtures")
+    d = demo.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, "real").alias("fixture_class"), F.col("text").alias("raw_log"), F.lit("").alias("normalized_log"),
+        F.struct(F.concat(F.lit("rule-"), F.col("doc_id") % 5).alias("expected_playbook"), F.lit(1).alias("top_n")).alias("expectation"), F.lit("").alias("fingerprint"),
+    )
+    sc.write_json_table(d, path)
+    return sc.read_fixtures(spark, path).select("id", "fixture_class", "fingerprint", F.col("expectation.expected_playbook").alias("expected"))
+
+
+def _loaded(spark):
+    """The rule tables, written and loaded again with their checks."""
+    rules, path = demo.rules(spark), scratch(spark, "rules")
+    rules.rules.write.parquet(f"{path}/rules")
+    rules.patterns.write.parquet(f"{path}/patterns")
+    return ru.load_rules(spark.read.parquet(f"{path}/rules"), spark.read.parquet(f"{path}/patterns"))
+
+
+@register("evaluate_loaded_rules", sql.results() + "SELECT log_id, matched, failure_id, confidence FROM results")
+def evaluate_loaded_rules(spark, sf):
+    return mt.evaluate_logs(demo.logs(spark, sf), _loaded(spark), source="source").select("log_id", "matched", "failure_id", "confidence")
+
+
+@register("explained_logs", sql.results() + "SELECT x.log_id, r.rule_id, r.title, r.category, r.severity FROM results x JOIN rules r ON r.rule_id = x.failure_id WHERE x.matched AND r.rule_id = 'stutter'")
+def explained_logs(spark, sf):
+    """Logs of one rule with what the rule says."""
+    rule = demo.rules(spark).explain("stutter").select("rule_id", "title", "category", "severity")
+    r = mt.evaluate_logs(demo.logs(spark, sf), demo.rules(spark), source="source").filter("matched")
+    return r.select("log_id", F.col("failure_id").alias("rule_id")).join(rule, "rule_id")
+
+
+@register(
+    "unknown_fingerprints",
+    """WITH l AS (SELECT doc_id, 'unknown' || lang || source || 'step' || array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:3], lambda x: trim(x)), '') AS fp FROM documents)
+SELECT doc_id AS log_id, format('{:08x}', list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, strlen(fp) + 1), lambda i: ('0x' || hex(encode(fp)[i:i]))::BIGINT)),
+ lambda a, b: (xor(a, b) * 16777619) & 4294967295)) AS fingerprint FROM l""",
+)
+def unknown_fingerprints(spark, sf):
+    d = demo.logs(spark, sf).join(demo.table(spark, sf, "documents").select(F.col("doc_id").alias("log_id"), "lang"), "log_id")
+    signals = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return d.select("log_id", mt.unknown_fingerprint(F.col("lang"), F.col("source"), F.lit("step"), signals).alias("fingerprint"))
