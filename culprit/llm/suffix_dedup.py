@@ -37,7 +37,8 @@ LENGTH = 400
 GRAM = 48
 AT_ONCE = 1 << 19  # positions of a text worked on at a time; with a window less than 2^20
 SHARD_BYTES = 2_000_000
-SHARD_SEGMENTS = 2_000  # of one hash in one shard
+SHARD_SEGMENTS = 4_000  # of one hash in one shard
+MERGE_ROWS = 100_000  # strings that one task merges
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ANCHOR = "key bigint, seg_hi bigint, seg_lo bigint, doc bigint, text_key bigint, start bigint, size int"
@@ -182,8 +183,9 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, rank: np.ndarray, st
     return lcp
 
 
-def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment which of its strings of ``length`` bytes start anywhere else in the segments."""
+def repeated_starts(segments: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment which of its strings of ``length`` bytes start anywhere else in the segments, and which are
+    the first of their kind in the order of the array."""
     sizes = np.array([len(s) for s in segments])
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     symbols = np.zeros(int(sizes.sum()) + len(sizes), np.uint16)
@@ -194,9 +196,8 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     lcp = common_prefixes(symbols, order, rank, starts, sizes)
     long = lcp >= length
     repeated = long.copy()
-    twin = np.flatnonzero(long)
-    repeated[order[rank[twin] - 1]] = True
-    return [repeated[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    repeated[order[rank[np.flatnonzero(long)] - 1]] = True
+    return [(repeated[a : a + n - length + 1], ~long[a : a + n - length + 1]) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -211,15 +212,15 @@ def _shard(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["key", "seg_hi", "seg_lo"]).sort_values(["key", "seg_hi", "seg_lo"])
         out: list[tuple] = []
-        for first in range(0, len(pdf), 60_000):  # ends are 16-bit symbols; a hash is never cut, see ``shard``
+        for first in range(0, len(pdf), 60_000):  # ends are 16-bit symbols; a shard's bytes keep it far below that
             part = pdf.iloc[first : first + 60_000]
             segments = part["bytes"].tolist()
-            for (k, hi, lo, n, spread, shard), seg, mask in zip(part[["key", "seg_hi", "seg_lo", "n", "spread", "shard"]].itertuples(index=False), segments, repeated_starts(segments, length), strict=True):
+            for (k, hi, lo, n, spread, shard), seg, (mask, leads) in zip(part[["key", "seg_hi", "seg_lo", "n", "spread", "shard"]].itertuples(index=False), segments, repeated_starts(segments, length), strict=True):
                 if n > 1:
                     mask = np.ones(len(mask), bool)
                 out += [(k, hi, lo, a, b, None, shard) for a, b in _runs(mask)]
-                if spread:
-                    out += [(k, hi, lo, a, a + 1, xxhash.xxh3_128_digest(seg[a : a + length]), shard) for a in range(len(mask))]
+                if spread:  # each different string once; one that is repeated here is settled and only stands for the others
+                    out += [(k, hi, lo, a, a + 1, xxhash.xxh3_128_digest(seg[a : a + length]), shard) for a in np.flatnonzero(leads).tolist()]
         return pd.DataFrame(out, columns=["key", "seg_hi", "seg_lo", "from_", "to_", "window", "shard"])
 
     return run
@@ -252,24 +253,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
     source = docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(rows.body(docs)).alias("text_key"), rows.body(docs).cast("binary").alias("body"))
     anchors = stored(source.filter(F.octet_length("body") >= length).mapInArrow(_anchored(length, gram), _ANCHOR))
     same = (F.min("seg_hi") == F.max("seg_hi")) & (F.min("seg_lo") == F.max("seg_lo"))
-    often = anchors.groupBy("key").agg(F.count("*").alias("times"), same.alias("same")).filter("times > 1").select("key", "same")
+    # written, so that the join reads two shuffles of which Spark can split a large partition
+    often = stored(anchors.groupBy("key").agg(F.count("*").alias("times"), same.alias("same")).filter("times > 1").select("key", "same"))
     repeated = stored(anchors.join(often, "key"))
     settled = repeated.filter("same").select("doc", "text_key", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
     mixed = repeated.filter(~F.col("same"))
 
     segs = stored(mixed.groupBy("key", "seg_hi", "seg_lo").agg(F.count("*").alias("n"), F.min(F.struct("doc", "text_key", "start", "size")).alias("at")))
-    total = segs.agg(F.sum("at.size")).first()[0] or 0
+    # where every segment is there twice nothing is left to ask
+    width = stored(segs.groupBy("key").agg(F.ceil(F.count("*") / shard_segments).alias("width"), F.min("n").alias("least"), F.sum("at.size").alias("bytes")))
+    total = width.filter("least = 1").agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
-    width = segs.groupBy("key").agg(F.ceil(F.count("*") / shard_segments).alias("width"))
+    full = segs.join(width.filter("least > 1"), "key").select("key", "seg_hi", "seg_lo", F.lit(0).alias("from_"), (F.col("at.size") - length + 1).alias("to_"))
     # shards of spread hashes lie beyond the plain ones
     spread = F.col("width") > 1
     number = F.when(spread, shards + F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("seg_hi", "seg_lo"), F.col("width"))), F.lit(1 << 61))).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards)))
-    wanted = segs.join(width, "key").select("at.doc", "at.text_key", F.struct("key", "seg_hi", "seg_lo", "n", number.alias("shard"), spread.alias("spread"), "at.start", "at.size").alias("w"))
+    wanted = segs.join(width.filter("least = 1"), "key").select("at.doc", "at.text_key", F.struct("key", "seg_hi", "seg_lo", "n", number.alias("shard"), spread.alias("spread"), "at.start", "at.size").alias("w"))
     by_doc = wanted.groupBy("doc", "text_key").agg(F.collect_list("w").alias("wanted"))
     pieces = source.join(by_doc, ["doc", "text_key"]).select("body", "wanted").mapInArrow(_cut, "key bigint, seg_hi bigint, seg_lo bigint, n bigint, shard bigint, spread boolean, bytes binary")
     ranges = stored(pieces.groupBy("shard").applyInPandas(_shard(length), _RANGE))
-    across = ranges.filter(F.col("window").isNotNull()).withColumn("bucket", F.substring("window", 1, 2)).groupBy("key", "bucket").applyInPandas(_merged, "key bigint, seg_hi bigint, seg_lo bigint, from_ int, to_ int")
-    found = ranges.filter(F.col("window").isNull()).select("key", "seg_hi", "seg_lo", "from_", "to_").unionAll(across)
+    strings = ranges.filter(F.col("window").isNotNull())
+    buckets = max(1, math.ceil(strings.count() / MERGE_ROWS))
+    across = strings.groupBy(F.pmod(F.xxhash64("window"), F.lit(buckets)).alias("bucket")).applyInPandas(_merged, "key bigint, seg_hi bigint, seg_lo bigint, from_ int, to_ int")
+    found = ranges.filter(F.col("window").isNull()).select("key", "seg_hi", "seg_lo", "from_", "to_").unionAll(across).unionAll(full)
     matched = mixed.join(found, ["key", "seg_hi", "seg_lo"]).select("doc", "text_key", (F.col("start") + F.col("from_")).alias("a"), (F.col("start") + F.col("to_") - 1 + length).alias("b"))
     return settled.unionAll(matched).groupBy("doc", "text_key").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
