@@ -50,6 +50,17 @@ def log_delta(pairs: DataFrame, current: str = "current_log", baseline: str = "b
     )
 
 
+def successive_deltas(logs: DataFrame, by: Column, log_id: str = "log_id", text: str = "text") -> DataFrame:
+    """Newly failing tests and added errors of each log against the one before it (by id) of the same ``by``.
+
+    What a log fails with is taken out of its text first, so the order of a long history carries short lists and no texts."""
+    found = logs.select(log_id, by.alias("_by"), failing_tests(F.col(text)).alias("tests"), salient_errors(F.col(text)).alias("errors"))
+    none = F.array().cast("array<string>")
+    before = lambda c: F.coalesce(F.lag(c).over(W.partitionBy("_by").orderBy(log_id)), none)
+    linked = found.withColumns({"tests_before": before("tests"), "errors_before": before("errors")})
+    return linked.select(log_id, F.array_except("tests", "tests_before").alias("tests_newly_failing"), F.array_except("errors", "errors_before").alias("errors_added"))
+
+
 def pick_baseline(runs: DataFrame, keys: Sequence[str] = ("repo", "workflow", "branch"), bucket: str = "day") -> DataFrame:
     """For every run the newest earlier successful run with another commit.
 

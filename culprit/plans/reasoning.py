@@ -49,11 +49,7 @@ NAMES = list(dict.fromkeys(x[4] for x in ITEMS))
 
 
 def _delta(spark, sf):
-    from pyspark.sql.window import Window as W
-
-    d = demo.event_logs(spark, sf)
-    base = F.lag("text").over(W.partitionBy(F.substring_index("log_id", "-", 1)).orderBy("log_id"))
-    r = ch.log_delta(d.select("log_id", F.col("text").alias("current_log"), base.alias("baseline_log")))
+    r = ch.successive_deltas(demo.event_logs(spark, sf), F.substring_index("log_id", "-", 1))
     return ch.change_signals(r.withColumn("files", F.array().cast("array<string>")), key="log_id")
 
 

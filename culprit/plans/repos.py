@@ -334,11 +334,7 @@ def _names(text, e):
 SELECT log_id, array_to_string(list_sort(list_filter(ct, lambda x: NOT list_contains(bt, x))), '|') AS tests_newly_failing, array_to_string(list_sort(list_filter(ce, lambda x: NOT list_contains(be, x))), '|') AS errors_added FROM d""",
 )
 def log_delta(spark, sf):
-    from pyspark.sql.window import Window as W
-
-    d = demo.event_logs(spark, sf)
-    base = F.lag("text").over(W.partitionBy(F.substring_index("log_id", "-", 1)).orderBy("log_id"))
-    r = ch.log_delta(d.select("log_id", F.col("text").alias("current_log"), base.alias("baseline_log")))
+    r = ch.successive_deltas(demo.event_logs(spark, sf), F.substring_index("log_id", "-", 1))
     return r.select("log_id", F.array_join("tests_newly_failing", "|").alias("tests_newly_failing"), F.array_join("errors_added", "|").alias("errors_added"))
 
 
