@@ -210,6 +210,46 @@ def appended_history(spark, sf):
     return f.select("run_id", F.col("rank").cast("bigint").alias("rank"), "failure_id", "confidence", "signature_hash")
 
 
+def _appended(spark, sf, name, hooks=None):
+    """One history table, written by day and read back."""
+    root = scratch(spark, "store")
+    d = mt.diagnose(demo.event_logs(spark, sf), demo.ci_rules(spark))
+    day = F.to_timestamp(F.regexp_extract("log_id", r"-(\d{4}-\d{2}-\d{2})$", 1))
+    rows = sh.history_rows(d, day, hooks=hooks(d) if hooks else None)
+    sh.append_history({name: rows[name]}, root)
+    return sh.read_history(spark, root, name)
+
+
+CI = {"rules": demo.CI_RULES, "source": "event_logs"}
+
+
+@register("appended_runs", sql.ranked(**CI) + "SELECT l.log_id AS run_id, r.rule_id IS NOT NULL AS matched, r.rule_id AS failure_id FROM event_logs l LEFT JOIN ranked r ON r.log_id = l.log_id AND r.rank = 1")
+def appended_runs(spark, sf):
+    return _appended(spark, sf, "runs").select("run_id", "matched", "failure_id")
+
+
+@register("appended_matches", sql.ranked(**CI) + "SELECT log_id AS run_id, rank, rule_id, score, confidence FROM ranked")
+def appended_matches(spark, sf):
+    return _appended(spark, sf, "matches").select("run_id", F.col("rank").cast("bigint").alias("rank"), "rule_id", "score", "confidence")
+
+
+@register(
+    "appended_hooks",
+    sql.ranked(**CI) + f"""SELECT log_id AS run_id, rule_id, 'hook-' || rank AS hook_id, CASE WHEN rank = 1 THEN 'verify' ELSE 'collect' END AS category, CASE WHEN rank % 2 = 1 THEN 'executed' ELSE 'failed' END AS status,
+ rank % 2 = 1 AS passed, rank / 100.0E0 AS confidence_delta, sha256('{{"version":"{sg.VERSION}","failure_id":"' || rule_id || '","detector":"log","evidence":' ||
+ to_json(list_sort(list_distinct(list_filter(list_transform(evidence, lambda line: {evidence_line_sql('line')}), lambda l: l <> ''))))::VARCHAR || '}}') AS signature_hash FROM ranked""",
+)
+def appended_hooks(spark, sf):
+    def hooks(d):
+        rank = F.col("rank")
+        return d.filter("live").select(
+            "log_id", "rule_id", F.concat(F.lit("hook-"), rank).alias("hook_id"), F.when(rank == 1, "verify").otherwise("collect").alias("category"), F.lit("command").alias("kind"),
+            F.when(rank % 2 == 1, "executed").otherwise("failed").alias("status"), (rank % 2 == 1).alias("passed"), (rank / 100.0).alias("confidence_delta"), F.lit("").alias("reason"),
+        )
+
+    return _appended(spark, sf, "hooks", hooks).select("run_id", "rule_id", "hook_id", "category", "status", "passed", "confidence_delta", "signature_hash")
+
+
 @register(
     "cluster_samples",
     sql.results(demo.CI_RULES[:2], "event_logs").rstrip() + """, u AS (SELECT log_id, first_line_snippet AS line FROM results WHERE NOT matched AND error = ''),
@@ -226,6 +266,17 @@ def cluster_samples(spark, sf):
     return s.select("cluster_id", F.substring_index("value", "\u0001", 1).alias("log_id"), F.substring_index("value", "\u0001", -1).alias("text"))
 
 
+@register("cluster_sample_files", ORACLES["cluster_samples"].replace("SELECT cluster_id, log_id, text FROM e", "SELECT cluster_id, unnest(string_split(text, chr(10))) AS line FROM e"))
+def cluster_sample_files(spark, sf):
+    """Sample logs of the clusters as text files, one folder for each cluster, read back line by line."""
+    from culprit.operators.rules import RuleSet
+
+    logs, path = demo.event_logs(spark, sf), scratch(spark, "samples")
+    c = cp.gap_clusters(mt.evaluate_logs(logs, RuleSet.from_records(spark, demo.CI_RULES[:2])))
+    sc.write_cluster_samples(c, logs, path, text="text")
+    return spark.read.text(path).select("cluster_id", F.col("value").alias("line"))
+
+
 # Streams over the same tables; append mode shows what the watermark has closed.
 def _event_stream(spark, sf):
     schema = demo.table(spark, sf, "events").schema
