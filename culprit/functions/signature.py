@@ -27,22 +27,38 @@ def normalized_evidence(evidence: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(lines, normalize_evidence_line), lambda l: l != "")))
 
 
-def signature_payload(rule_id: Column, detector: Column, evidence: Column, title: Column) -> Column:
-    """JSON text that identifies a failure; falls back to the title, then to the rule id."""
+def _distinct(values: Column, clean) -> Column:
+    """Sorted distinct cleaned values, null where none is left (so that the field is left out of the payload)."""
+    kept = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), clean), lambda v: v != "")))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def _token(value: Column) -> Column:
+    return F.lower(tx.collapse_space(tx.trim_space(value)))
+
+
+def _file(value: Column) -> Column:
+    bare = F.btrim(F.replace(tx.trim_space(value), F.lit("\\"), F.lit("/")), F.lit("\"'()[]{}<>,;:"))
+    return F.when(bare.rlike("^(?:/|[A-Za-z]:/)"), generalize_path(bare)).otherwise(tx.collapse_space(bare))
+
+
+def trigger_attributes(files: Column, scopes: Column, signals: Column) -> Column:
+    """What a finding's triggers have in common beyond their text; null without any."""
+    f, n, s = _distinct(files, _file), _distinct(scopes, _token), _distinct(signals, _token)
+    return F.when(F.coalesce(f, n, s).isNotNull(), F.struct(f.alias("files"), n.alias("scope_names"), s.alias("signal_ids")))
+
+
+def signature_payload(rule_id: Column, detector: Column, evidence: Column, title: Column, attributes: Column | None = None) -> Column:
+    """JSON text that identifies a failure; falls back to the title, then to the rule id. ``attributes``: see
+    :func:`trigger_attributes`."""
     lines = normalized_evidence(evidence)
     fallback = F.filter(
         F.array(normalize_evidence_line(F.coalesce(title, F.lit(""))), rule_id), lambda x: F.coalesce(x, F.lit("")) != ""
     )
     lines = F.when(F.size(lines) > 0, lines).otherwise(F.slice(fallback, 1, 1))
-    return F.to_json(
-        F.struct(
-            F.lit(VERSION).alias("version"),
-            F.trim(rule_id).alias("failure_id"),
-            F.trim(detector).alias("detector"),
-            lines.alias("evidence"),
-        )
-    )
+    fields = [F.lit(VERSION).alias("version"), F.trim(rule_id).alias("failure_id"), F.trim(detector).alias("detector"), lines.alias("evidence")]
+    return F.to_json(F.struct(*fields, *([] if attributes is None else [attributes.alias("attributes")])))
 
 
-def signature_hash(rule_id: Column, detector: Column, evidence: Column, title: Column) -> Column:
-    return F.sha2(signature_payload(rule_id, detector, evidence, title), 256)
+def signature_hash(rule_id: Column, detector: Column, evidence: Column, title: Column, attributes: Column | None = None) -> Column:
+    return F.sha2(signature_payload(rule_id, detector, evidence, title, attributes), 256)

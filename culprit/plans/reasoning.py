@@ -92,7 +92,7 @@ def _sig_expr(name):
     if head == "context.stage":
         return f"CASE WHEN stage = {lit(v)} THEN ['stage: ' || stage] END"
     if head == "context.stage.absent":
-        return f"CASE WHEN stage <> {lit(v)} THEN {none} END"
+        return f"CASE WHEN stage <> {lit(v)} THEN CASE WHEN stage = '' THEN {none} ELSE ['stage: ' || stage] END END"
     raise ValueError(name)
 
 
@@ -122,12 +122,12 @@ def _assessed(spark, sf):
 
 @register(
     "log_signals",
-    DIFF + "SELECT log_id, sig AS signal, coalesce(array_to_string(CASE WHEN sig LIKE 'delta%' THEN [] ELSE ev END, chr(10)), '') AS evidence FROM matched WHERE sig NOT LIKE 'context.stage.absent%'",
+    DIFF + "SELECT log_id, m.sig AS signal, coalesce(d.detail, array_to_string(m.ev, chr(10)), '') AS evidence FROM matched m LEFT JOIN (SELECT log_id, 'delta.signal:' || sig AS sig, detail FROM delta) d USING (log_id, sig)",
 )
 def log_signals(spark, sf):
     s = df.evaluate_signals(demo.event_logs(spark, sf), NAMES, REGISTRY, delta=_delta(spark, sf))
-    rows = s.select("log_id", F.explode("signals").alias("signal", "e")).filter("signal NOT LIKE 'context.stage.absent%'")
-    return rows.select("log_id", "signal", F.when(F.col("signal").startswith("delta"), "").otherwise(F.array_join("e", "\n")).alias("evidence"))
+    rows = s.select("log_id", F.explode("signals").alias("signal", "e"))
+    return rows.select("log_id", "signal", F.array_join("e", "\n").alias("evidence"))
 
 
 @register(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from culprit.functions import signature as sg
 from culprit.functions.storage import stored
 from culprit.functions.tables import small_table
 from culprit.operators import source_scan as sc
@@ -174,13 +175,14 @@ SCAN = f"""{HITS}, {COMPOUND}, {SUPPRESS}, {CHANGES.replace("WHEN hash(0) IS NUL
    LEFT JOIN sp USING (repo, rule_id) LEFT JOIN cp USING (repo, rule_id) LEFT JOIN ca USING (repo, rule_id)),
  sc AS (SELECT *, base + amp + comp + blast + hott + chg - mitig - sup - safe AS f, base + amp + comp AS p FROM fin)
 SELECT repo, rule_id, {_r2('f')} AS score, CASE WHEN p <= 0 THEN 0.1 ELSE {_r2('least(1.0, p / greatest(p, f))')} END AS confidence, {_r2('base')} AS base_signal, {_r2('comp')} AS compound_bonus, {_r2('blast')} AS blast_bonus, {_r2('hott')} AS hot_bonus,
- {_r2('chg')} AS change_bonus, {_r2('mitig')} AS mitigation_discount, {_r2('sup')} AS suppression_discount, {_r2('safe')} AS safe_discount, change_status FROM sc WHERE NOT sall AND f > 0"""
+ {_r2('chg')} AS change_bonus, {_r2('mitig')} AS mitigation_discount, {_r2('sup')} AS suppression_discount, {_r2('safe')} AS safe_discount, change_status, n_triggers,
+ (coalesce((SELECT count(*) FROM mit m WHERE m.repo = sc.repo AND m.rule_id = sc.rule_id), 0) + coalesce((SELECT count(*) FROM sup s WHERE s.repo = sc.repo AND s.rule_id = sc.rule_id), 0))::BIGINT AS n_mitigations FROM sc WHERE NOT sall AND f > 0"""
 
 
-@register("source_scan", f"WITH {SCAN}")
+@register("source_scan", f"SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, confidence DESC, rule_id) AS rank FROM (WITH {SCAN})")
 def source_scan(spark, sf):
     s = sc.scan_sources(stored(demo.source_files(spark, sf)), source_rules(spark), stored(_changes(spark, sf)))
-    return s.drop("rank", "n_triggers", "n_mitigations")
+    return s.withColumns({c: F.col(c).cast("bigint") for c in ("rank", "n_triggers", "n_mitigations")})
 
 
 @register(
@@ -195,3 +197,17 @@ SELECT repo, rule_id, kind, CASE WHEN line > 0 THEN path || ':' || line || ' ' |
 )
 def source_evidence(spark, sf):
     return sc.scan_evidence(stored(demo.source_files(spark, sf)), source_rules(spark)).select("repo", "rule_id", "kind", "evidence")
+
+
+@register(
+    "source_signatures",
+    f"""WITH {HITS}, g AS (SELECT repo, rule_id, list_sort(list(DISTINCT lower(label))) AS e, list_sort(list(DISTINCT path)) AS f, list_sort(list(DISTINCT lower(scope_name))) AS n, list_sort(list(DISTINCT lower(signal_id))) AS s FROM trg GROUP BY 1, 2)
+SELECT repo, rule_id, sha256('{{"version":"{sg.VERSION}","failure_id":"' || rule_id || '","detector":"source","evidence":' || to_json(e)::VARCHAR || ',"attributes":{{"files":' || to_json(f)::VARCHAR
+ || ',"scope_names":' || to_json(n)::VARCHAR || ',"signal_ids":' || to_json(s)::VARCHAR || '}}}}') AS signature_hash FROM g""",
+)
+def source_signatures(spark, sf):
+    """Signatures of source findings: labels of the triggers with their files, scopes and signals."""
+    hits = sc.signal_matches(sc.line_table(demo.source_files(spark, sf)), source_rules(spark)).filter("kind = 'trigger'")
+    found = hits.groupBy("repo", "rule_id").agg(*[F.collect_set(c).alias(c) for c in ("label", "path", "scope_name", "signal_id")])
+    attributes = sg.trigger_attributes(F.col("path"), F.col("scope_name"), F.col("signal_id"))
+    return found.select("repo", "rule_id", sg.signature_hash(F.col("rule_id"), F.lit("source"), F.col("label"), F.lit(""), attributes).alias("signature_hash"))
