@@ -9,6 +9,8 @@ SAMPLE = [
     "match_ranked", "evaluate_logs", "gap_clusters", "determinism_diff", "corpus_manifest", "silent_findings", "rule_trace",
     "rule_quality", "run_policy", "fixture_verdicts", "review_duplicates", "co_change_pairs", "relevant_files", "topology_signals",
     "baseline_runs", "differential_diagnosis", "reranked", "source_scan", "page_texts", "stream_sessions", "signature_lines",
+    "log_files", "fixture_files", "evaluate_loaded_rules", "explained_logs", "unknown_fingerprints", "appended_runs", "appended_matches", "appended_hooks",
+    "cluster_sample_files", "source_lines", "source_signatures", "log_signals", "log_delta", "candidate_patterns", "promoted_fixtures", "merged_contexts", "hook_history",
 ]
 
 
