@@ -16,6 +16,7 @@ capped.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -27,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from culprit.functions.storage import stored
-from culprit.functions.tables import small_table
 from culprit.llm import rows
 from culprit.llm.components import components
 
@@ -154,23 +154,21 @@ def _task(bits: int):
 def links(classes: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """``a, b``: for distinct fingerprints ``classes(fp, node)``, links that join all nodes whose fingerprints
     differ in at most ``bits`` bits, directly or over others."""
-    spark = classes.sparkSession
     n = classes.count()
     width = max(4, math.ceil(math.log2(max(1, n / block))))  # 2^width prefixes: as many as there are blocks
-    prefix = F.shiftrightunsigned("fp", 64 - width)
-    sizes = {r["prefix"]: r["count"] for r in classes.select(prefix.alias("prefix")).groupBy("prefix").count().collect()}
-    blocks = [(p, s) for p, size in sorted(sizes.items()) for s in range(math.ceil(size / block))]
-    number = {b: i for i, b in enumerate(blocks)}
-    tasks = []
-    for i, (p, _) in enumerate(blocks):
-        tasks.append({"block": i, "pair": i * len(blocks) + i, "side": 0, "own": True})
-        for j in range(i + 1, len(blocks)):
-            if (p ^ blocks[j][0]).bit_count() <= bits:
-                tasks += [{"block": x, "pair": i * len(blocks) + j, "side": s, "own": False} for s, x in enumerate((i, j))]
-    pairs = small_table(spark, tasks, {"block": "bigint", "pair": "bigint", "side": "int", "own": "boolean"})
-    starts = small_table(spark, [{"prefix": p, "first": number[p, 0], "salts": math.ceil(s / block)} for p, s in sizes.items()], {"prefix": "bigint", "first": "bigint", "salts": "bigint"})
-    placed = classes.withColumn("prefix", prefix).join(starts, "prefix").select("fp", "node", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("salts"))).alias("block"))
-    return placed.join(pairs, "block").groupBy("pair").applyInPandas(_task(bits), "a bigint, b bigint")
+    masks = [sum(1 << i for i in ones) for k in range(bits + 1) for ones in itertools.combinations(range(width), k)]
+    prefixed = classes.withColumn("prefix", F.shiftrightunsigned("fp", 64 - width))
+    sizes = stored(prefixed.groupBy("prefix").agg(F.ceil(F.count("*") / block).alias("salts")))
+    # a block is a prefix or, of one that many share, a part of it; two blocks meet if their prefixes are near
+    blocks = sizes.select("prefix", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    near = blocks.select(F.col("prefix").alias("p"), F.col("salt").alias("s"), F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("mask"))
+    pairs = near.withColumn("prefix", F.col("p").bitwiseXOR(F.col("mask"))).join(blocks, "prefix").filter(F.struct("p", "s") <= F.struct("prefix", "salt"))
+    side = lambda number, p, s: F.struct(F.lit(number).alias("side"), F.col(p).alias("prefix"), F.col(s).alias("salt"))
+    own = (F.col("p") == F.col("prefix")) & (F.col("s") == F.col("salt"))
+    pair = F.struct("p", "s", F.col("prefix").alias("q"), F.col("salt").alias("t"))
+    tasks = pairs.select(pair.alias("pair"), own.alias("own"), F.explode(F.when(own, F.array(side(0, "p", "s"))).otherwise(F.array(side(0, "p", "s"), side(1, "prefix", "salt")))).alias("x")).select("pair", "own", "x.*")
+    placed = prefixed.join(sizes, "prefix").select("fp", "node", "prefix", F.pmod(F.xxhash64("fp"), F.col("salts")).alias("salt"))
+    return placed.join(tasks, ["prefix", "salt"]).groupBy("pair").applyInPandas(_task(bits), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
