@@ -227,8 +227,11 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAIN_DOCS, most_
     text = rows.body(docs)
     known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    order = (F.xxhash64("doc_id", "quality"), F.col("doc_id"))
+    # at most twice as many labels as needed, without texts: the bound of the broadcast
+    some = known.orderBy(*order).limit(2 * most_docs)
     short = docs.filter(lines <= most_lines).select("doc_id", text.cast("binary").alias("body"))
-    picked = short.join(known, "doc_id").orderBy(F.xxhash64("doc_id", "quality"), "doc_id").limit(most_docs)
+    picked = short.join(F.broadcast(some), "doc_id").orderBy(*order).limit(most_docs)
     got = picked.select("doc_id", "quality", F.arrow_udf(_features, "struct<features:binary,sizes:binary>")("body").alias("f")).select("quality", "f.*").collect()
     return fit([(np.frombuffer(r["features"], np.float32).reshape(-1, WIDTH), np.frombuffer(r["sizes"], np.int64), r["quality"]) for r in got])
 
