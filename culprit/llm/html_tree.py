@@ -4,7 +4,7 @@ The page is parsed into a tree once. Every block of text (a paragraph, list item
 loose text between block tags) gives points for its length and its commas to the containers above
 it: all to the parent, half to the next, a third to the one after. A container's points are
 discounted by its link density and raised or lowered by what its name, class and role say. The best
-container is kept, with those of its siblings that are near it in score or are plain prose. What is
+container is kept, with those of its siblings that are near it in score or are plain text blocks. What is
 kept loses its menus, headers, footers, sidebars, notices, adverts, forms and comments, and each
 block's white space becomes single spaces.
 
@@ -49,17 +49,19 @@ NOISE = frozenset(
 STATES = frozenset("with has no is not without".split())
 WORD = re.compile(r"[^a-z0-9]+")
 CONTENT = re.compile(r"(?<![a-z])(?:article|articles|content|main|post|entry|story|text|body|blog|hentry|page)(?![a-z])")
+#: Siblings of the best container that are kept for what they are, if they are not mostly links.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 SPACE = re.compile(r"\s+")
 START = {"article": 30.0, "main": 20.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "table": 0.0, "header": -20.0}
 
 
 class Element:
-    __slots__ = ("tag", "label", "parent", "children", "score", "chars", "linked", "prose")
+    __slots__ = ("tag", "label", "parent", "children", "score", "chars", "linked")
 
     def __init__(self, tag: str, label: str, parent: Element | None):
         self.tag, self.label, self.parent = tag, label, parent
         self.children: list[Element | str] = []
-        self.score = self.chars = self.linked = self.prose = 0.0
+        self.score = self.chars = self.linked = 0.0
 
     def is_dropped(self) -> bool:
         if self.tag in DROPPED:
@@ -192,7 +194,6 @@ def main_text(html: str | None) -> str:
             node.score += worth * share
             node, level = node.parent, level + 1
             share = 1.0 / level
-        owner.prose += len(text) - linked
     if not scored:
         return ""
     density = lambda e: min(1.0, e.linked / e.chars) if e.chars else 1.0
@@ -204,8 +205,8 @@ def main_text(html: str | None) -> str:
         if isinstance(s, str) or s.is_dropped():
             continue
         near = id(s) in value and value[id(s)] >= least
-        prose = s.tag == "p" and s.prose >= 80 and density(s) < 0.25
-        if s is best or near or prose:
+        plain = s.tag in PLAIN and s.chars > 0 and density(s) < 0.25
+        if s is best or near or plain:
             kept.append(s)
     return "\n\n".join(text for e in kept for _, text, _ in blocks(e))
 
