@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from culprit.llm import rows
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MAX_STATES = 600_000
-MAX_PIECES = 250_000
+MAX_STATES = 500_000
+MAX_PIECES = 200_000
 MAX_PIECE_BYTES = 64
 CHUNK = 1 << 20
 
@@ -63,11 +63,16 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = [((), b"", (), (), ())]
-        self.number = {(id(self.same.setdefault((), ())), b""): 0}
+        none = self.numbered(())
+        self.states: list[tuple] = [(none, b"", (), b"", b"")]
+        self.number = {none[0]: 0}
         self.step: dict[int, int] = {}  # state and byte to the next state, or to ~i where tokens are emitted:
         self.emitting: list[tuple[int, tuple[int, ...]]] = []  # the i-th next state with its tokens
 
+    def numbered(self, edge: tuple) -> tuple[bytes, tuple]:
+        """A right edge with a short name; open bytes and this name make the key of a state."""
+        return self.same.setdefault(edge, (len(self.same).to_bytes(4, "little"), edge))
+
     def parts(self, data: bytes, below: int) -> list[bytes]:
         """What the merges with a rank under ``below`` make of the bytes of one token."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -98,13 +103,13 @@ class Transducer:
             ok = self.whole[token] = len(self.parts(self.token[token], 1 << 40)) == 1
         return ok
 
-    def right_edge(self, token: int) -> tuple[tuple[bytes, int], ...]:
+    def right_edge(self, token: int) -> tuple[bytes, tuple]:
         """The parts at the right end of a token that some merge takes as its left part. Tokens with equal right
         edges need not be told apart any more, so this stands for the settled token in a state."""
         known = self.rights.get(token)
         if known is None:
             edge = tuple([(x, until) for x, until in self.edge(token, 1) if self.known[x][1]])
-            known = self.rights[token] = self.same.setdefault(edge, edge)
+            known = self.rights[token] = self.numbered(edge)
         return known
 
     def goes_after(self, left: tuple[tuple[bytes, int], ...], right: int) -> bool:
@@ -140,7 +145,7 @@ class Transducer:
                 edge = left if not at else rights(ends[at - 1])
                 if edge is None:
                     edge = self.right_edge(ends[at - 1])
-                if not edge or self.goes_after(edge, token):
+                if not edge[1] or self.goes_after(edge[1], token):
                     last, start = token, at
         if last < 0:
             raise ValueError("a byte is missing from the vocabulary")
@@ -171,11 +176,12 @@ class Transducer:
                 roots = tuple(again)
                 continue
             break
-        key = (id(left), data)  # equal edges are one object that lives as long as this machine
+        key = data + left[0]
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
-            self.states.append((left, data, ends, roots, tuple(live)))
+            pack = bytes if n < 256 else tuple  # positions, in as little memory as they fit
+            self.states.append((left, data, ends, pack(roots), pack(live)))
         if emitted:
             self.emitting.append((to, emitted))
             to = ~(len(self.emitting) - 1)
@@ -199,9 +205,9 @@ class Transducer:
                 kept = self.states[state]
                 self.clear()
                 get = self.step.get
-                if kept[0] or kept[1]:
+                if kept[0][1] or kept[1]:
                     self.states.append(kept)
-                    self.number[id(kept[0]), kept[1]] = 1
+                    self.number[kept[1] + kept[0][0]] = 1
                 state = len(self.states) - 1
         # nothing follows the last byte: its token ends the encoding and needs no state
         _, data, ends, _, _ = self.states[state]
@@ -341,8 +347,11 @@ def decode(ids: Column, path: str | None = None) -> Column:
 DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
 
-def digests(text: Column, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Column:
-    """Number of tokens and SHA-256 of the ids and of the bytes that they decode to, chunk by chunk."""
+def digests(text: Column, path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: bool = True) -> Column:
+    """Number of tokens and SHA-256 of the ids and of the bytes that they decode to, chunk by chunk.
+
+    ``keep``: a worker keeps its states and pieces for its next task. Without, it gives the memory back after
+    each task, for pipelines whose other stages use the same workers."""
 
     def one(c: Codec, text: str) -> tuple[int, str, str]:
         n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
@@ -353,11 +362,18 @@ def digests(text: Column, path: str | None = None, pattern: str = public_tokeniz
                 of_bytes.update(data)
         return n, of_ids.hexdigest(), of_bytes.hexdigest()
 
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path or default_path(), pattern)
-        done = [one(c, t or "") for t in texts.to_pylist()]
-        columns = [pa.array([x[i] for x in done], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))]
-        return pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                done = [one(c, t or "") for t in texts.to_pylist()]
+                columns = [pa.array([x[i] for x in done], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            if not keep:
+                c.machine.clear()
+                c.pieces.clear()
+                c.pieces.last = {}
 
     return F.arrow_udf(run, DIGEST)(text)
 
