@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of the ids and of what they decode to, for each row."""
-    return docs.select("doc_id", bpe_transducer.digests(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return docs.select("doc_id", bpe_transducer.digests(F.col("text"), keep=False).alias("r")).select("doc_id", "r.*")
 
 
 STAGES = [("quality", keep_good), ("line_dedup", dedup_lines), ("near_copies", drop_near_copies), ("mix", mix_sources), ("bpe", tokenize)]
