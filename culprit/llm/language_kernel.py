@@ -37,6 +37,7 @@ RIDGE = 1e-2
 AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 256
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 UNDECIDED = "und"
 
 
@@ -46,7 +47,7 @@ def presence(text: str | None, orders: int = ORDERS, buckets: int = BUCKETS) ->
     tail = " "
     for at in range(0, len(text or ""), AT_ONCE):
         part = NOT_LETTERS.sub(" ", text[at : at + AT_ONCE].lower())
-        if not seen and part.strip(" ") == "":
+        if not seen and LETTER.search(part) is None:
             continue
         seen = True
         last = at + AT_ONCE >= len(text)
@@ -101,10 +102,15 @@ def _places(texts: pa.Array) -> pa.Array:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
     """From ``docs(doc_id, text, lang)``: rows with a language and a text, bounded for each language."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length(F.trim("text")) > 0))
-    known = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()]
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    # Spark keeps the first rows of each language in each task before it shuffles
-    picked = labelled.filter(F.col("lang").isin(known)).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language)
+    known = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(languages).collect()}
+    if not known:
+        return None
+    # of each language only a share of hashes that surely holds the smallest ones is moved at all
+    share = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, min(1.0, 4.0 * per_language / n))])
+    at = F.xxhash64("doc_id", "text")
+    likely = labelled.withColumn("share", share[F.col("lang")]).filter((at / float(1 << 63) + 1) / 2 <= F.col("share"))
+    order = W.partitionBy("lang").orderBy(at, "doc_id")
+    picked = likely.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language)
     got = picked.select("lang", "at", F.arrow_udf(_places, "binary")("text").alias("places")).filter("places is not null").orderBy("at", "lang").collect()
     if not got:
         return None
