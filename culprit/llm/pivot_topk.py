@@ -84,6 +84,14 @@ class Space:
 
     def __init__(self, width: int, square: float, pivots: np.ndarray):
         self.width, self.square, self.pivots = width, square, pivots
+        #: How whole numbers travel: no component is larger than the root of ``square``.
+        self.kind = np.int16 if square < 2**30 else np.int32 if square < 2**62 else np.float64
+
+    def packed(self, v: np.ndarray) -> bytes:
+        return v.astype(self.kind).tobytes()
+
+    def unpacked(self, data: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(data, self.kind).reshape(n, -1).astype(np.float64)
 
     def points(self, v: np.ndarray) -> np.ndarray:
         return np.hstack([v, np.sqrt(np.maximum(0.0, self.square - (v**2).sum(1)))[:, None]])
@@ -98,7 +106,7 @@ def _keyed(space: Space, is_query: bool):
             v = _matrix(b.column("v"), space.width)
             d = distances(space.queries(v) if is_query else space.points(v), space.pivots)
             pivot = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), pa.array(d[np.arange(len(d)), pivot]), b.column("vec_id"), pa.array([x.tobytes() for x in v], pa.binary())], names=["pivot", "distance", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(pivot.astype(np.int32)), pa.array(d[np.arange(len(d)), pivot]), b.column("vec_id"), pa.array([space.packed(x) for x in v], pa.binary())], names=["pivot", "distance", "vec_id", "v"])
 
     return run
 
@@ -118,10 +126,10 @@ def _blocks(space: Space, size: int, is_query: bool):
         def block(pivot: int, members: list) -> dict:
             nonlocal number
             number += 1
-            v = np.frombuffer(b"".join(m[2] for m in members), np.float64).reshape(len(members), -1)
-            d = distances(space.queries(v), space.pivots) if is_query else None
+            data = b"".join(m[2] for m in members)
+            d = distances(space.queries(space.unpacked(data, len(members))), space.pivots) if is_query else None
             return {
-                "block": (part << 32) | number, "pivot": pivot, "near": members[0][0], "far": members[-1][0], "n": len(members), "ids": np.array([m[1] for m in members], np.int64).tobytes(), "vectors": v.tobytes(),
+                "block": (part << 32) | number, "pivot": pivot, "near": members[0][0], "far": members[-1][0], "n": len(members), "ids": np.array([m[1] for m in members], np.int64).tobytes(), "vectors": data,
                 "low": d.min(0).tolist() if is_query else [], "high": d.max(0).tolist() if is_query else [],
             }
 
@@ -200,12 +208,12 @@ def _search(space: Space, k: int, seeding: bool):
                     at = r["q"], r["slice"]
                     kth = None if r["kths"] is None else np.array(r["kths"])
                     ids = np.frombuffer(r["q_ids"], np.int64)
-                    best = Best(ids, np.frombuffer(r["q_vectors"]).reshape(len(ids), -1), k, kth)
+                    best = Best(ids, space.unpacked(r["q_vectors"], len(ids)), k, kth)
                     reach = radius(best)
                 if r["bound"] > reach * (1 + _SLACK) + _SLACK:
                     continue  # as all later annuli of this slice
                 ids = np.frombuffer(r["ids"], np.int64)
-                best.add(ids, np.frombuffer(r["vectors"]).reshape(len(ids), -1))
+                best.add(ids, space.unpacked(r["vectors"], len(ids)))
                 reach = radius(best)
         if best is not None:
             yield out(best)
