@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culprit.functions.storage import stored
-from culprit.llm import bpe_transducer, entropy_mix, line_dedup, quality_crf, rows, simhash_trie
+from culprit.llm import bpe_transducer, entropy_mix, line_dedup, quality_crf, rows, shingle_sets
 
-WORDS, BITS = 5, 4  # of the near-duplicate stage: 60 of 64 bits agree
+WORDS, BITS = 5, 4  # of the near-duplicate stage: 60 of 64 bits agree, or four fifths of the shingles
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays."""
-    groups = simhash_trie.near_duplicates(docs, WORDS, BITS)
+    groups = shingle_sets.near_copies(docs, WORDS, BITS)
     first = groups.groupBy("group").agg(F.min(F.struct("doc", "key")).alias("one")).select("one.doc", "one.key")
     return _keyed(docs).join(first, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).select("row.*")
 

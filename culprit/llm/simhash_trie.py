@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,23 +38,35 @@ AT_ONCE = 1 << 12  # node pairs worked on at a time
 SHINGLES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Signed 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(text: bytes, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Hashes (unsigned) of the shingles of a UTF-8 text, in order, some at a time."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(parts))
     starts, ends = starts[: len(parts) - k + 1], ends[k - 1 :]
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), SHINGLES_AT_ONCE):
         a, b = starts[i : i + SHINGLES_AT_ONCE].tolist(), ends[i : i + SHINGLES_AT_ONCE].tolist()
-        h = np.array([digest(joined[x:y], SEED) for x, y in zip(a, b, strict=True)], dtype=">u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+        yield np.array([digest(joined[x:y], SEED) for x, y in zip(a, b, strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """Signed 64-bit fingerprint of hashes: the bits that more than half of them have."""
+    total, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         total += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > len(starts)).tobytes(), "big", signed=True)
+        n += len(h)
+    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """Signed 64-bit fingerprint of a UTF-8 text."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(body: Column, words: int = WORDS) -> Column:
@@ -175,8 +187,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     """``doc``, ``key`` (hash of the text), ``fp``, ``group`` (a fingerprint that stands for all in reach) and
     ``component``, the smallest document number in reach, for each row."""
     found = stored(docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(rows.body(docs)).alias("key"), fingerprints(rows.body(docs).cast("binary"), words).alias("fp")))
+    return grouped(found, bits)
+
+
+def grouped(found: DataFrame, bits: int, more: DataFrame | None = None) -> DataFrame:
+    """Groups of ``found(doc, key, fp)``; ``more`` are further links ``a, b`` between fingerprints."""
     classes = stored(found.groupBy("fp").agg(F.min("doc").alias("least")))
-    joined = components(links(classes.select("fp", F.col("fp").alias("node")), bits))
+    near = links(classes.select("fp", F.col("fp").alias("node")), bits)
+    joined = components(near if more is None else near.unionAll(more))
     grouped = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     least = grouped.groupBy("group").agg(F.min("least").alias("component"))
     return found.join(grouped.join(least, "group").select("fp", "group", "component"), "fp").select("doc", "key", "fp", "group", "component")

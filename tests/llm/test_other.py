@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -117,6 +118,37 @@ def test_held_out_quality(spark):
     assert sum(r.predicted == q for q, r in known) >= 0.95 * len(known)
 
 
+def test_near_copies_of_four_fifths(spark):
+    rng = random.Random(11)
+    docs = []
+    for n in (1, 4, 7, 30, 90, 90, 400, 1500):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for share in (0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.05):  # of words changed
+            docs.append((len(docs), " ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in base)))
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs += [(len(docs) + i, passage + " " + " ".join(f"y{rng.randrange(10**6)}" for _ in range(rng.randint(5, 90)))) for i in range(40)]
+    hot = [f"z{i}" for i in range(200)]
+    docs += [(len(docs) + i, " ".join(hot[: 150 + i % 50] + [f"q{i}"] * (i % 3))) for i in range(60)]
+    docs += [(len(docs), None), (len(docs) + 1, ""), (len(docs) + 2, "again " * 40), (len(docs) + 3, "Again " * 90)]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, prints = [shingles(t) for _, t in docs], [brute_fingerprint(t, 5) for _, t in docs]
+    group, beyond = list(range(len(docs))), 0
+    for i in range(len(docs)):
+        for j in range(i):
+            close, alike = (prints[i] ^ prints[j]).bit_count() <= 4, 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) > 0
+            beyond += alike and not close
+            if close or alike:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()}
+    assert kept == set(group) and beyond > 20
+
+
 def test_pipeline(spark, edge):
     docs = spark.read.parquet(f"{edge[0]}/documents.parquet")
     columns = docs.columns
