@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from culprit.llm import bpe_transducer, entropy_mix, hilbert_clusters, html_tree, language_kernel, line_dedup, piece_table, pivot_topk, quality_crf, simhash_trie, spotsigs, suffix_dedup
+from culprit.llm import bpe_transducer, entropy_mix, hilbert_clusters, html_tree, language_kernel, line_dedup, multi_index, piece_table, pivot_topk, quality_crf, simhash_trie, spotsigs, suffix_dedup
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_simhash_trie": simhash_trie.op10,
     "op11_piece_table": piece_table.op11,
     "op12_hilbert_clusters": hilbert_clusters.op12,
+    "op13_multi_index": multi_index.op13,
 }
 ORACLES = {
     "op1_spotsigs": spotsigs.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op7_pivot_topk": pivot_topk.OP7_SQL,
     "op12_hilbert_clusters": hilbert_clusters.OP12_SQL,
+    "op13_multi_index": multi_index.OP13_SQL,
 }
