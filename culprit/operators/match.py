@@ -1,130 +1,39 @@
 """The matching kernel: logs x rules -> scored, ranked candidates.
 
-Plan of a run: one projection per log finds the patterns it contains, only the hits
-leave that projection, and a single shuffle on the log id serves the scoring group-by
-and the ranking windows. Log texts are never shuffled.
+Plan of a run: one projection per log finds the pieces of patterns it contains (see
+``pattern_index``), a join with the pattern table verifies them, and the first line of each
+pattern goes on to the scoring group-by and the ranking windows. Log texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from culprit.functions import text as tx
 from culprit.functions.stage import log_stage
+from culprit.operators.pattern_index import PatternIndex
 from culprit.operators.rules import RuleSet
 
-# Up to this many distinct patterns are tested one by one with `contains`; beyond it a
-# multi-pattern automaton reads each text once. Both give the same hits.
-MAX_PLAIN_PATTERNS = 64
-# One automaton holds at most this many patterns; a larger catalogue is split by hash and
-# probed part by part, so nothing is left out and no broadcast grows unbounded.
-MAX_AUTOMATON_PATTERNS = 100_000
-
-HIT_TYPE = T.ArrayType(
-    T.StructType([T.StructField("norm", T.StringType()), T.StructField("line_no", T.IntegerType())])
-)
-
 
 def prepare_logs(logs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``canonical`` (cleaned lines joined by line feeds) and ``norm`` (its lower case)."""
     return logs.withColumn("canonical", tx.canonicalize_log(F.col(text))).withColumn("norm", F.lower("canonical"))
 
 
-def _plain_hits(text: Column, patterns: Sequence[str]) -> Column:
-    def line_no(p: Column) -> Column:
-        before = F.call_function("substring_index", text, p, F.lit(1))
-        return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-
-    found = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(text, p))
-    return F.transform(found, lambda p: F.struct(p.alias("norm"), line_no(p).alias("line_no")))
-
-
-def _automaton_hits(spark, text: Column, patterns: Sequence[str]) -> Column:
-    shared = spark.sparkContext.broadcast(list(patterns))
-
-    @F.pandas_udf(HIT_TYPE)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for p in shared.value:
-            automaton.add_word(p, p)
-        automaton.make_automaton()
-
-        def first_lines(t: str | None):
-            if not t:
-                return []
-            first: dict[str, int] = {}
-            line, seen = 1, 0
-            for end, p in automaton.iter(t):
-                if p not in first:
-                    start = end - len(p) + 1
-                    if start >= seen:
-                        line += t.count("\n", seen, start)
-                        seen = start
-                        first[p] = line
-                    else:
-                        first[p] = line - t.count("\n", start, seen)
-            return [{"norm": p, "line_no": n} for p, n in first.items()]
-
-        for texts in batches:  # one automaton for all batches of a task
-            yield texts.map(first_lines)
-
-    return find(text)
-
-
-def find_hits(logs: DataFrame, norms: DataFrame, keep: Sequence[str] = (), outer: bool = False) -> DataFrame:
+def find_hits(logs: DataFrame, norms: DataFrame | PatternIndex, keep: Sequence[str] = (), outer: bool = False) -> DataFrame:
     """Which patterns occur in which log, each with the first line that holds it.
 
-    ``logs`` needs ``canonical`` and ``norm`` (see :func:`prepare_logs`); ``norms`` has one
-    column ``norm``. Result: ``keep`` columns, ``norm``, ``line_no``, ``line``. With
-    ``outer`` a log without a hit keeps one row with NULLs.
+    ``logs`` needs ``canonical`` and ``norm`` (see :func:`prepare_logs`); ``norms`` has one column ``norm``
+    or is their index. Result: ``keep`` columns, ``norm``, ``line_no``, ``line``; rows that agree in all ``keep``
+    columns count as one log. With ``outer`` every log without a hit keeps one row with NULLs; a log with
+    hits may have such a row besides.
     """
-    norms = norms.select("norm")
-    spark = logs.sparkSession
-
-    def probe(patterns: list[str], explode) -> DataFrame:
-        if len(patterns) <= MAX_PLAIN_PATTERNS:
-            hits = _plain_hits(F.col("norm"), patterns) if patterns else F.array().cast(HIT_TYPE)
-        else:
-            hits = _automaton_hits(spark, F.col("norm"), patterns)
-        def line(n: Column) -> Column:
-            # cut the n-th line out of the text; splitting it would repeat for every hit
-            upto = F.call_function("substring_index", F.col("canonical"), F.lit("\n"), n)
-            return F.call_function("substring_index", upto, F.lit("\n"), F.lit(-1))
-
-        found = logs.select(*keep, "canonical", hits.alias("hits"))
-        withlines = F.transform(
-            "hits",
-            lambda h: F.struct(
-                h["norm"].alias("norm"), h["line_no"].alias("line_no"), line(h["line_no"]).alias("line")
-            ),
-        )
-        return found.select(*keep, explode(withlines).alias("h")).select(*keep, "h.norm", "h.line_no", "h.line")
-
-    head = norms.take(MAX_AUTOMATON_PATTERNS + 1)
-    if len(head) <= MAX_AUTOMATON_PATTERNS:
-        return probe(sorted({r["norm"] for r in head}), F.explode_outer if outer else F.explode)
-    distinct = norms.distinct()
-    parts = -(-distinct.count() // (MAX_AUTOMATON_PATTERNS // 2))
-    out = None
-    for i in range(parts):
-        piece = distinct.filter(F.pmod(F.xxhash64("norm"), F.lit(parts)) == i)
-        part = probe(sorted(r["norm"] for r in piece.collect()), F.explode)
-        out = part if out is None else out.unionByName(part)
-    if outer:
-        blank = logs.select(
-            *keep, F.lit(None).cast("string").alias("norm"), F.lit(None).cast("int").alias("line_no"),
-            F.lit(None).cast("string").alias("line"),
-        )
-        out = out.unionByName(blank)
-    return out
+    index = norms if isinstance(norms, PatternIndex) else PatternIndex.build(norms)
+    return index.find(logs, keep, outer)
 
 
 def first_pattern_lines(logs: DataFrame, norms: DataFrame, log_id: str = "log_id", text: str = "text") -> DataFrame:
@@ -147,15 +56,14 @@ def _candidates(
         log_id, "canonical", "norm", log_stage(F.col("norm")).alias("stage"), *[e.alias(n) for n, e in carry.items()]
     )
     keep = [log_id, "stage", *carry]
-    hits = find_hits(prepared, patterns, keep, outer=True)
+    hits = find_hits(prepared, rule_set.pattern_index(), keep, outer=True)
     order = F.when(F.col("section") == "any", 0).when(F.col("section") == "all", 1).otherwise(2)
     rows = hits.join(
         patterns.select("norm", "rule_id", "section", "group_idx", "group_min", "idx", "weight"), "norm", "left"
     ).withColumn("section_order", order)
     item = F.struct("section_order", "group_idx", "idx", "section", "group_min", "weight", "norm", "line")
     grouped = (
-        rows.repartition(F.col(log_id))
-        .groupBy(log_id, "rule_id")
+        rows.groupBy(log_id, "rule_id")
         .agg(
             F.array_sort(F.collect_list(F.when(F.col("rule_id").isNotNull(), item))).alias("items"),
             *[F.any_value(c).alias(c) for c in ["stage", *carry]],

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from culprit.functions import text as tx
 from culprit.functions.storage import stored
 from culprit.functions.tables import small_table
+from culprit.operators.pattern_index import PatternIndex
 
 RULE_COLUMNS = {
     "rule_id": "string",
@@ -81,6 +82,12 @@ class RuleSet:
         """
         return self._settle("patterns", _weighted_patterns(self.patterns), WEIGHTED_COLUMNS)
 
+    def pattern_index(self) -> PatternIndex:
+        """The index of the normalised patterns, built once."""
+        if "index" not in self._settled:
+            self._settled["index"] = PatternIndex.build(self.normalized_patterns())
+        return self._settled["index"]
+
     def totals(self) -> DataFrame:
         """Per rule: non-empty ``all`` patterns."""
         p = self.patterns.withColumn("norm", tx.normalize_pattern(F.col("pattern")))

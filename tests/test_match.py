@@ -1,6 +1,11 @@
+import dataclasses
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from culprit.operators import match as mt
+from culprit.operators import pattern_index
 from culprit.operators import rules as ru
 from culprit.operators import trace as tr
 from culprit.operators.rules import RuleSet
@@ -53,27 +58,68 @@ def _hits(df):
     return sorted((r["log_id"], r["norm"], r["line_no"], r["line"]) for r in df.collect())
 
 
-def test_probe_strategies_agree(spark, monkeypatch):
-    texts = ["a b\nhe she\nhers\nabab é\nerrör she", "", "she\nhe", "x" * 50 + "\nabab"]
-    norms = spark.createDataFrame([(p,) for p in ("he", "she", "hers", "abab", "ab", "é", "errör", "zzz", "a b", "x")], "norm string")
-    plain = _hits(mt.first_pattern_lines(logs(spark, *texts), norms))
-    want = sorted(
-        (i, p["norm"], n + 1, l)
-        for i, t in enumerate(texts) for p in norms.collect()
-        for n, l in [next(((n, l) for n, l in enumerate(t.split("\n")) if p["norm"] in l.lower()), (None, None))] if n is not None
+def brute_hits(texts, norms):
+    return sorted(
+        (i, p, n + 1, l)
+        for i, t in enumerate(texts) for p in set(norms)
+        for n, l in [next(((n, l) for n, l in enumerate((t or "").split("\n")) if p in l.lower()), (None, None))] if p and n is not None
     )
-    assert plain == want
-    monkeypatch.setattr(mt, "MAX_PLAIN_PATTERNS", 2)
-    assert _hits(mt.first_pattern_lines(logs(spark, *texts), norms)) == want
-    monkeypatch.setattr(mt, "MAX_AUTOMATON_PATTERNS", 4)
-    assert _hits(mt.first_pattern_lines(logs(spark, *texts), norms)) == want
-
-
-def test_split_catalogue_keeps_logs_without_hits(spark, monkeypatch):
-    monkeypatch.setattr(mt, "MAX_AUTOMATON_PATTERNS", 2)
-    rules = RuleSet.from_records(spark, [{"rule_id": f"r{i}", "any": [f"p{i}x"]} for i in range(6)])
-    rows = mt.evaluate_logs(logs(spark, "p3x p1x", "none"), rules).collect()
-    assert {(r["log_id"], r["failure_id"]) for r in rows} == {(0, "r1"), (1, "")}
+
+
+def test_hits(spark):
+    texts = ["a b\nhe she\nhers\nabab é\nerrör she", "", "she\nhe", "x" * 50 + "\nabab", None, "longer than eight no\nlonger than eight bytes\nand longer than eight bytes again", "ab\nab"]
+    norms = ["he", "she", "hers", "abab", "ab", "é", "errör", "zzz", "a b", "x", "", "longer than eight bytes", "longer than", "than eight b", "t bytes a", "b\nhe", "b a", "x" * 50, "x" * 49, "x" * 51, "abab é"]
+    table = spark.createDataFrame([(p,) for p in norms + norms[:3]], "norm string")
+    assert _hits(mt.first_pattern_lines(logs(spark, *texts), table)) == brute_hits(texts, [p for p in norms if "\n" not in p])
+
+
+def test_hits_of_many_patterns_over_parts_of_a_batch(spark, monkeypatch):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcé ") for _ in range(n)).strip() or "a"
+    texts = ["\n".join(" ".join(make(rng.randint(1, 30)).split()) for _ in range(rng.randint(1, 9))).strip() for _ in range(60)]
+    texts = ["\n".join(x for x in t.split("\n") if x) for t in texts]
+    norms = [" ".join(make(rng.randint(1, 20)).split()) for _ in range(1500)] + [t[3:21].split("\n")[0].strip() for t in texts]
+    table = spark.createDataFrame([(p,) for p in norms], "norm string")
+    want = brute_hits(texts, norms)
+    prepared = logs(spark, *texts).withColumn("canonical", F.col("text")).withColumn("norm", F.lower("text"))
+    for size in (pattern_index.AT_ONCE, 7, 64):
+        index = pattern_index.PatternIndex.build(table)
+        bits = pattern_index._filter(index.bits)
+        monkeypatch.setattr(pattern_index, "AT_ONCE", size)
+        rows = prepared.select("log_id", "norm", "canonical").toArrow()
+        found = pattern_index.scan(rows["norm"].combine_chunks(), rows["canonical"].combine_chunks(), index.codes, bits).to_pylist()
+        patterns = {}
+        for r in index.table.collect():
+            patterns.setdefault((r["code"], r["piece"]), []).append(r["norm"])
+        got = {}
+        for i, hits in zip(rows["log_id"].to_pylist(), found, strict=True):
+            for h in hits:
+                for p in patterns.get((h["code"], h["piece"]), []):
+                    if p in h["line"].lower():
+                        got[i, p] = min(got.get((i, p), (1 << 30, "")), (h["line_no"], h["line"]))
+        assert sorted((i, p, *at) for (i, p), at in got.items()) == want
+    assert _hits(mt.find_hits(prepared, table, ["log_id"])) == want
+
+
+def test_filter_of_all_ones_changes_nothing(spark):
+    texts = ["one two\nthree", "four", ""]
+    index = pattern_index.PatternIndex.build(spark.createDataFrame([("two",), ("three four five",), ("three",)], "norm string"))
+    full = {b: b"\xff" * 4096 for b in range(1, pattern_index.FILTER_BITS // 32768 + 1)}
+    prepared = mt.prepare_logs(logs(spark, *texts))
+    assert _hits(mt.find_hits(prepared, dataclasses.replace(index, bits=full), ["log_id"])) == brute_hits(texts, ["two", "three"])
+
+
+def test_no_patterns_and_no_logs(spark):
+    none = spark.createDataFrame([], "norm string")
+    assert mt.first_pattern_lines(logs(spark, "a"), none).count() == 0
+    assert mt.find_hits(mt.prepare_logs(logs(spark, "a", "b")), none, ["log_id"], outer=True).count() == 2
+    assert mt.first_pattern_lines(logs(spark, "a").limit(0), spark.createDataFrame([("a",)], "norm string")).count() == 0
+
+
+def test_many_rules_keep_logs_without_hits(spark):
+    rules = RuleSet.from_records(spark, [{"rule_id": f"r{i}", "any": [f"pattern number {i}x"]} for i in range(600)])
+    rows = mt.evaluate_logs(logs(spark, "pattern number 3x pattern number 1x", "pattern number", "none"), rules).collect()
+    assert {(r["log_id"], r["failure_id"]) for r in rows} == {(0, "r1"), (1, ""), (2, "")}
 
 
 @pytest.mark.parametrize("records", [demo.RULES, demo.CI_RULES])
