@@ -10,7 +10,8 @@ position. The ids are then read from the end backwards.
 The model is a BPE model with byte fallback, a leading space and no other normalisation; a model that
 the probes of ``PROBES`` show to behave otherwise is refused. Characters that no piece knows become
 their UTF-8 bytes. Texts are cut where no piece can lie across: before a space mark that follows
-another character, and around characters that are in no longer piece.
+another character, before a sign after a letter, and around characters that are in no longer
+piece, as far as the vocabulary has no piece that says otherwise.
 
 Null text is empty: no ids. Memory is bounded: remembered words and pairs are dropped when there are
 too many, and the table of a word has one number for each character, whatever the length of the text.
@@ -34,7 +35,7 @@ from culprit.llm import rows
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MAX_WORDS = 200_000
+MAX_WORDS = 500_000
 MAX_WORD_CHARS = 48
 MAX_PAIRS = 1_000_000
 CHUNK = 1 << 20
@@ -126,31 +127,27 @@ class Pieces:
         return sure or self.merged(list(a + b))[0] == [a, b]
 
     def may_follow(self, left: int, right: int) -> bool:
-        key = (left + 1) << 32 | right
-        known = self.together.get(key)
-        if known is None:
-            if len(self.together) >= MAX_PAIRS:
-                self.together.clear()
-            known = self.together[key] = self.fits(left, right)
+        if len(self.together) >= MAX_PAIRS:
+            self.together.clear()
+        known = self.together[left << 32 | right] = self.fits(left, right)
         return known
 
-    def table(self, word: str) -> array:
+    def table(self, word: str) -> list[int]:
         """The last piece of every prefix; ``UNKNOWN`` where a character is no piece."""
-        last = array("i")
-        pairs, settled = self.together.get, 0
+        last: list[int] = []
+        known, settled = self.together.get, 0
         for end, (size, token) in self.automaton.iter(word):
             if end < settled:
                 continue
             if end > settled:
-                last.extend([UNKNOWN] * (end - settled))
+                last += [UNKNOWN] * (end - settled)
                 settled = end
             before = last[end - size] if end >= size else UNKNOWN
-            ok = pairs((before + 1) << 32 | token)
+            ok = known(before << 32 | token)
             if ok or ok is None and self.may_follow(before, token):
                 last.append(token)
                 settled += 1
-        last.extend([UNKNOWN] * (len(word) - settled))
-        return last
+        return last + [UNKNOWN] * (len(word) - settled) if settled < len(word) else last
 
     def encode(self, word: str) -> list[int]:
         last, out, at = self.table(word), [], len(word)
@@ -166,17 +163,18 @@ class Pieces:
 
 
 class Words(dict):
-    """Ids of words; the words of the last generation are kept while a new one fills."""
+    """Ids of words as unsigned 32-bit integers; the words of the last generation are kept
+    while a new one fills."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
-        self.last: dict[str, list[int]] = {}
+        self.last: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.last.get(word)
         if ids is None:
-            ids = self.pieces.encode(word)
+            ids = array("I", self.pieces.encode(word)).tobytes()
             if len(word) > MAX_WORD_CHARS:
                 return ids
         if len(self) >= MAX_WORDS:
@@ -191,10 +189,18 @@ class Codec:
         self.pieces = Pieces(path)
         self.words = Words(self.pieces)
         longer = [t for t in self.pieces.id if len(t) > 1]
-        joined = re.escape("".join(sorted({c for t in longer for c in t} - {SPACE})))
+        joined = {c for t in longer for c in t} - {SPACE}
         #: Words: what no piece can reach across. Where pieces hold a space mark after another character, there are no words.
         split = not any(SPACE in t.lstrip(SPACE) for t in longer) and joined
-        self.word = re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|[^{SPACE}{joined}]" if split else r"(?s).+")
+        letters = {c for c in joined if c.isalnum()}
+        signs, after = joined - letters, {b for t in longer for a, b in zip(t, t[1:], strict=False) if a in letters and b not in letters}
+
+        def some(chars: set[str]) -> str:
+            return f"[{re.escape(''.join(sorted(chars)))}]" if chars else "(?!)"
+
+        # a letter is followed by letters and by the signs that follow a letter in some piece
+        word = f"{SPACE}*{some(signs)}*(?:{some(letters)}+(?:{some(after)}{some(signs)}*)?)+|{SPACE}*{some(signs)}+"
+        self.word = re.compile(f"{word}|{SPACE}+|[^{SPACE}]" if split else r"(?s).+")
         self.cut = re.compile(r"[^ ▁](?=[ ▁])") if split else None
         self.shown = {i: t.replace(SPACE, " ") for i, t in self.pieces.text.items()}
         self.shown[self.pieces.unknown] = " ⁇ "
@@ -220,7 +226,9 @@ class Codec:
         for n, part in enumerate(self.parts(text)):
             if part:
                 marked = part.replace(" ", SPACE)
-                yield [i for w in self.word.findall(marked if n else SPACE + marked) for i in get(w)]
+                ids = array("I")
+                ids.frombytes(b"".join(map(get, self.word.findall(marked if n else SPACE + marked))))
+                yield ids.tolist()
 
     def decode_parts(self, parts: Iterable[list[int]]) -> Iterator[str]:
         """The text of ids that come in parts. Runs of byte pieces are read as UTF-8, each odd byte as U+FFFD; one
