@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ REAL_CONFIDENCE_FLOOR = 0.55
 DEFAULT_TOP_N = 3
 NEAR_DUPLICATE = 0.82
 # --- end of fixed values ---------------------------------------------------------------------------
+LEVELS = (0.4, 0.0)  # bounds under which a set without a near-duplicate looks for its best partner
+COMMON = 128  # lines that more sets hold are looked at once for all sets that hold the same of them
+GRID = 2_000  # groups in a row or column of the grid of a common line
 
 
 def prepare_fixtures(fixtures: DataFrame) -> DataFrame:
@@ -285,18 +289,13 @@ def taxonomy_rollup(results: DataFrame, rules: DataFrame) -> DataFrame:
     return d.rollup("domain", "class", "mode").agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
 
 
-def near_sets(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_id: str = "log_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Line sets of a corpus and the pairs of different sets that are near-duplicates.
+def line_sets(texts: DataFrame, log_id: str = "log_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of lines of a corpus: ``members(log_id, fingerprint, n_lines, set_id)``, ``sets(set_id, n, hs)`` and
+    ``ranked(set_id, n, h, holders, at)``, the lines that several sets hold.
 
-    Returns ``(members, pairs)``: ``members(log_id, fingerprint, n_lines, set_id)`` and
-    ``pairs(set_a, set_b, similarity)``. Copies share one set, so they are never paired.
-
-    Pairs come from prefix filtering: with any fixed order of lines, two sets at Jaccard >= t
-    share a line among the first ``n - ceil(t n) + 1`` of each. Lines are in order of the number of
-    sets that hold them, so boilerplate is last and lines that only one set holds come first and
-    are never looked up. The index has a set's number, size and the line's position, no lines; sets
-    meet in their own size class and the next one, and size and position decide which of them are
-    compared, each pair once. Lines are compared by their 64-bit hash.
+    Copies share one set. ``at`` is a line's place in its set when lines are in order of the number of sets
+    that hold them: lines of one set only come first and are never looked up, boilerplate is last. Lines
+    are compared by their 64-bit hash.
     """
     lines = F.filter(
         F.transform(F.split(F.lower(F.col(text)), "\n"), tx.trim_space), lambda l: l != ""
@@ -306,16 +305,39 @@ def near_sets(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_id: str =
         F.array_sort(F.array_distinct(F.transform(lines, lambda l: F.xxhash64(l)))).alias("hs"),
     ).withColumn("set_key", F.sha2(F.array_join(F.col("hs").cast("array<string>"), ","), 256))
     base = stored(base)
-    sets = stored(base.groupBy("set_key").agg(F.min(log_id).alias("set_id"), F.any_value("hs").alias("hs")))
+    sets = stored(base.groupBy("set_key").agg(F.min(log_id).alias("set_id"), F.any_value("hs").alias("hs")).withColumn("n", F.size("hs")))
     members = base.select(log_id, "fingerprint", "set_key", F.size("hs").alias("n_lines")).join(sets.select("set_key", "set_id"), "set_key").drop("set_key")
-    each = sets.select("set_id", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    each = sets.select("set_id", "n", F.explode("hs").alias("h"))
     often = each.groupBy("h").agg(F.count("*").alias("holders")).filter("holders > 1")
     own = W.partitionBy("set_id")
     at = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "h"))
-    size_class = F.floor(F.log("n") / F.lit(-math.log(threshold)))
-    ranked = each.join(often, "h").withColumn("at", at).withColumn("class", size_class)
-    index = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("h", "class", "set_id", "n", "at")
+    ranked = stored(each.join(often, "h").withColumn("at", at))
+    return members, sets.select("set_id", "n", "hs"), ranked
+
+
+def _prefix(ranked: DataFrame, threshold: float) -> DataFrame:
+    """The lines of each set of which one is in every set at least so similar."""
+    return ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+
+
+def _similarity(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """``set_id_a, set_id_b, similarity`` of pairs of sets."""
+    lines_of = lambda s: sets.select(F.col("set_id").alias(f"set_id_{s}"), F.col("hs").alias(f"hs_{s}"))
+    shared = F.size(F.array_intersect("hs_a", "hs_b"))
+    similarity = shared / (F.size("hs_a") + F.size("hs_b") - shared)
+    return candidates.join(lines_of("a"), "set_id_a").join(lines_of("b"), "set_id_b").select("set_id_a", "set_id_b", similarity.alias("similarity"))
 
+
+def near_sets(sets: DataFrame, ranked: DataFrame, threshold: float = NEAR_DUPLICATE) -> DataFrame:
+    """Pairs ``(set_a, set_b, similarity)`` of different line sets (see :func:`line_sets`) that are near-duplicates.
+
+    Pairs come from prefix filtering: with any fixed order of lines, two sets at Jaccard >= t
+    share a line among the first ``n - ceil(t n) + 1`` of each. The index has a set's number, size and
+    the line's position, no lines; sets meet in their own size class and the next one, and size and
+    position decide which of them are compared, each pair once.
+    """
+    size_class = F.floor(F.log("n") / F.lit(-math.log(threshold)))
+    index = _prefix(ranked, threshold).withColumn("class", size_class).select("h", "class", "set_id", "n", "at")
     left = index.select("h", "class", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "at")])
     right = index.select("h", F.explode(F.array("class", F.col("class") - 1)).alias("class"), *[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "at")])
     na, nb = F.col("n_a"), F.col("n_b")
@@ -323,22 +345,78 @@ def near_sets(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_id: str =
     reach = F.least(na - F.col("at_a"), nb - F.col("at_b")) + F.least("at_a", "at_b")
     near = (na >= nb * threshold - 1e-9) & (reach >= (na + nb) * (threshold / (1 + threshold)) - 1e-9)
     candidates = left.join(right, ["h", "class"]).filter(once & near).select("set_id_a", "set_id_b").distinct()
-    lines_of = lambda s: sets.select(F.col("set_id").alias(f"set_id_{s}"), F.col("hs").alias(f"hs_{s}"))
-    shared = F.size(F.array_intersect("hs_a", "hs_b"))
-    similarity = shared / (F.size("hs_a") + F.size("hs_b") - shared)
-    pairs = candidates.join(lines_of("a"), "set_id_a").join(lines_of("b"), "set_id_b").select(
-        F.least("set_id_a", "set_id_b").alias("set_a"), F.greatest("set_id_a", "set_id_b").alias("set_b"), similarity.alias("similarity")
-    ).filter(F.col("similarity") >= threshold)
-    return members, pairs
+    pairs = _similarity(candidates, sets).filter(F.col("similarity") >= threshold)
+    return pairs.select(F.least("set_id_a", "set_id_b").alias("set_a"), F.greatest("set_id_a", "set_id_b").alias("set_b"), "similarity")
 
 
-def review_duplicates(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_id: str = "log_id", text: str = "text") -> DataFrame:
-    """Status of each text: exact duplicate, near-duplicate or candidate.
+def best_partners(sets: DataFrame, ranked: DataFrame, pairs: DataFrame, levels: Sequence[float] = LEVELS) -> DataFrame:
+    """``set_id, best``: the largest similarity of each set to any other set that shares a line with it.
+
+    ``pairs`` settle the sets that have a near-duplicate. The others look for partners under falling
+    bounds: at each level only sets without a partner that good lengthen their prefixes, at the last one to
+    all their lines. Lines of more than ``COMMON`` sets are left out of these prefixes; what sets share by
+    such lines alone is found from groups of sets that hold the same common lines. Two groups with k of
+    them in common give each member of one the smallest set of the other as a partner, so a
+    group counts once, however many sets it has.
+    """
+    known = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set_id"), "similarity").groupBy("set_id").agg(F.max("similarity").alias("best"))
+    left = sets.filter("n > 0").select("set_id", "n").join(known, "set_id", "left_anti")
+    open_sets = stored(left.join(_by_common_lines(ranked, left), "set_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0))))
+    found = [known]
+    rare = ranked.filter(F.col("holders") <= COMMON)
+    for level in levels:
+        prefix = _prefix(rare, level).select("h", "set_id", "n", "at")
+        a = prefix.join(open_sets.select("set_id", "best"), "set_id").select("h", "best", *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "at")])
+        b = prefix.select("h", *[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "at")])
+        # of a first shared line at these places, so many lines can be shared at most
+        most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + F.least("at_a", "at_b")
+        bound = most / (F.col("n_a") + F.col("n_b") - most)
+        candidates = a.join(b, "h").filter((F.col("set_id_a") != F.col("set_id_b")) & (bound >= level - 1e-9) & (bound > F.col("best"))).select("set_id_a", "set_id_b").distinct()
+        now = _similarity(candidates, sets).groupBy(F.col("set_id_a").alias("set_id")).agg(F.max("similarity").alias("now"))
+        after = stored(open_sets.join(now, "set_id", "left").select("set_id", "n", F.greatest("best", F.coalesce("now", F.lit(0.0))).alias("best")))
+        found.append(after.filter(F.col("best") >= level).select("set_id", "best"))
+        open_sets = after.filter(F.col("best") < level)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _by_common_lines(ranked: DataFrame, open_sets: DataFrame) -> DataFrame:
+    """``set_id, best`` over partners as if only the lines of more than ``COMMON`` sets were shared."""
+    common = ranked.filter(F.col("holders") > COMMON)
+    held = stored(common.groupBy("set_id", "n").agg(F.array_sort(F.collect_list("h")).alias("lines")))
+    two = W.partitionBy("lines").orderBy("n", "set_id")
+    smallest = held.withColumn("place", F.row_number().over(two)).filter("place <= 2").groupBy("lines").agg(F.array_sort(F.collect_list(F.struct("n", "set_id"))).alias("two"))
+    groups = stored(smallest.select(F.get("two", F.lit(0))["set_id"].alias("group"), "lines", "two"))
+    asking = held.join(open_sets.select("set_id"), "set_id", "left_semi").join(groups.select("lines", "group"), "lines").select("set_id", "n", "group")
+    asking = stored(asking)
+    each = groups.select("group", F.explode("lines").alias("h"))
+    # both sides of a line that very many groups hold are cut: rows and columns of a grid
+    cuts = each.groupBy("h").agg(F.ceil(F.count("*") / GRID).cast("int").alias("cuts"))
+    block = F.pmod(F.xxhash64("group"), F.col("cuts")).cast("int")
+    placed = each.join(cuts, "h")
+    rows_ = placed.join(asking.select("group").distinct(), "group", "left_semi").select("h", F.col("group").alias("group_a"), block.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("column"))
+    columns = placed.select("h", F.col("group").alias("group_b"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("row"), block.alias("column"))
+    shared = rows_.join(columns, ["h", "row", "column"]).groupBy("group_a", "group_b").agg(F.count("*").alias("k"))
+    partner = shared.join(groups.select(F.col("group").alias("group_b"), "two"), "group_b")
+    first = partner.filter("group_a <> group_b").groupBy("group_a", "k").agg(F.min(F.get("two", F.lit(0))).alias("one"))
+    own = partner.filter("group_a = group_b").select("group_a", "k", F.explode("two").alias("one"))
+    offers = first.unionByName(own).select(F.col("group_a").alias("group"), "k", F.col("one.n").alias("n_b"), F.col("one.set_id").alias("set_b"))
+    met = asking.join(offers, "group").filter("set_id <> set_b")
+    return met.groupBy("set_id").agg(F.max(F.col("k") / (F.col("n") + F.col("n_b") - F.col("k"))).alias("best"))
+
+
+def review_duplicates(
+    texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_id: str = "log_id", text: str = "text", diagnosed: DataFrame | None = None
+) -> DataFrame:
+    """Status of each text (exact duplicate, near-duplicate or candidate), its largest similarity to any other and,
+    from ``diagnosed`` (see :func:`culprit.operators.match.diagnose`), its first and first three rules.
 
     Near-duplicates are listed as line sets (by their first member) with the number of texts
-    they hold, which names the same texts without writing every pair of copies.
+    they hold, which names the same texts without writing every pair of copies. The similarity is exact
+    below the threshold too, so near misses can be ranked; a text that shares no line has 0.
     """
-    members, pairs = near_sets(texts, threshold, log_id, text)
+    members, sets, ranked = line_sets(texts, log_id, text)
+    pairs = stored(near_sets(sets, ranked, threshold))
+    partners = best_partners(sets, ranked, pairs)
     prints = members.groupBy("set_id", "fingerprint").agg(
         F.count("*").alias("copies"), F.min(log_id).alias("first_id"), F.any_value("n_lines").alias("n_lines")
     )
@@ -352,7 +430,6 @@ def review_duplicates(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_i
         .agg(
             F.array_sort(F.collect_list("set_b")).alias("near_sets"),
             F.sum("set_size").alias("near_count"),
-            F.max("similarity").alias("best"),
         )
     )
     second = (
@@ -362,15 +439,15 @@ def review_duplicates(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_i
         .agg(F.min(log_id).alias("second_id"))
     )
     groups = (
-        prints.drop("n_lines").join(sizes, "set_id").join(near, "set_id", "left").join(second, ["fingerprint", "set_id"], "left")
+        prints.drop("n_lines").join(sizes, "set_id").join(near, "set_id", "left").join(partners, "set_id", "left").join(second, ["fingerprint", "set_id"], "left")
     )
     m = members.drop("n_lines").join(groups, ["fingerprint", "set_id"])
     duplicate = F.col("copies") > 1
     own = (F.col("n_prints") > 1) & (F.col("n_lines") > 0)  # texts without lines resemble nothing
-    found = own | F.col("best").isNotNull()
+    found = own | F.col("near_sets").isNotNull()
     near_list = F.coalesce("near_sets", F.slice(F.array("set_id"), 1, 0))
     near_list = F.when(own, F.array_sort(F.array_append(near_list, F.col("set_id")))).otherwise(near_list)
-    return m.select(
+    reviewed = m.select(
         log_id,
         F.when(duplicate, "duplicate").when(found, "near-duplicate").otherwise("candidate").alias("status"),
         F.when(duplicate, F.when(F.col(log_id) == F.col("first_id"), F.col("second_id")).otherwise(F.col("first_id"))).alias("duplicate_of"),
@@ -378,3 +455,9 @@ def review_duplicates(texts: DataFrame, threshold: float = NEAR_DUPLICATE, log_i
         F.when(~duplicate, near_list).alias("near_sets"),
         F.when(~duplicate, F.coalesce("near_count", F.lit(0)) + F.when(own, F.col("set_size") - 1).otherwise(0)).alias("near_count"),
     )
+    if diagnosed is None:
+        return reviewed
+    first = F.array_sort(F.collect_list(F.struct("rank", "rule_id")))
+    top = diagnosed.filter("live AND rank <= 3").groupBy(log_id).agg(F.transform(first, lambda r: r["rule_id"]).alias("predicted_top3"))
+    none = F.array().cast("array<string>")
+    return reviewed.join(top, log_id, "left").withColumn("predicted_top3", F.coalesce("predicted_top3", none)).withColumn("predicted_top", F.get("predicted_top3", F.lit(0)))

@@ -184,7 +184,7 @@ SHINGLES = f"""SELECT DISTINCT lower({sql.collapse('l')}) AS norm FROM (SELECT u
 @register("pattern_hits_large", f"""WITH {sql.staged()}, n AS ({SHINGLES}), h AS (SELECT log_id, norm, ns FROM staged JOIN n ON contains(array_to_string(ns, chr(10)), norm))
 SELECT log_id, norm, list_position(list_transform(ns, lambda l: contains(l, norm)), true)::BIGINT AS line_no FROM h""")
 def pattern_hits_large(spark, sf):
-    """Four-word pieces of the benchmark passages as patterns: enough of them to use the automaton."""
+    """Four-word pieces of the benchmark passages as patterns."""
     from culprit.functions import text as tx
 
     pieces = F.explode(F.regexp_extract_all("text", F.lit("[^ \n]+ [^ \n]+ [^ \n]+ [^ \n]+"), F.lit(0)))
@@ -194,6 +194,25 @@ def pattern_hits_large(spark, sf):
     return h.select("log_id", "norm", F.col("line_no").cast("bigint").alias("line_no"))
 
 
+CATALOGUE_SQL = f"""WITH {sql.staged()}, w AS (SELECT string_split(lower(text), ' ') AS w FROM conversations UNION ALL SELECT string_split(lower(text), ' ') FROM benchmark),
+ n AS (SELECT DISTINCT ' ' || array_to_string(w[i:i + 2], ' ') || ' ' AS norm FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w) WHERE NOT contains(array_to_string(w[i:i + 2], ' '), chr(10))),
+ l AS (SELECT log_id, generate_subscripts(ns, 1) AS line_no, string_split(unnest(ns), ' ') AS w FROM staged),
+ s AS (SELECT log_id, line_no, ' ' || array_to_string(w[i:i + 2], ' ') || ' ' AS norm FROM (SELECT log_id, line_no, w, unnest(range(2, len(w) - 2)) AS i FROM l))
+SELECT log_id, norm, min(line_no)::BIGINT AS line_no FROM s SEMI JOIN n USING (norm) GROUP BY ALL"""
+
+
+@register("pattern_hits_catalogue", CATALOGUE_SQL)
+def pattern_hits_catalogue(spark, sf):
+    """A catalogue of hundreds of thousands of patterns: all three-word windows of the conversations and benchmark passages,
+    with a space at both ends, so that SQL can find them by words."""
+    w, texts = F.split(F.lower("text"), " "), [demo.table(spark, sf, t).select(F.col("text")) for t in ("conversations", "benchmark")]
+    windows = texts[0].unionByName(texts[1]).select(w.alias("w")).filter(F.size("w") > 2)
+    at = F.explode(F.sequence(F.lit(1), F.size("w") - 2))
+    norms = windows.select("w", at.alias("i")).select(F.concat(F.lit(" "), F.array_join(F.slice("w", F.col("i"), 3), " "), F.lit(" ")).alias("norm"))
+    h = mt.first_pattern_lines(demo.logs(spark, sf), norms.filter(~F.contains("norm", F.lit("\n"))))
+    return h.select("log_id", "norm", F.col("line_no").cast("bigint").alias("line_no"))
+
+
 @register("excluded_pairs", sql.ranked() + "SELECT log_id, rule_id FROM candidates WHERE blocked AND positive > 0")
 def excluded_pairs(spark, sf):
     return mt.excluded_pairs(demo.logs(spark, sf), demo.rules(spark))

@@ -262,18 +262,22 @@ def taxonomy_rollup(spark, sf):
 
 @register(
     "review_duplicates",
-    f"""WITH b AS (SELECT doc_id AS log_id, left(sha256(text), 16) AS fp, list_sort(list_distinct(list_filter(list_transform(string_split(lower(text), chr(10)), lambda l: {sql.trim_space('l')}), lambda l: l <> ''))) AS hs FROM documents),
- s AS (SELECT hs, min(log_id) AS set_id, count(*) AS set_size, count(DISTINCT fp) AS n_prints FROM b GROUP BY hs),
- p AS (SELECT a.set_id AS sa, c.set_id AS sb, c.set_size AS nb, len(list_intersect(a.hs, c.hs))::DOUBLE / (len(a.hs) + len(c.hs) - len(list_intersect(a.hs, c.hs))) AS sim
-   FROM s a JOIN s c ON a.set_id <> c.set_id AND least(len(a.hs), len(c.hs)) >= 0.82 * greatest(len(a.hs), len(c.hs)) - 1e-9 AND len(a.hs) > 0),
- q AS (SELECT sa AS set_id, list_sort(list(sb)) AS near, sum(nb) AS near_count, max(sim) AS best FROM p WHERE sim >= 0.82 GROUP BY 1),
- g AS (SELECT fp, list_sort(list(log_id))[1:2] AS ids, count(*) AS copies FROM b GROUP BY 1),
- j AS (SELECT b.log_id, g.copies, g.ids, s.set_id, s.set_size, s.n_prints, q.near, q.near_count, q.best FROM b JOIN g USING (fp) JOIN s ON s.hs = b.hs LEFT JOIN q ON q.set_id = s.set_id)
-SELECT log_id, CASE WHEN copies > 1 THEN 'duplicate' WHEN n_prints > 1 OR best IS NOT NULL THEN 'near-duplicate' ELSE 'candidate' END AS status,
+    sql.ranked(f""", d_b AS (SELECT doc_id AS log_id, left(sha256(text), 16) AS fp, list_sort(list_distinct(list_filter(list_transform(string_split(lower(text), chr(10)), lambda l: {sql.trim_space('l')}), lambda l: l <> ''))) AS hs FROM documents),
+ d_s AS (SELECT hs, min(log_id) AS set_id, count(*) AS set_size, count(DISTINCT fp) AS n_prints FROM d_b GROUP BY hs),
+ d_p AS (SELECT a.set_id AS sa, c.set_id AS sb, c.set_size AS nb, len(list_intersect(a.hs, c.hs))::DOUBLE / (len(a.hs) + len(c.hs) - len(list_intersect(a.hs, c.hs))) AS sim
+   FROM d_s a JOIN d_s c ON a.set_id <> c.set_id AND len(a.hs) > 0),
+ d_q AS (SELECT sa AS set_id, list_sort(list(sb) FILTER (WHERE sim >= 0.82)) AS near, sum(nb) FILTER (WHERE sim >= 0.82) AS near_count, max(sim) AS best FROM d_p GROUP BY 1),
+ d_g AS (SELECT fp, list_sort(list(log_id))[1:2] AS ids, count(*) AS copies FROM d_b GROUP BY 1),
+ d_t AS (SELECT log_id, list(rule_id ORDER BY rank) AS top3 FROM ranked WHERE rank <= 3 GROUP BY 1),
+ d_j AS (SELECT d_b.log_id, d_g.copies, d_g.ids, d_s.set_id, d_s.set_size, d_s.n_prints, d_q.near, d_q.near_count, d_q.best, d_t.top3
+   FROM d_b JOIN d_g USING (fp) JOIN d_s ON d_s.hs = d_b.hs LEFT JOIN d_q ON d_q.set_id = d_s.set_id LEFT JOIN d_t ON d_t.log_id = d_b.log_id)""") + """
+SELECT log_id, CASE WHEN copies > 1 THEN 'duplicate' WHEN n_prints > 1 OR near IS NOT NULL THEN 'near-duplicate' ELSE 'candidate' END AS status,
  CASE WHEN copies > 1 THEN CASE WHEN log_id = ids[1] THEN ids[2] ELSE ids[1] END END AS duplicate_of, CASE WHEN copies > 1 OR n_prints > 1 THEN 1.0 ELSE coalesce(best, 0.0) END AS similarity,
  CASE WHEN copies = 1 THEN array_to_string(list_sort(list_concat(coalesce(near, []), CASE WHEN n_prints > 1 THEN [set_id] ELSE [] END)), ',') END AS near_sets,
- CASE WHEN copies = 1 THEN (coalesce(near_count, 0) + set_size - 1)::BIGINT END AS near_count FROM j""",
+ CASE WHEN copies = 1 THEN (coalesce(near_count, 0) + set_size - 1)::BIGINT END AS near_count,
+ top3[1] AS predicted_top, coalesce(array_to_string(top3, ','), '') AS predicted_top3 FROM d_j""",
 )
 def review_duplicates(spark, sf):
-    r = lb.review_duplicates(demo.logs(spark, sf))
-    return r.withColumn("near_sets", F.array_join(F.col("near_sets").cast("array<string>"), ","))
+    logs = demo.logs(spark, sf)
+    r = lb.review_duplicates(logs, diagnosed=mt.diagnose(logs, demo.rules(spark)))
+    return r.withColumn("near_sets", F.array_join(F.col("near_sets").cast("array<string>"), ",")).withColumn("predicted_top3", F.array_join("predicted_top3", ","))

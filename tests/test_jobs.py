@@ -10,10 +10,12 @@ from culprit.operators import commits as cm
 from culprit.operators import corpus as cp
 from culprit.operators import history as hi
 from culprit.operators import labelled as lb
+from culprit.operators import match as mt
 from culprit.operators import owners as ow
 from culprit.operators import silent as si
 from culprit.operators import source_scan as sc
 from culprit.operators import unknown as uk
+from culprit.operators.rules import RuleSet
 
 
 def logs(spark, *texts):
@@ -144,8 +146,38 @@ def test_near_duplicates_equal_brute_force(spark):
             assert got[i]["duplicate_of"] == min(same)
         else:
             assert got[i]["near_count"] == len(near)
-            if near:
-                assert got[i]["similarity"] == pytest.approx(max(sim(sets[i], sets[j]) for j in near))
+            assert got[i]["similarity"] == pytest.approx(max(sim(sets[i], sets[j]) for j in range(len(texts)) if j != i))
+
+
+@pytest.mark.parametrize("common, grid", [(128, 2000), (3, 2), (0, 1), (8, 3)])
+def test_best_partners_below_the_threshold(spark, monkeypatch, common, grid):
+    monkeypatch.setattr(lb, "COMMON", common)
+    monkeypatch.setattr(lb, "GRID", grid)
+    rng = random.Random(13)
+    plates = [[f"plate {i} {k}" for k in range(3)] for i in range(4)]
+    texts = []
+    for i in range(130):
+        own = [f"own {i} {k}" for k in range(rng.randrange(0, 9))]
+        shared = rng.sample([f"shared {k}" for k in range(60)], rng.randrange(0, 4))
+        texts.append("\n".join(own + shared + [l for p in rng.sample(plates, rng.randrange(0, 3)) for l in p[: rng.randrange(1, 4)]]))
+    texts += ["\n".join(t.split("\n")[:-1]) for t in texts[:20]] + ["", "alone", "plate 0 0"]
+    sets = {}
+    for i, t in enumerate(texts):
+        sets.setdefault(frozenset(t.split("\n")) - {""}, i)
+    want = {}
+    for a, i in sets.items():
+        best = max(len(a & b) / len(a | b) if a and b else 0.0 for b, j in sets.items() if j != i)
+        want[i] = best
+    _, known, ranked = lb.line_sets(logs(spark, *texts))
+    got = {r["set_id"]: r["best"] for r in lb.best_partners(known, ranked, lb.near_sets(known, ranked)).collect()}
+    assert {i: got.get(i, 0.0) for i in want} == pytest.approx(want)
+
+
+def test_review_names_the_predicted_rules(spark):
+    rules = RuleSet.from_records(spark, [{"rule_id": f"r{i}", "any": ["boom"], "base_score": float(i)} for i in range(5)])
+    d = logs(spark, "boom", "nothing", "boom\nagain")
+    got = {r["log_id"]: (r["status"], r["predicted_top"], r["predicted_top3"], r["similarity"]) for r in lb.review_duplicates(d, diagnosed=mt.diagnose(d, rules)).collect()}
+    assert got == {0: ("candidate", "r4", ["r4", "r3", "r2"], 0.5), 1: ("candidate", None, [], 0.0), 2: ("candidate", "r4", ["r4", "r3", "r2"], 0.5)}
 
 
 def commits_table(spark):
@@ -232,7 +264,8 @@ def test_near_sets_with_a_line_in_every_text_and_a_long_text(spark):
     long = [f"long {i}" for i in range(20_000)]
     texts += [long, long[50:], long[:9_000]]
     d = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "log_id int, text string")
-    members, pairs = lb.near_sets(d, 0.6)
+    members, known, ranked = lb.line_sets(d)
+    pairs = lb.near_sets(known, ranked, 0.6)
     sets = {}
     for i, t in enumerate(texts):
         sets.setdefault(frozenset(t), i)
