@@ -4,11 +4,10 @@ A pattern of up to eight bytes is its own piece. A longer one is known by one pi
 all its windows the one that fewest windows of other patterns share. Pieces are numbers, so the index is
 an ordinary table and is joined like one; nothing about a pattern is kept anywhere else.
 
-A text is read once. Each position is tested against a filter of fixed size (two bits a piece, see
-``FILTER_BITS``), and what passes is found again as rows of (piece, line): of a short pattern its first
-line in the text, of a long one every different line, which the join then verifies against the pattern.
-The filter is all that tasks get of the patterns. It only drops work: a wrong "maybe" finds no
-partner in the join.
+A text is read once. Each position is tested against a filter (two bits a piece, at most ``FILTER_BITS``),
+and what passes is found again as rows of (piece, line): of a short pattern its first line in the
+text, of a long one every different line, which the join then verifies against the pattern. The filter is
+all that tasks get of the patterns. It only drops work: a wrong "maybe" finds no partner in the join.
 
 Patterns hold no line feed and empty ones are left out; a line feed in a text ends every piece.
 """
@@ -27,10 +26,10 @@ from culprit.functions.storage import stored
 
 PIECE = 8
 LONG = 9  # code of a piece that stands for longer patterns; other codes are lengths
-FILTER_BITS = 1 << 25
+FILTER_BITS = 1 << 25  # of the largest filter; small catalogues take 64 to 128 bits a piece
 _BUCKET = 1 << 15  # bits of a bitmap of Spark's bitmap functions
-AT_ONCE = 1 << 20
-_FACTORS = (0x0B4B82E5, 0x0C2B2AE3, 0x09E3779B), (0x0D35A2D9, 0x0A0B4283, 0x0F1BBCDD)
+AT_ONCE = 1 << 18
+_FACTORS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 HIT = "array<struct<code:tinyint,piece:bigint,line_no:int,line:string>>"
 _PIECES = pa.list_(pa.struct([("code", pa.int8()), ("piece", pa.int64())]))
@@ -51,11 +50,10 @@ def cut(x: np.ndarray, code: int) -> np.ndarray:
     return x & np.uint64((1 << 8 * code) - 1) if code < PIECE else x
 
 
-def places(piece: np.ndarray, code: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a piece in the filter."""
-    low, high, code = piece & np.uint64(0xFFFFFFFF), piece >> np.uint64(32), np.uint64(code)
-    found = [((low * np.uint64(a) + high * np.uint64(b) + code * np.uint64(c)) >> np.uint64(24)) & np.uint64(FILTER_BITS - 1) for a, b, c in _FACTORS]
-    return found[0].astype(np.int64), found[1].astype(np.int64)
+def place(piece: np.ndarray, code: int, which: int, width: int) -> np.ndarray:
+    """One of the two bits of a piece in a filter of ``2^width``: the upper bits of a product that wraps around."""
+    factor = np.uint64((_FACTORS[which] + 2 * code * 0x632BE5AB) % 2**64)
+    return (piece * factor) >> np.uint64(64 - width)
 
 
 def _pieces_of(patterns: pa.Array) -> pa.Array:
@@ -69,46 +67,54 @@ def _pieces_of(patterns: pa.Array) -> pa.Array:
     return pa.array(out, _PIECES)
 
 
-def _places_of(codes: pa.Array, pieces: pa.Array) -> pa.Array:
-    a, b = places(pieces.to_numpy(zero_copy_only=False).view(np.uint64), codes.to_numpy(zero_copy_only=False).astype(np.uint64))
-    return pa.array((np.stack([a, b], 1) + 1).tolist(), pa.list_(pa.int64()))  # bitmaps count from 1
+def _places_of(width: int):
+    def run(codes: pa.Array, pieces: pa.Array) -> pa.Array:
+        code, piece = codes.to_numpy(zero_copy_only=False), pieces.to_numpy(zero_copy_only=False).view(np.uint64)
+        out = np.zeros((len(code), 2), np.int64)
+        for c in np.unique(code).tolist():
+            for which in (0, 1):
+                out[code == c, which] = place(piece[code == c], c, which, width)
+        return pa.array((out + 1).tolist(), pa.list_(pa.int64()))  # bitmaps count from 1
+
+    return run
 
 
 @dataclass(frozen=True)
 class PatternIndex:
-    """``table``: ``code, piece, norm``, one row for each pattern. ``bits``: the filled parts of the filter."""
+    """``table``: ``code, piece, norm``, one row for each pattern. ``bits``: the filled parts of the filter of ``2^width``."""
 
     table: DataFrame
     codes: tuple[int, ...]
+    width: int
     bits: Mapping[int, bytes]
 
     @staticmethod
     def build(norms: DataFrame) -> PatternIndex:
         """The index of the distinct values of a column ``norm``."""
-        distinct = norms.select("norm").filter("norm <> ''").distinct()
-        every = distinct.select("norm", F.explode(F.arrow_udf(_pieces_of, "array<struct<code:tinyint,piece:bigint>>")("norm")).alias("p")).select("norm", "p.code", "p.piece")
-        short = F.col("code") < LONG
-        shared = every.filter(~short).groupBy("piece").agg(F.count("*").alias("shared"))
-        rarest = every.filter(~short).join(shared, "piece").groupBy("norm").agg(F.min(F.struct("shared", "piece")).alias("m"))
-        chosen = every.filter(short).select("code", "piece", "norm").unionByName(rarest.select(F.lit(LONG).cast("tinyint").alias("code"), F.col("m.piece").alias("piece"), "norm"))
-        table = stored(chosen)
-        at = table.select("code", F.explode(F.arrow_udf(_places_of, "array<bigint>")("code", "piece")).alias("at"))
+        pieces = F.explode(F.arrow_udf(_pieces_of, "array<struct<code:tinyint,piece:bigint>>")("norm"))
+        every = norms.filter("norm <> ''").select("norm", pieces.alias("p")).select("norm", "p.code", "p.piece")
+        shared = every.groupBy("code", "piece").agg(F.count("*").alias("shared"))
+        rarest = every.join(shared, ["code", "piece"]).groupBy("norm").agg(F.min(F.struct("shared", "code", "piece")).alias("m"))
+        table = stored(rarest.select("m.code", "m.piece", "norm"))
+        width = min(FILTER_BITS.bit_length() - 1, max(15, (64 * table.count()).bit_length()))
+        at = table.select("code", F.explode(F.arrow_udf(_places_of(width), "array<bigint>")("code", "piece")).alias("at"))
         bitmap = F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at")))
         # at most FILTER_BITS / 8 bytes and nine codes, however many patterns there are
         parts = at.groupBy(F.bitmap_bucket_number(F.col("at")).alias("bucket")).agg(bitmap.alias("bitmap"), F.collect_set("code").alias("codes")).collect()
-        return PatternIndex(table, tuple(sorted({c for r in parts for c in r["codes"]})), {r["bucket"]: bytes(r["bitmap"]) for r in parts})
+        return PatternIndex(table, tuple(sorted({c for r in parts for c in r["codes"]})), width, {r["bucket"]: bytes(r["bitmap"]) for r in parts})
+
+    def filter(self) -> Filter:
+        return Filter(self.codes, self.width, self.bits)
 
     def hits(self, norm: Column, canonical: Column) -> Column:
         """The pieces of the index in a text ``norm``, with their lines in ``canonical``, which has as many lines."""
-        codes, bits = self.codes, self.bits
-        kept: list[np.ndarray] = []
+        pieces = self.filter()
+        return F.arrow_udf(lambda norms, texts: scan(norms, texts, pieces), HIT)(norm, canonical)
 
-        def run(norms: pa.Array, texts: pa.Array) -> pa.Array:
-            if not kept:
-                kept.append(_filter(bits))
-            return scan(norms, texts, codes, kept[0])
-
-        return F.arrow_udf(run, HIT)(norm, canonical)
+    @staticmethod
+    def verified(norm_line: Column) -> Column:
+        """Whether a row ``_code, _piece`` with this normalised line holds the pattern of an index row."""
+        return (F.col("_code") == F.col("code")) & (F.col("_piece") == F.col("piece")) & ((F.col("code") < LONG) | F.contains(norm_line, F.col("norm")))
 
     def find(self, logs: DataFrame, keep: Sequence[str], outer: bool = False) -> DataFrame:
         """``keep``, ``norm, line_no, line``: the first line of each pattern in each row of ``logs`` (with ``canonical``
@@ -117,21 +123,37 @@ class PatternIndex:
         found = logs.select(*keep, self.hits(F.col("norm"), F.col("canonical")).alias("hits"))
         explode = F.explode_outer if outer else F.explode
         pieces = found.select(*keep, explode("hits").alias("h")).select(*keep, F.col("h.code").alias("_code"), F.col("h.piece").alias("_piece"), "h.line_no", "h.line")
-        verified = (F.col("_code") == F.col("code")) & (F.col("_piece") == F.col("piece")) & ((F.col("code") < LONG) | F.contains(F.lower("line"), F.col("norm")))
-        rows = pieces.join(self.table, verified, "left" if outer else "inner")
+        rows = pieces.join(self.table, self.verified(F.lower("line")), "left" if outer else "inner")
         first = rows.repartition(F.col(keep[0])).groupBy(*keep, "norm").agg(F.min(F.struct("line_no", "line")).alias("at"))
         line = F.when(F.col("norm").isNotNull(), F.col("at"))
         return first.select(*keep, "norm", line["line_no"].alias("line_no"), line["line"].alias("line"))
 
 
-def _filter(bits: Mapping[int, bytes]) -> np.ndarray:
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, bitmap in bits.items():
-        out[(bucket - 1) * _BUCKET // 8 : bucket * _BUCKET // 8] = np.frombuffer(bitmap, np.uint8)
-    return out
+class Filter:
+    """Which pieces may be in the index. Travels as bitmaps and is unpacked where it is used."""
+
+    def __init__(self, codes: tuple[int, ...], width: int, bits: Mapping[int, bytes]):
+        self.codes, self.width, self.bits = codes, width, bits
+        self.table: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def maybe(self, x: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of words ``x`` that may hold a piece of this code, and the pieces."""
+        if self.table is None:
+            packed = np.zeros(1 << self.width - 3, np.uint8)
+            for bucket, bitmap in self.bits.items():
+                packed[(bucket - 1) * _BUCKET // 8 : bucket * _BUCKET // 8] = np.frombuffer(bitmap, np.uint8)
+            self.table = np.unpackbits(packed, bitorder="little").view(bool)
+        piece = cut(x, code)
+        at = np.flatnonzero(self.table[place(piece, code, 0, self.width)])
+        piece = piece[at]
+        ok = self.table[place(piece, code, 1, self.width)]
+        return at[ok], piece[ok]
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an array of strings and where each string starts in them (and the end)."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     _, starts, data = texts.buffers()
@@ -140,22 +162,18 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[starts[0] : starts[-1]], starts - starts[0]
 
 
-def scan(norms: pa.Array, texts: pa.Array, codes: Sequence[int], bits: np.ndarray) -> pa.Array:
+def scan(norms: pa.Array, texts: pa.Array, pieces: Filter, every: bool = False) -> pa.Array:
     """All texts of a batch at once. Of a code below ``LONG`` the first line of each piece in a text, of
-    ``LONG`` each different line."""
-    data, starts = _buffers(norms)
+    ``LONG`` each different line; with ``every`` all lines."""
+    data, starts = buffers(norms)
     found: dict[str, list[np.ndarray]] = {"at": [], "code": [], "piece": []}
     for begin in range(0, len(data), AT_ONCE):
         x = words(data[begin : begin + AT_ONCE + PIECE])[: min(AT_ONCE, len(data) - begin)]
-        for code in codes:
-            piece = cut(x, code)
-            a, b = places(piece, code)
-            maybe = np.flatnonzero(bits[a >> 3] >> (a & 7).astype(np.uint8) & 1)
-            b = b[maybe]
-            maybe = maybe[(bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)]
-            found["at"].append(maybe + begin)
-            found["piece"].append(piece[maybe].astype(np.int64))
-            found["code"].append(np.full(len(maybe), code, np.int8))
+        for code in pieces.codes:
+            at, piece = pieces.maybe(x, code)
+            found["at"].append(at + begin)
+            found["piece"].append(piece.view(np.int64))
+            found["code"].append(np.full(len(at), code, np.int8))
     at, code, piece = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in found.values())
     feeds = np.flatnonzero(data == 10)
     row = np.searchsorted(starts, at, "right") - 1
@@ -169,11 +187,11 @@ def scan(norms: pa.Array, texts: pa.Array, codes: Sequence[int], bits: np.ndarra
     same = (np.diff(row, prepend=-1) == 0) & (np.diff(code, prepend=-1) == 0) & (np.diff(piece, prepend=0) == 0)
     if len(same):
         same[0] = False
-    again = same & ((code < LONG) | (np.diff(number, prepend=-1) == 0))
+    again = same & ((code < LONG) & (not every) | (np.diff(number, prepend=-1) == 0))
     code, piece, row, number, same = code[~again], piece[~again], row[~again], number[~again], same[~again]
     lines = _lines(texts, row, number)
     wanted, seen = np.ones(len(row), bool), set()
-    for i in np.flatnonzero(code == LONG).tolist():
+    for i in () if every else np.flatnonzero(code == LONG).tolist():
         if not same[i]:
             seen = set()
         if lines[i] in seen:
@@ -187,7 +205,7 @@ def scan(norms: pa.Array, texts: pa.Array, codes: Sequence[int], bits: np.ndarra
 
 def _lines(texts: pa.Array, row: np.ndarray, number: np.ndarray) -> list[bytes]:
     """The lines of some (text, line number from 0)."""
-    data, starts = _buffers(texts)
+    data, starts = buffers(texts)
     feeds = np.append(np.flatnonzero(data == 10), len(data))
     at = np.searchsorted(feeds, starts[row]) + number
     begin = np.where(number > 0, feeds[at - 1] + 1, starts[row])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from culprit.functions import signature as sg
@@ -61,6 +63,7 @@ TABLES = {
 }
 
 
+@lru_cache(maxsize=4)
 def source_rules(spark):
     return sc.SourceRules(**{n: small_table(spark, [dict(zip(cols, r)) for r in rows], cols) for n, (rows, cols) in TABLES.items()})
 
@@ -108,7 +111,7 @@ HITS = f"""{LINES}, {VALUES}, h0 AS (SELECT s.*, m.rule_id, m.kind, m.signal_id,
 @register("source_signals", f"WITH {HITS} SELECT repo, rule_id, kind, signal_id, label, weight, path, line, scope_key FROM hits")
 def source_signals(spark, sf):
     rules = source_rules(spark)
-    h = sc.signal_matches(sc.line_table(demo.source_files(spark, sf)), rules)
+    h = sc.signal_matches(sc.matched_lines(demo.source_files(spark, sf), rules), rules)
     h = h.unionByName(sc.consistency_matches(h, rules).select(*h.columns))
     return h.select("repo", "rule_id", "kind", "signal_id", "label", "weight", "path", F.col("line").cast("bigint").alias("line"), "scope_key")
 
@@ -122,7 +125,7 @@ COMPOUND = """cr AS (SELECT rule_id, id AS cid, label AS clabel, scope, CASE WHE
 @register("source_compounds", f"WITH {HITS}, {COMPOUND} SELECT repo, rule_id, cid AS signal_id, key, bonus::DOUBLE AS bonus FROM cf")
 def source_compounds(spark, sf):
     rules = source_rules(spark)
-    h = sc.signal_matches(sc.line_table(demo.source_files(spark, sf)), rules)
+    h = sc.signal_matches(sc.matched_lines(demo.source_files(spark, sf), rules), rules)
     h = h.unionByName(sc.consistency_matches(h, rules).select(*h.columns))
     return sc.compound_matches(h, rules).select("repo", "rule_id", "signal_id", "key", "bonus")
 
@@ -137,7 +140,8 @@ SUPPRESS = f"""fl AS (SELECT DISTINCT repo, path, module FROM sl), sup AS (
 
 @register("source_suppressions", f"WITH {HITS}, {SUPPRESS} SELECT repo, rule_id, path, line, weight::DOUBLE AS weight, sall AS suppress_all, reason, expires_on FROM sup")
 def source_suppressions(spark, sf):
-    s = sc.suppression_matches(demo.source_files(spark, sf), source_rules(spark))
+    files, rules = stored(demo.source_files(spark, sf)), source_rules(spark)
+    s = sc.suppression_matches(files, sc.matched_lines(files, rules), rules)
     return s.select("repo", "rule_id", "path", F.col("line").cast("bigint").alias("line"), "weight", "suppress_all", "reason", "expires_on")
 
 
@@ -207,7 +211,8 @@ SELECT repo, rule_id, sha256('{{"version":"{sg.VERSION}","failure_id":"' || rule
 )
 def source_signatures(spark, sf):
     """Signatures of source findings: labels of the triggers with their files, scopes and signals."""
-    hits = sc.signal_matches(sc.line_table(demo.source_files(spark, sf)), source_rules(spark)).filter("kind = 'trigger'")
+    rules = source_rules(spark)
+    hits = sc.signal_matches(sc.matched_lines(demo.source_files(spark, sf), rules), rules).filter("kind = 'trigger'")
     found = hits.groupBy("repo", "rule_id").agg(*[F.collect_set(c).alias(c) for c in ("label", "path", "scope_name", "signal_id")])
     attributes = sg.trigger_attributes(F.col("path"), F.col("scope_name"), F.col("signal_id"))
     return found.select("repo", "rule_id", sg.signature_hash(F.col("rule_id"), F.lit("source"), F.col("label"), F.lit(""), attributes).alias("signature_hash"))

@@ -84,10 +84,9 @@ def test_hits_of_many_patterns_over_parts_of_a_batch(spark, monkeypatch):
     prepared = logs(spark, *texts).withColumn("canonical", F.col("text")).withColumn("norm", F.lower("text"))
     for size in (pattern_index.AT_ONCE, 7, 64):
         index = pattern_index.PatternIndex.build(table)
-        bits = pattern_index._filter(index.bits)
         monkeypatch.setattr(pattern_index, "AT_ONCE", size)
         rows = prepared.select("log_id", "norm", "canonical").toArrow()
-        found = pattern_index.scan(rows["norm"].combine_chunks(), rows["canonical"].combine_chunks(), index.codes, bits).to_pylist()
+        found = pattern_index.scan(rows["norm"].combine_chunks(), rows["canonical"].combine_chunks(), index.filter()).to_pylist()
         patterns = {}
         for r in index.table.collect():
             patterns.setdefault((r["code"], r["piece"]), []).append(r["norm"])
@@ -104,7 +103,7 @@ def test_hits_of_many_patterns_over_parts_of_a_batch(spark, monkeypatch):
 def test_filter_of_all_ones_changes_nothing(spark):
     texts = ["one two\nthree", "four", ""]
     index = pattern_index.PatternIndex.build(spark.createDataFrame([("two",), ("three four five",), ("three",)], "norm string"))
-    full = {b: b"\xff" * 4096 for b in range(1, pattern_index.FILTER_BITS // 32768 + 1)}
+    full = {b: b"\xff" * 4096 for b in range(1, 2**index.width // 32768 + 1)}
     prepared = mt.prepare_logs(logs(spark, *texts))
     assert _hits(mt.find_hits(prepared, dataclasses.replace(index, bits=full), ["log_id"])) == brute_hits(texts, ["two", "three"])
 
