@@ -84,7 +84,7 @@ def _all_lines(texts: pa.Array) -> pa.Array:
 
 def source_lines(content: Column) -> Column:
     """All lines of a text with line feeds: ``array<struct<line, original, function, depth>>``."""
-    return F.arrow_udf(_all_lines, "array<struct<line:int,original:string,function:string,depth:int>>")(content)
+    return F.arrow_udf(_all_lines, "array<struct<line:int,original:string,function:string,depth:int>>").asNondeterministic()(content)
 
 
 def lines_with_pieces(pieces: Filter, norm: Column, content: Column) -> Column:
@@ -100,4 +100,5 @@ def lines_with_pieces(pieces: Filter, norm: Column, content: Column) -> Column:
         fields = [*lines.flatten(), pa.array(at.functions(number), pa.string()), pa.array(at.depth[number].astype(np.int32))]
         return pa.ListArray.from_arrays(hits.offsets, pa.StructArray.from_arrays(fields, names=["code", "piece", "line_no", "line", "function", "depth"]))
 
-    return F.arrow_udf(run, "array<struct<code:tinyint,piece:bigint,line_no:int,line:string,function:string,depth:int>>")(norm, content)
+    kind = "array<struct<code:tinyint,piece:bigint,line_no:int,line:string,function:string,depth:int>>"
+    return F.arrow_udf(run, kind).asNondeterministic()(norm, content)  # so that the planner runs it once

@@ -109,7 +109,8 @@ class PatternIndex:
     def hits(self, norm: Column, canonical: Column) -> Column:
         """The pieces of the index in a text ``norm``, with their lines in ``canonical``, which has as many lines."""
         pieces = self.filter()
-        return F.arrow_udf(lambda norms, texts: scan(norms, texts, pieces), HIT)(norm, canonical)
+        # not deterministic for the planner only: it would run the scan a second time below, to drop rows without hits
+        return F.arrow_udf(lambda norms, texts: scan(norms, texts, pieces), HIT).asNondeterministic()(norm, canonical)
 
     @staticmethod
     def verified(norm_line: Column) -> Column:
