@@ -2,10 +2,14 @@
 
 Sets that agree in four fifths share one of the first ``n - ceil(0.8 n) + 1`` members of either in any
 order that all sets follow. The order here is by frequency in a sample of documents and then by hash, so
-common passages come last; the sample decides what the search costs and never what it finds. Sets that
-share such a member, and whose places of it leave room for enough common members, are candidates; each
-candidate is verified by the exact overlap of the two sets. Members of a large group are first compared with
-one member each, in two ways; then only sets not yet connected are compared pair by pair.
+common passages come last; the sample decides what the search costs and never what it finds.
+
+Each different set puts its first members into a table of postings, which is shuffled once by member.
+One pass over each sorted part drops members that one set holds and compares every other holder with
+two leaders: the first one of its size band, for two ways to cut sizes into bands. A pair goes on if
+the places of the member, and the numbers of members in each 64th of the hashes, leave room for enough
+common members; then it is verified by the exact overlap of the two sets. Holders of a member that are
+still not connected are compared pair by pair, by size class, large groups in the blocks of a grid.
 
 Rules for words and shingles are those of ``simhash_trie``, but sets have no repeats; a text without
 words has no set. Nothing is dropped or capped.
@@ -13,20 +17,22 @@ words has no set. Nothing is dropped or capped.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from culprit.functions.storage import stored
+from culprit.functions.storage import release, stored
 from culprit.llm import rows, simhash_trie
 from culprit.llm.components import components
 
 SAMPLE, OFTEN, RANKED = 10_000, 4, 1 << 17  # documents that the order is made from; its commonest shingles
 GROWTH = 1.25  # a set's partners are at most so many times as long
+GRID = 2_000  # holders in a row or column of the grid of one member and size class
 
 
 def distinct_shingles(text: bytes, words: int) -> np.ndarray:
@@ -39,7 +45,7 @@ def _sets(body: Column, words: int) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([distinct_shingles(t, words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
-    return F.arrow_udf(run, "array<bigint>")(body)
+    return F.arrow_udf(run, "array<bigint>").asNondeterministic()(body)  # so that the planner runs it once
 
 
 def common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,12 +59,18 @@ def common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[by], top["count"].to_numpy(np.int64)[by]
 
 
+def spread(s: np.ndarray) -> bytes | None:
+    """How many members lie in each 64th of the hashes; None if a number does not fit a byte."""
+    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
 def described(body: Column, words: int, often: tuple[np.ndarray, np.ndarray]) -> Column:
-    """``fp``, hash of the set (``node``), its size ``n`` and its first members in the order."""
+    """``fp``, hash of the set (``node``), its size ``n``, its ``spread`` and its first members in the order."""
     ranked, counts = often
 
     def run(texts: pa.Array) -> pa.Array:
-        fps, nodes, sizes, firsts = [], [], [], []
+        fps, nodes, sizes, spreads, firsts = [], [], [], [], []
         for t in texts.to_pylist():
             hashes = list(simhash_trie.shingle_hashes(t, words))
             fps.append(simhash_trie.majority(hashes))
@@ -71,67 +83,125 @@ def described(body: Column, words: int, often: tuple[np.ndarray, np.ndarray]) ->
             first = s[np.lexsort((s, weight))[: n - (4 * n + 4) // 5 + 1 if n else 0]]
             nodes.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
             sizes.append(n)
+            spreads.append(spread(s))
             firsts.append(first.view(np.int64))
-        return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["fp", "node", "n", "first"])
+        columns = [pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(spreads, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["fp", "node", "n", "spread", "first"])
 
-    return F.arrow_udf(run, "struct<fp: bigint, node: bigint, n: int, first: array<bigint>>")(body)
+    return F.arrow_udf(run, "struct<fp: bigint, node: bigint, n: int, spread: binary, first: array<bigint>>")(body)
 
 
-def _enough(overlap: Column, n: Column, m: Column) -> Column:
+def _enough(overlap, n, m):
     """Jaccard index of at least 0.8 in whole numbers."""
     return 9 * overlap >= 4 * (n + m)
 
 
-def _room(a: str, b: str) -> Column:
-    """Whether this can be the first common member of two sets that are alike enough."""
-    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.i"), F.col(f"{b}.n") - F.col(f"{b}.i"))
-    return _enough(left, F.col(f"{a}.n"), F.col(f"{b}.n"))
+class Leader:
+    """The first holder of each (member, size band) in rows that come sorted by member and size, over batches."""
+
+    def __init__(self, shift: float):
+        self.shift, self.key, self.node, self.ni = shift, None, 0, 0
+
+    def of(self, h: np.ndarray, ni: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        band = np.floor(np.log(ni >> 32) / np.log(GROWTH) + self.shift).astype(np.int64)
+        new = np.append(self.key != (h[0], band[0]), (h[1:] != h[:-1]) | (band[1:] != band[:-1]))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        lead, lead_ni = np.where(at >= 0, node[at], self.node), np.where(at >= 0, ni[at], self.ni)
+        self.key, self.node, self.ni = (h[-1], band[-1]), lead[-1], lead_ni[-1]
+        return lead, lead_ni
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted postings those whose member another set holds too, each with the leaders to compare with."""
+    leaders, held, before = (Leader(0.0), Leader(0.5)), [np.zeros(0, np.int64)] * 3, None
+
+    def out(h: np.ndarray, ni: np.ndarray, node: np.ndarray, after: int | None) -> pa.RecordBatch:
+        nonlocal before
+        same = h[1:] == h[:-1]
+        shared = np.append(same, h[-1] == after) | np.append(h[0] == before, same)
+        before = h[-1]
+        leads = []
+        n, i = ni >> 32, ni & 0xFFFFFFFF
+        for leader in leaders:
+            lead, lead_ni = leader.of(h, ni, node)
+            room = np.minimum(n - i, (lead_ni >> 32) - (lead_ni & 0xFFFFFFFF))
+            ok = (lead != node) & _enough(room, n, lead_ni >> 32)
+            leads.append(pa.array(lead[shared], pa.int64(), mask=~ok[shared]))
+        return pa.RecordBatch.from_arrays([pa.array(h[shared]), pa.array(ni[shared]), pa.array(node[shared]), *leads], names=["h", "ni", "node", "first", "second"])
+
+    for b in batches:
+        if b.num_rows:
+            all_rows = [np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(held, ("h", "ni", "node"), strict=True)]
+            held = [x[-1:] for x in all_rows]  # the last row waits for the one after it
+            if len(all_rows[0]) > 1:
+                yield out(*[x[:-1] for x in all_rows], held[0][0])
+    if len(held[0]):
+        yield out(*held, None)
+
+
+def _room_by_spread(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that can be alike enough by the spread of their members."""
 
+    def run(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        rows_ = zip(x.to_pylist(), y.to_pylist(), strict=True)
+        most = [a is None or b is None or int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum(dtype=np.int64)) for a, b in rows_]
+        return pa.array([k is True or 9 * k >= 4 * (i + j) for k, i, j in zip(most, n.to_pylist(), m.to_pylist(), strict=True)])
 
-def _pairs(held: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes from columns ``x`` and ``y``."""
-    ok = held.filter((F.col("x.node") != F.col("y.node")) & _room("x", "y"))
-    return ok.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"spread_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(F.arrow_udf(run, "boolean")("spread_a", "spread_b", "n_a", "n_b")).select("a", "b")
 
 
-def _verified(docs: DataFrame, keys: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """Pairs whose sets, made again from one text each, are alike enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = keys.join(nodes, "node").select("node", "doc", "key")
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.join(asked, "node").select("node", "doc", "key")
     texts = docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(rows.body(docs)).alias("key"), rows.body(docs).alias("body"))
     found = texts.join(wanted, ["doc", "key"]).dropDuplicates(["node"])
     sets = stored(found.select("node", _sets(F.col("body").cast("binary"), words).alias("s")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    return both.filter(_enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b")
-
-
-def links(docs: DataFrame, found: DataFrame, keys: DataFrame, words: int) -> DataFrame:
-    """``a, b``: links that join all sets of ``found(node, n, first)`` with an index of at least 0.8, directly or
-    over others; ``keys(node, doc, key)`` has one text for each set."""
-    postings = found.select("node", "n", F.posexplode("first").alias("i", "h"))
-    often = postings.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
-    shared = stored(postings.join(often, "h").select("h", F.struct("node", "n", "i").alias("x")).distinct())
-    tested, linked, left = [], [], shared.withColumn("part", F.col("x.node"))
-    for shift, leader in ((0.0, F.min), (0.5, F.max), (None, None)):
-        if shift is None:  # what is still apart: every pair
-            other = left.select("h", F.col("x").alias("y"), F.col("part").alias("apart"))
-            pairs = _pairs(left.join(other, "h").filter("part < apart"))
-        else:
-            band = left.withColumn("band", F.floor(F.log(F.col("x.n").cast("double")) / F.log(F.lit(GROWTH)) + F.lit(shift)))
-            lead = band.groupBy("h", "band").agg(leader("x").alias("y"))
-            pairs = _pairs(band.join(lead, ["h", "band"]))
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tested.append(pairs)
-        linked.append(stored(_verified(docs, keys, pairs, words)))
-        if shift is not None:
-            part = components(reduce(DataFrame.unionAll, linked)).select("node", "component")
-            placed = shared.withColumn("node", F.col("x.node")).join(part, "node", "left").select("h", "x", F.coalesce("component", "node").alias("part"))
-            placed = stored(placed)
-            apart = placed.groupBy("h").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least < most").select("h")
-            left = stored(placed.join(apart, "h").select("h", "x", "part"))
-    return reduce(DataFrame.unionAll, linked)
+    done = stored(both.filter(_enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"))
+    release(sets)
+    return done
+
+
+def _apart(met: DataFrame, linked: DataFrame) -> DataFrame:
+    """Postings ``h, node, n, i, part`` of members whose holders are not all connected."""
+    part = components(linked).select("node", F.col("component").alias("part"))
+    placed = met.select("h", "node", F.shiftright("ni", 32).alias("n"), F.col("ni").bitwiseAND(F.lit(0xFFFFFFFF)).alias("i")).join(part, "node", "left")
+    placed = placed.withColumn("part", F.coalesce("part", "node"))
+    same = W.partitionBy("h")
+    return placed.withColumn("least", F.min("part").over(same)).withColumn("most", F.max("part").over(same)).filter("least < most").drop("least", "most")
+
+
+def _every_pair(left: DataFrame) -> DataFrame:
+    """Pairs of unconnected holders of a member. They meet in their size class or the next one; a class of very many
+    holders is cut into rows and columns of a grid."""
+    classed = left.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(GROWTH))))
+    cuts = classed.select("h", F.explode(F.array("class", F.col("class") - 1)).alias("class")).groupBy("h", "class").agg(F.ceil(F.count("*") / GRID).cast("int").alias("cuts"))
+    block, all_blocks = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    x = classed.join(cuts, ["h", "class"]).select("h", "class", block.alias("row"), all_blocks.alias("column"), F.struct("node", "n", "i", "part").alias("x"))
+    both = classed.withColumn("class", F.explode(F.array("class", F.col("class") - 1))).join(cuts, ["h", "class"])
+    y = both.select("h", "class", all_blocks.alias("row"), block.alias("column"), F.struct("node", "n", "i", "part").alias("y"))
+    room = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    met = x.join(y, ["h", "class", "row", "column"]).filter((F.col("x.part") != F.col("y.part")) & _enough(room, F.col("x.n"), F.col("y.n")))
+    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+
+
+def links(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``a, b``: links that join all sets with an index of at least 0.8, directly or over others. ``firsts(node, n, first)``
+    has one row for each set, ``nodes(node, n, spread, doc, key)`` one text for each."""
+    postings = firsts.select("node", F.col("n").cast("bigint").alias("n"), F.posexplode("first").alias("i", "h"))
+    packed = postings.select("h", (F.shiftleft("n", 32) + F.col("i")).alias("ni"), "node")
+    met = stored(packed.repartition("h").sortWithinPartitions("h", "ni", "node").mapInArrow(_meet, "h bigint, ni bigint, node bigint, first bigint, second bigint"))
+    led = met.select(F.explode(F.array("first", "second")).alias("lead"), "node").filter("lead IS NOT NULL")
+    pairs = stored(_room_by_spread(led.select(F.greatest("lead", "node").alias("a"), F.least("lead", "node").alias("b")).distinct(), nodes))
+    linked = _verified(docs, nodes, pairs, words)
+    left = stored(_apart(met, linked))
+    release(met)
+    rest = stored(_room_by_spread(_every_pair(left).join(pairs, ["a", "b"], "left_anti"), nodes))
+    release(left, pairs)
+    return linked.unionAll(_verified(docs, nodes, rest, words))
 
 
 def near_copies(docs: DataFrame, words: int, bits: int) -> DataFrame:
@@ -140,10 +210,14 @@ def near_copies(docs: DataFrame, words: int, bits: int) -> DataFrame:
     body = rows.body(docs)
     found = docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(body).alias("key"), described(body.cast("binary"), words, often).alias("r"))
     found = stored(found.select("doc", "key", "r.*"))
-    sets = stored(found.filter("n > 0").groupBy("node").agg(F.min("fp").alias("least"), F.min(F.struct("doc", "key")).alias("one")).select("node", "least", "one.*"))
-    alike = links(docs, found, sets.select("node", "doc", "key"), words)
-    fp = sets.select("node", "least")
+    some = found.filter("n > 0")
+    nodes = some.groupBy("node").agg(F.min("fp").alias("least"), F.any_value("n").alias("n"), F.any_value("spread").alias("spread"), F.min(F.struct("doc", "key")).alias("one"))
+    nodes = stored(nodes.select("node", "least", "n", "spread", "one.*"))
+    # copies have one set: its members leave the rows before they are exploded
+    firsts = some.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("first").alias("first"))
+    alike = links(docs, firsts, nodes, words)
+    fp = nodes.select("node", "least")
     alike = alike.join(fp.select(F.col("node").alias("a"), F.col("least").alias("p")), "a").join(fp.select(F.col("node").alias("b"), F.col("least").alias("q")), "b").select("p", "q")
-    same = found.filter("n > 0").select("node", "fp").join(fp, "node").filter("fp != least").select(F.col("fp").alias("p"), F.col("least").alias("q"))
+    same = some.select("node", "fp").join(fp, "node").filter("fp != least").select(F.col("fp").alias("p"), F.col("least").alias("q"))
     more = alike.unionAll(same).select(F.col("p").alias("a"), F.col("q").alias("b"))
     return simhash_trie.grouped(found.select("doc", "key", "fp"), bits, more)
