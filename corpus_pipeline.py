@@ -37,10 +37,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest id stays."""
+    """Of each group of near copies the row with the smallest id stays; of several rows of that id the one with the
+    smallest text hash, of those with one text the smallest row by its columns in order."""
     groups = shingle_sets.near_copies(docs, WORDS, BITS)
     first = groups.groupBy("group").agg(F.min(F.struct("doc", "key")).alias("one")).select("one.doc", "one.key")
-    return _keyed(docs).join(first, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"]).select("row.*")
+    return _keyed(docs).join(first, ["doc", "key"], "left_semi").groupBy("doc", "key").agg(F.min("row").alias("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
