@@ -15,6 +15,7 @@ from culprit.functions import paths as pt
 from culprit.functions.storage import stored
 from culprit.functions.tables import small_table, with_row
 from culprit.functions.text import dir_name
+from culprit.operators.globs import glob_hits
 
 # --- fixed values: list sizes and thresholds ------------------------------------------------------
 LARGE_COMMIT = 10
@@ -141,21 +142,11 @@ def recent_files(commits: DataFrame, n: int = RECENT_FILES) -> DataFrame:
 
 
 def matched_files(files: DataFrame, patterns: DataFrame, file: str = "file") -> DataFrame:
-    """Distinct (repo, file) x failure whose glob fits the base name, the path or one segment.
-
-    The globs of a failure become one alternation: a glob without a slash must fill one path
-    segment, one with a slash the whole path. The alternations ride along as one constant
-    array, so the test is a projection and not a join.
-    """
-    rx = pt.glob_to_regex(F.col("pattern"))
-    body = F.substring(rx, F.lit(2), F.length(rx) - 2)
-    whole = F.contains("pattern", F.lit("/"))
-    one = F.when(whole, F.concat(F.lit("^"), body, F.lit("$"))).otherwise(F.concat(F.lit("(?:^|/)"), body, F.lit("(?:/|$)")))
-    per_failure = patterns.groupBy("failure_id").agg(F.array_join(F.array_sort(F.collect_set(one)), "|").alias("rx"))
-    table = per_failure.agg(F.collect_list(F.struct("failure_id", "rx")).alias("globs"))
-    rows = with_row(files.select("repo", F.col(file).alias("file")).distinct(), table)
-    hits = F.filter("globs", lambda g: F.rlike(F.col("file"), g["rx"]))
-    return rows.select("repo", "file", F.explode(F.transform(hits, lambda g: g["failure_id"])).alias("failure_id"))
+    """Distinct (repo, file) x failure whose glob fits the base name, the path or one segment (see
+    :mod:`culprit.operators.globs`). A path that many repositories hold is compared once."""
+    named = stored(files.select("repo", F.col(file).alias("file")).distinct())
+    hits = glob_hits(named, patterns.select("failure_id", "pattern")).select("file", "failure_id").distinct()
+    return named.join(hits, "file").select("repo", "file", "failure_id")
 
 
 def _repos_and_failures(commits: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from culprit.functions.paths import owner_regex
+from culprit.operators.globs import owner_hits
 
 BOUNDARY, CLUSTERED, MISMATCH, UPSTREAM = (
     "topology.boundary.crossed",
@@ -20,35 +20,29 @@ BOUNDARY, CLUSTERED, MISMATCH, UPSTREAM = (
 GRAPH_DEPTH = 2
 
 
-def _rules_per_repo(owner_rules: DataFrame) -> DataFrame:
-    return owner_rules.groupBy("repo").agg(
-        F.array_sort(F.collect_list(F.struct("idx", owner_regex(F.col("pattern")).alias("rx"), "owners"))).alias("_rules")
-    )
-
-
-def _last_match(path: Column) -> Column:
-    """Owners of the last rule that fits; the rules of a repo ride in one array."""
-    p = F.regexp_replace(path, "^/", "")
-    fitting = F.filter("_rules", lambda r: F.rlike(p, r["rx"]))
-    return F.get(fitting, F.size(fitting) - 1)["owners"]
+def _last_rule(paths: DataFrame, owner_rules: DataFrame) -> DataFrame:
+    """``repo, path, owners`` of the last rule that fits, for the paths that one fits."""
+    return owner_hits(paths, owner_rules).groupBy("repo", "path").agg(F.max_by("owners", "idx").alias("owners"))
 
 
 def path_owners(files: DataFrame, owner_rules: DataFrame, path: str = "path") -> DataFrame:
     """Owners of each ``(repo, path)`` by the last matching rule; NULL when nobody owns it."""
-    joined = files.join(_rules_per_repo(owner_rules), "repo", "left")
-    return joined.withColumn("owners", _last_match(F.col(path))).drop("_rules")
+    owned = _last_rule(files.select("repo", F.col(path).alias("path")), owner_rules).withColumnRenamed("path", path)
+    return files.join(owned, ["repo", path], "left")
 
 
 def owned_dirs(files: DataFrame, owner_rules: DataFrame, path: str = "path") -> DataFrame:
-    """Owned directories of the listing, at most two levels deep."""
+    """Owned directories of the listing, at most two levels deep. What owns the inside of a directory comes before what
+    owns its name."""
     parts = F.split(path, "/")
     depth = F.least(F.size(parts) - 1, F.lit(GRAPH_DEPTH))
     prefixes = F.when(
         depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     )
-    dirs = files.select("repo", F.explode(prefixes).alias("dir")).distinct().join(_rules_per_repo(owner_rules), "repo")
-    owners = F.coalesce(_last_match(F.concat("dir", F.lit("/"))), _last_match(F.col("dir")))
-    return dirs.select("repo", "dir", owners.alias("owners")).filter("owners IS NOT NULL")
+    dirs = files.select("repo", F.explode(prefixes).alias("dir")).distinct()
+    both = dirs.select("repo", F.explode(F.array("dir", F.concat("dir", F.lit("/")))).alias("path"))
+    found = _last_rule(both, owner_rules).withColumn("inside", F.endswith("path", F.lit("/")))
+    return found.groupBy("repo", F.regexp_replace("path", "/$", "").alias("dir")).agg(F.max_by("owners", "inside").alias("owners"))
 
 
 def nearest_owners(files: DataFrame, dirs: DataFrame, path: str = "path") -> DataFrame:
@@ -64,6 +58,16 @@ def _dir(path: Column) -> Column:
     return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))
 
 
+def _upstream(incidents: DataFrame) -> DataFrame:
+    """Incidents where a changed directory is a failing one or lies above it; changes at the top lie above all."""
+    keys = ["repo", "incident"]
+    changed, failed = (incidents.select(*keys, F.explode(F.array_distinct(F.transform(k, _dir))).alias("dir")) for k in ("changed", "failed"))
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    ancestors = failed.select(*keys, F.explode(F.array_distinct(F.concat(F.array(F.lit(".")), above))).alias("dir")).distinct()
+    return changed.join(ancestors, [*keys, "dir"], "left_semi").select(*keys).distinct().withColumn("upstream", F.lit(True))
+
+
 def topology_signals(incidents: DataFrame, dirs: DataFrame) -> DataFrame:
     """Ownership signals per incident from its ``changed`` and ``failed`` file arrays."""
     kinds = [incidents.select("repo", "incident", F.lit(k).alias("kind"), F.posexplode(k).alias("pos", "path")) for k in ("changed", "failed")]
@@ -80,19 +84,15 @@ def topology_signals(incidents: DataFrame, dirs: DataFrame) -> DataFrame:
         F.max(F.when(is_changed & (F.col("pos") == 0), F.col("owners"))).alias("first_changed"),
         F.max(F.when(~is_changed & (F.col("pos") == 0), F.col("owners"))).alias("first_failed"),
     )
-    rows = incidents.join(g, ["repo", "incident"], "left")
+    rows = incidents.join(g, ["repo", "incident"], "left").join(_upstream(incidents), ["repo", "incident"], "left")
     no_owner = F.array().cast("array<string>")
     co, fo = F.coalesce("changed_owners", no_owner), F.coalesce("failed_owners", no_owner)
     crossed = (F.size(co) > 0) & (F.size(fo) > 0) & ~F.arrays_overlap(co, fo)
     mismatch = F.coalesce(
         (F.size("first_changed") > 0) & (F.size("first_failed") > 0) & ~F.arrays_overlap("first_changed", "first_failed"), F.lit(False)
     )
-    changed_dirs = F.array_distinct(F.transform("changed", _dir))
     failed_dirs = F.array_distinct(F.transform("failed", _dir))
-    upstream = F.exists(
-        changed_dirs,
-        lambda a: F.exists(failed_dirs, lambda d: (a == ".") | (d == a) | F.startswith(d, F.concat(a, F.lit("/")))),
-    )
+    upstream = F.coalesce("upstream", F.lit(False))
     top = F.array_distinct(F.transform(failed_dirs, lambda d: F.substring_index(d, "/", 1)))
     clustered = (F.size("failed") >= 2) & (F.size(top) == 1) & (F.get(top, 0) != ".")
     flags = {BOUNDARY: crossed, CLUSTERED: clustered, MISMATCH: mismatch, UPSTREAM: upstream}
