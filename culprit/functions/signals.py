@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Signal:
@@ -127,9 +131,19 @@ def split_signal(name: str) -> tuple[str, str]:
     return (head, value.strip()) if head in WORDING and value.strip() else (name, "")
 
 
-def describe(name: str, registry: dict[str, Signal] = SIGNALS) -> str:
+def describe(name: str, registry: Mapping[str, Signal] = SIGNALS) -> str:
     name = name.strip()
     if name in registry:
         return registry[name].description
     head, value = split_signal(name)
     return WORDING[head].format(value) if value else name
+
+
+def described(name: Column, registry: Mapping[str, Signal] = SIGNALS) -> Column:
+    """Column form of :func:`describe`: the registry's words, else those for head and value, else the name itself."""
+    name = F.trim(name)
+    known = F.create_map(*[F.lit(x) for n, s in registry.items() for x in (n, s.description)]) if registry else F.lit(None).cast("map<string,string>")
+    wording = F.create_map(*[F.lit(x) for pair in WORDING.items() for x in pair])
+    head, value = F.substring_index(name, ":", 1), F.trim(F.regexp_extract(name, "(?s)^[^:]*:(.*)$", 1))
+    said = F.when(value != "", F.replace(F.try_element_at(wording, head), F.lit("{}"), value))
+    return F.coalesce(F.try_element_at(known, name), said, name)

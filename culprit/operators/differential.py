@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from culprit.functions import text as tx
 from culprit.functions.classify import confidence_band
-from culprit.functions.signals import DEFAULT_WEIGHTS, SIGNALS, Signal, describe, split_signal
+from culprit.functions.signals import DEFAULT_WEIGHTS, SIGNALS, Signal, described, split_signal
 from culprit.functions.stage import log_stage
 from culprit.functions.tables import small_table
 from culprit.operators.match import prepare_logs
@@ -141,8 +141,7 @@ def evaluate_signals(
 def assess(ranked: DataFrame, signals: DataFrame, items: DataFrame, registry: Mapping[str, Signal] | None = None, log_id: str = "log_id") -> DataFrame:
     """Adjusted score, elimination and reasons of every candidate, and the new order."""
     registry = registry or SIGNALS
-    names = [r["signal"].strip() for r in items.select("signal").distinct().collect()]
-    words = F.create_map(*[F.lit(x) for n in names for x in (n, describe(n, registry))]) if names else F.create_map(F.lit(""), F.lit(""))
+    words = described(F.col("signal"), registry)
     role_order = F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (r, i)])
     weights = F.create_map(*[F.lit(x) for k, v in DEFAULT_WEIGHTS.items() for x in (k, v)])
     w = F.when(F.coalesce("weight", F.lit(0.0)) == 0, weights[F.col("role")]).otherwise(F.col("weight"))
@@ -150,8 +149,8 @@ def assess(ranked: DataFrame, signals: DataFrame, items: DataFrame, registry: Ma
     prepared = items.withColumn("signal", F.trim("signal")).select(
         "rule_id", "role", "idx", "signal", role_order[F.col("role")].alias("o"),
         F.coalesce(F.when(F.col("role") == "contradict", -F.abs(w)).otherwise(w), F.lit(0.0)).alias("w"),
-        words[F.col("signal")].alias("plain"),
-        F.coalesce(own, words[F.col("signal")]).alias("text"),
+        words.alias("plain"),
+        F.coalesce(own, words).alias("text"),
     )
     specs = prepared.groupBy("rule_id").agg(
         F.array_sort(F.collect_list(F.struct("o", "idx", "role", "signal", "w", "plain", "text"))).alias("spec")

@@ -103,12 +103,13 @@ def corpus_csv_roundtrip(spark, sf):
     return r.select("id", "raw", F.col("timestamp").alias("ts"), F.col("fields")["lang"].alias("lang"), F.col("fields")["n_chars"].alias("n_chars"))
 
 
-@register("corpus_csv_numbers", "SELECT count(*) AS n, count(*) AS last, (count(*) * (count(*) + 1) / 2)::BIGINT AS total FROM documents")
+@register("corpus_csv_numbers", "SELECT doc_id::VARCHAR AS id, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS line_num FROM documents")
 def corpus_csv_numbers(spark, sf):
+    """Files of 500 documents: their number grows with the table, not their size."""
     path = scratch(spark, "csv")
-    demo.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("message")).coalesce(1).write.csv(path, header=True, escape='"', quoteAll=True)
-    r = sc.read_corpus_csv(spark, path, "message", "id")
-    return r.agg(F.count("*").alias("n"), F.max("line_num").alias("last"), F.sum("line_num").alias("total"))
+    docs = demo.table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 500).alias("part"), F.col("doc_id").alias("id"), F.col("text").alias("message"))
+    docs.repartition("part").sortWithinPartitions("part", "id").write.partitionBy("part").csv(path, header=True, escape='"', quoteAll=True)
+    return sc.read_corpus_csv(spark, path, "message", "id").select("id", "line_num")
 
 
 @register("results_json_roundtrip", sql.results() + "SELECT log_id::VARCHAR AS fixture_id, matched, failure_id, confidence, coalesce(array_to_string(evidence, '|'), '') AS evidence FROM results")
@@ -153,11 +154,11 @@ DIFF = """'diff --git a/' || path || ' b/' || path || chr(10) || '--- a/' || pat
 @register(
     "diff_lines",
     f"""WITH f AS (SELECT p_partkey, p_size, {demo.FILE_PATH} AS path FROM part WHERE p_size % 9 <> 0)
-SELECT DISTINCT p_partkey % 16 AS repo, path AS file, (p_size + 1)::BIGINT AS line FROM f UNION SELECT p_partkey % 16, path, (p_size + 10 + unnest(range(0, p_size % 4)))::BIGINT FROM f""",
+SELECT DISTINCT p_partkey // 40 AS repo, path AS file, (p_size + 1)::BIGINT AS line FROM f UNION SELECT p_partkey // 40, path, (p_size + 10 + unnest(range(0, p_size % 4)))::BIGINT FROM f""",
 )
 def diff_lines(spark, sf):
     f = demo.table(spark, sf, "part").select("p_partkey", "p_size", F.expr(demo.FILE_PATH).alias("path"))
-    f = f.select((F.col("p_partkey") % 16).alias("repo"), "p_partkey", F.expr(DIFF.replace("chr(10)", "char(10)")).alias("d"))
+    f = f.select(F.floor(F.col("p_partkey") / 40).alias("repo"), "p_partkey", F.expr(DIFF.replace("chr(10)", "char(10)")).alias("d"))
     diffs = f.groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "d"))), lambda x: x["d"]), "\n").alias("diff"))
     return rp.diff_lines(diffs)
 
@@ -175,11 +176,11 @@ def status_files(spark, sf):
 
 @register(
     "owner_files",
-    """SELECT s_nationkey AS repo, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) * 2 - 2 AS idx, '/dir' || s_suppkey || '/' AS pattern, '@team' || s_suppkey % 5 || '|@lead' AS owners FROM supplier QUALIFY s_suppkey % 3 <> 0""",
+    """SELECT s_suppkey // 30 AS repo, row_number() OVER (PARTITION BY s_suppkey // 30 ORDER BY s_suppkey) * 2 - 2 AS idx, '/dir' || s_suppkey || '/' AS pattern, '@team' || s_suppkey % 5 || '|@lead' AS owners FROM supplier QUALIFY s_suppkey % 3 <> 0""",
 )
 def owner_files(spark, sf):
     line = F.when(F.col("s_suppkey") % 3 == 0, F.lit("only-pattern")).otherwise(F.format_string("/dir%d/\t@team%d  @lead ", F.col("s_suppkey"), F.col("s_suppkey") % 5))
-    t = demo.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("repo")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("l")))).alias("ls"))
+    t = demo.table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 30).alias("repo")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("l")))).alias("ls"))
     text = F.array_join(F.transform("ls", lambda x: x["l"]), "\n# comment\n")
     o = rp.owner_rules(t.select("repo", text.alias("text")))
     return o.select("repo", F.col("idx").cast("bigint").alias("idx"), "pattern", F.array_join("owners", "|").alias("owners"))
@@ -195,6 +196,18 @@ def source_tree(spark, sf):
     return demo.files(spark, sf).select("p_partkey", p.alias("path")).filter(rp.is_source_path(F.col("path")))
 
 
+@register("source_tree_files", """SELECT p_partkey // 10 AS folder, string_agg(p_name, chr(10) ORDER BY p_partkey) || chr(10) AS content FROM part GROUP BY 1""")
+def source_tree_files(spark, sf):
+    """A tree on disk with one small file for ten parts, and the same files again under a skipped folder."""
+    root = scratch(spark, "tree")
+    part = demo.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 10).alias("folder"), "p_partkey", "p_name")
+    lines = part.repartition("folder").sortWithinPartitions("folder", "p_partkey").drop("p_partkey")
+    for top in ("src", "vendor"):
+        lines.write.partitionBy("folder").option("extension", "php").option("quote", "\u0000").option("sep", "\u0001").csv(f"{root}/{top}")
+    files = rp.read_source_tree(spark, root, "r")
+    return files.select(F.regexp_extract("path", "^src/folder=([0-9]+)/", 1).cast("bigint").alias("folder"), "content")
+
+
 @register(
     "appended_history",
     sql.ranked(rules=demo.CI_RULES, source="event_logs") + f"""SELECT log_id AS run_id, rank, rule_id AS failure_id, confidence, sha256('{{"version":"{sg.VERSION}","failure_id":"' || rule_id || '","detector":"log","evidence":' ||

@@ -278,7 +278,7 @@ def nearest_owners(spark, sf):
     return n.withColumn("owners", F.array_join("owners", "|"))
 
 
-INCIDENT = """inc AS (SELECT concat('r', p_size % 4) AS repo, concat('i', p_partkey % 60) AS incident,
+INCIDENT = """inc AS (SELECT concat('r', p_size % 4) AS repo, concat('i', p_partkey // 40) AS incident,
   list(path ORDER BY p_partkey) FILTER (WHERE p_partkey % 3 = 0) AS c0, list(path ORDER BY p_partkey) FILTER (WHERE p_partkey % 3 <> 0) AS f0 FROM (SELECT p_partkey, p_size, FPATH AS path FROM part) GROUP BY 1, 2),
  incidents AS (SELECT repo, incident, coalesce(c0, []) AS changed, coalesce(f0, []) AS failed FROM inc)""".replace("FPATH", demo.FILE_PATH)
 
@@ -290,7 +290,7 @@ def _incidents(spark, sf):
         return F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("p_partkey", "path")))), lambda x: x["path"])
 
     changed = F.col("p_partkey") % 3 == 0
-    return f.groupBy(F.concat(F.lit("r"), F.col("p_size") % 4).alias("repo"), F.concat(F.lit("i"), F.col("p_partkey") % 60).alias("incident")).agg(
+    return f.groupBy(F.concat(F.lit("r"), F.col("p_size") % 4).alias("repo"), F.concat(F.lit("i"), F.floor(F.col("p_partkey") / 40)).alias("incident")).agg(
         paths(changed).alias("changed"), paths(~changed).alias("failed"))
 
 

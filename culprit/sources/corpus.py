@@ -6,10 +6,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from culprit.functions import text as tx
 from culprit.operators.labelled import prepare_fixtures
-from culprit.operators.ordered import running_number
 
 HISTORY_SCHEMA = "matched BOOLEAN, failure_id STRING, severity STRING"
 RESULT_SCHEMA = (
@@ -32,13 +32,15 @@ FIXTURE_SCHEMA = (
 def number_rows(df: DataFrame, name: str = "line_num") -> DataFrame:
     """1-based row number within each input file, in file order.
 
-    Rows are numbered inside the block they were read from and blocks are added up, so a large
-    file is not sent through one task.
+    A block of a file is read by one task, and row ids count up inside a task. So each block needs one number to
+    add, found from the counts of the blocks before it: only those counts meet in a window, rows are not sorted.
     """
-    d = df.withColumns(
-        {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
-    )
-    return running_number(d, ["_file"], ["_start", "_row"], F.col("_start"), name).drop("_file", "_start", "_row")
+    block = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
+    d = df.withColumns({**block, "_row": F.monotonically_increasing_id()})
+    counts = d.groupBy("_file", "_start").agg(F.min("_row").alias("first"), F.count("*").alias("n"))
+    before = W.partitionBy("_file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1
+    return d.join(counts.select("_file", "_start", shift.alias("_shift")), ["_file", "_start"]).withColumn(name, F.col("_row") + F.col("_shift")).drop("_file", "_start", "_row", "_shift")
 
 
 def read_corpus_csv(
