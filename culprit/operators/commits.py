@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -44,15 +46,96 @@ CATEGORY_PATTERNS = {
     "network": COMMON_CI + ["*.pem", "*.crt", "*.key", "nginx*", "tls*", "cert*", "deploy*"],
 }
 DEFAULT_PATTERNS = COMMON_CI + ["Dockerfile", "deploy*", "*.yaml", "*.yml"]
+# --- fixed values: path globs of single failures, which come before those of their category ---------
+FAILURE_PATTERNS = {
+    "docker-auth": COMMON_CI + ["Dockerfile", ".docker*", ".env*", "deploy*", "scripts/*deploy*"],
+    "git-auth": COMMON_CI + [".gitconfig", ".git-credentials", ".netrc"],
+    "kubectl-auth": COMMON_CI + ["k8s*", "kubernetes*", "helm*", "*.yaml", "*.yml", "deploy*"],
+    "oidc-token-failure": COMMON_CI + [".env*", "deploy*", "*.yaml", "*.yml", "infra*", "terraform*"],
+    "vault-secret-missing": COMMON_CI + ["vault*", ".env*", "deploy*", "*.yaml", "*.yml", "infra*"],
+    "missing-env config-mismatch secrets-not-available": COMMON_CI + [
+        ".env*", "*.env", "*.json", "*.toml", "*.yaml", "*.yml", "config*", "deploy*",
+    ],
+    "runtime-mismatch": COMMON_CI + [
+        "Dockerfile", "docker-compose*", "package.json", "go.mod", "go.sum", "pyproject.toml", "Gemfile",
+        "*.tool-versions", ".nvmrc",
+    ],
+    "node-version-mismatch": COMMON_CI + [".nvmrc", ".node-version", "package.json", "Dockerfile"],
+    "java-version-mismatch": COMMON_CI + [
+        "pom.xml", "build.gradle", "build.gradle.kts", ".java-version", ".tool-versions", "Dockerfile",
+    ],
+    "gradle-build gradle-wrapper-missing": COMMON_CI + [
+        "pom.xml", "build.gradle", "build.gradle.kts", "gradlew", "gradle*", ".java-version",
+    ],
+    "health-check-failure": COMMON_CI + [
+        "Dockerfile", "cmd/*", "internal/*", "server*", "api*", "routes*", "deploy*", "k8s*", "*.yaml", "*.yml",
+    ],
+    "flaky-test parallelism-conflict order-dependency": [
+        "*_test.go", "testdata*", "fixtures*", "migrations*", "db*", "internal/*test*", "pkg/*test*", "*.sql",
+    ],
+    "mock-assertion-failure": [
+        "*_test.go", "*.test.ts", "*.spec.ts", "*.test.js", "*.spec.js", "*_test.py", "testdata*", "fixtures*",
+    ],
+    "e2e-browser-failure": [
+        "playwright.config.*", "cypress.config.*", "cypress*", "e2e*", "tests/e2e*", "*.spec.ts", "*.spec.js",
+    ],
+    "testcontainer-startup": COMMON_CI + ["docker-compose*", "src/test*", "*Test.java", "*_test.go", "Dockerfile"],
+    "database-migration-test": ["migrations*", "db*", "database*", "*.sql", "alembic*", "flyway*", "Gemfile", "*.rb"],
+    "go-sum-missing": ["go.mod", "go.sum"],
+    "npm-ci-lockfile yarn-lockfile dependency-drift": [
+        "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".npmrc", ".nvmrc",
+    ],
+    "pnpm-lockfile": ["pnpm-lock.yaml", "package.json", ".npmrc"],
+    "ruby-bundler": ["Gemfile", "Gemfile.lock", ".ruby-version"],
+    "python-module-missing": ["requirements*.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile*", "poetry.lock"],
+    "node-out-of-memory": [
+        "package.json", "webpack.config.*", "next.config.*", "jest.config.*", ".babelrc", "tsconfig.json",
+    ],
+    "cmake-configure-error": COMMON_CI + ["CMakeLists.txt", "cmake*", "CMake*", "conanfile*", "vcpkg.json"],
+    "protobuf-compile": COMMON_CI + ["*.proto", "buf.gen.yaml", "buf.work.yaml", "Makefile"],
+    "terraform-state-lock": ["*.tf", "*.tfvars", "terraform*", "infra*", "deploy*"],
+    "container-crash oom-killed resource-limits": COMMON_CI + [
+        "Dockerfile", "k8s*", "kubernetes*", "deploy*", "*.yaml", "*.yml",
+    ],
+    "container-entrypoint-missing": COMMON_CI + ["Dockerfile", "docker-compose*", "deploy*", "*.yaml", "*.yml"],
+    "shared-library-missing": COMMON_CI + ["Dockerfile", "CMakeLists.txt", "*.c", "*.cpp", "*.h", "Makefile"],
+    "file-descriptor-limit": COMMON_CI + ["Dockerfile", "*.yaml", "*.yml", "config*"],
+    "port-conflict port-in-use": COMMON_CI + ["Dockerfile", "docker-compose*", "*.yaml", "*.yml", "*.json", "*.toml"],
+    "database-lock": ["migrations*", "db*", "database*", "*.sql", "*.yaml", "*.yml", "deploy*"],
+    "ssl-cert-error": COMMON_CI + ["*.pem", "*.crt", "*.csr", "*.key", "tls*", "cert*", "nginx*"],
+    "http-auth-failure": COMMON_CI + [".env*", "*.yaml", "*.yml", "config*", "deploy*"],
+    "webhook-delivery-failure": COMMON_CI + ["*.yaml", "*.yml", ".github*", "deploy*", "scripts*"],
+    "github-actions-syntax": [".github/workflows/*.yml", ".github/workflows/*.yaml", ".github*"],
+    "gitlab-ci-yaml-invalid": [".gitlab-ci.yml", ".gitlab*", "*.gitlab-ci.yml"],
+    "circleci-config-invalid": [".circleci/config.yml", ".circleci*"],
+    "jenkins-pipeline-syntax": ["Jenkinsfile", "vars/*.groovy", "src/**/*.groovy", "jenkins*"],
+    "azure-pipeline-task-failure": ["azure-pipelines.yml", ".azure*", "*.azure-pipelines.yml"],
+    "bitbucket-pipeline-failure": ["bitbucket-pipelines.yml"],
+    "cache-restore-miss artifact-upload-failure": COMMON_CI + [
+        "Makefile", "package.json", "go.sum", "Cargo.lock", "pom.xml", "build.gradle",
+    ],
+    "runner-disk-full": COMMON_CI + ["Dockerfile", ".dockerignore", "docker-compose*"],
+    "k8s-configmap-missing k8s-insufficient-resources k8s-rbac-forbidden": COMMON_CI + [
+        "k8s*", "kubernetes*", "helm*", "kustomize*", "deploy*", "*.yaml", "*.yml",
+    ],
+    "helm-upgrade-failed helm-chart-failure": COMMON_CI + ["helm*", "Chart.yaml", "values*.yaml", "templates*", "deploy*"],
+    "argocd-sync-failed": COMMON_CI + ["argocd*", "manifests*", "deploy*", "*.yaml", "*.yml"],
+    "image-pull-backoff": COMMON_CI + ["Dockerfile", "deploy*", "k8s*", "helm*", "*.yaml", "*.yml"],
+    "ecs-deployment-failed": COMMON_CI + ["*.tf", "*.json", "ecs*", "task-definition*", "deploy*"],
+}
 # --- end of fixed values -----------------------------------------------------------------------------
 
 
-def failure_patterns(spark: SparkSession, failures: list[tuple[str, str]], own: dict[str, list[str]] | None = None) -> DataFrame:
-    """Pattern rows of (failure id, category) pairs: the failure's own list, else its category's."""
-    rows = []
-    for failure_id, category in failures:
-        globs = (own or {}).get(failure_id) or CATEGORY_PATTERNS.get(category.strip().lower(), DEFAULT_PATTERNS)
-        rows += [{"failure_id": failure_id, "pattern": g} for g in dict.fromkeys(globs)]
+def patterns_of(failure_id: str, category: str, own: Mapping[str, Sequence[str]] | None = None) -> list[str]:
+    """The globs of a failure: a list given for it, else its fixed list, else that of its category."""
+    given = (own or {}).get(failure_id)
+    fixed = next((globs for ids, globs in FAILURE_PATTERNS.items() if failure_id in ids.split()), None)
+    return list(dict.fromkeys(given or fixed or CATEGORY_PATTERNS.get(category.strip().lower(), DEFAULT_PATTERNS)))
+
+
+def failure_patterns(spark: SparkSession, failures: list[tuple[str, str]], own: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Pattern rows of (failure id, category) pairs (see :func:`patterns_of`)."""
+    rows = [{"failure_id": f, "pattern": g} for f, category in failures for g in patterns_of(f, category, own)]
     return small_table(spark, rows, {"failure_id": "string", "pattern": "string"})
 
 

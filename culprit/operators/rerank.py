@@ -278,6 +278,30 @@ def score_features(
     return rows.select(*ranked.columns, "prior", kept.alias("features"))
 
 
+EVIDENCE_LINES = 5  # that a source finding shows as a candidate
+
+
+def with_source_candidates(ranked: DataFrame, findings: DataFrame, evidence: DataFrame, rules: DataFrame, log_id: str = "log_id") -> DataFrame:
+    """Log candidates and source findings of the same logs in one ranking, for :func:`score_features`.
+
+    ``findings(log id, repo, ...)`` are rows of :func:`culprit.operators.source_scan.scan_sources` with the logs of their
+    repository, ``evidence`` the rows of ``scan_evidence``, ``rules(rule_id, title, category, severity)`` describe the
+    source rules. A log candidate has no triggers or mitigations in code; a finding has no stage.
+    """
+    first = W.partitionBy("repo", "rule_id").orderBy("path", "line", "evidence")
+    shown = evidence.filter("kind = 'trigger'").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= EVIDENCE_LINES)
+    lists = shown.groupBy("repo", "rule_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
+    source = findings.join(lists, ["repo", "rule_id"], "left").join(rules.select("rule_id", "title", "category", "severity"), "rule_id")
+    own = {
+        "evidence": F.coalesce("evidence", F.array().cast("array<string>")), "stage": F.lit(""), "n_matched": F.lit(0), "compound_bonus": F.coalesce("compound_bonus", F.lit(0.0)),
+        "stage_bonus": F.lit(0.0), "detector": F.lit("source"), "n_triggers": F.col("n_triggers").cast("bigint"), "n_mitigations": F.col("n_mitigations").cast("bigint"),
+    }
+    logs = ranked.withColumns({"detector": F.lit("log"), "n_triggers": F.lit(0).cast("bigint"), "n_mitigations": F.lit(0).cast("bigint")}).drop("rank")
+    both = logs.unionByName(source.select(*[own.get(c, F.col(c)).alias(c) for c in logs.columns]))
+    order = W.partitionBy(log_id).orderBy(F.desc("score"), F.desc("confidence"), F.desc(F.size("evidence")), F.asc("rule_id"))
+    return both.withColumn("rank", F.row_number().over(order))
+
+
 def rerank(scored: DataFrame, log_id: str = "log_id") -> DataFrame:
     """Final score, contributions, strongest reasons, recalibrated confidence and new rank."""
     parts = F.transform(

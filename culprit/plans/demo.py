@@ -325,7 +325,7 @@ def _split_columns(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
-FAILURES = [("tests", "test"), ("ship", "deploy"), ("compile", "build"), ("lock", ""), ("nothing", "")]
+FAILURES = [("tests", "test"), ("ship", "deploy"), ("compile", "build"), ("lock", ""), ("nothing", ""), ("go-sum-missing", "build"), ("port-in-use", "")]
 OWN_PATTERNS = {"lock": ["go.mod", "package.json"], "nothing": ["no-such-*"]}
 
 

@@ -112,7 +112,7 @@ def _patterns(spark):
 def _pattern_rows():
     rows = []
     for f, c in demo.FAILURES:
-        for g in dict.fromkeys(demo.OWN_PATTERNS.get(f) or cm.CATEGORY_PATTERNS.get(c, cm.DEFAULT_PATTERNS)):
+        for g in cm.patterns_of(f, c, demo.OWN_PATTERNS):
             rows.append([f, glob_regex(g)])
     return sql.values("pats", ["failure_id", "rx"], rows)
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from culprit.functions import signature as sg
 from culprit.functions.storage import stored
 from culprit.functions.tables import small_table
+from culprit.operators import rerank as rr
 from culprit.operators import source_scan as sc
+from culprit.operators.match import match_rules
+from culprit.operators.rules import RuleSet
 from culprit.plans import demo, sql
 from culprit.plans.sql import collapse
 from culprit.plans.texts import source_class_sql
@@ -216,3 +219,32 @@ def source_signatures(spark, sf):
     found = hits.groupBy("repo", "rule_id").agg(*[F.collect_set(c).alias(c) for c in ("label", "path", "scope_name", "signal_id")])
     attributes = sg.trigger_attributes(F.col("path"), F.col("scope_name"), F.col("signal_id"))
     return found.select("repo", "rule_id", sg.signature_hash(F.col("rule_id"), F.lit("source"), F.col("label"), F.lit(""), attributes).alias("signature_hash"))
+
+
+def _both_rules(spark):
+    """The log rules and, without patterns, the source rules."""
+    own = [{"rule_id": r[0], "title": r[0], "category": "runtime", "severity": "medium", "detector": "source"} for r in RULES]
+    return RuleSet.from_records(spark, demo.CI_RULES + own)
+
+
+@register(
+    "source_candidates",
+    sql.ranked(f""", scan AS (SELECT * FROM (WITH {SCAN})), lr AS (SELECT log_id, 'r' || (regexp_extract(log_id, '^u([0-9]+)-', 1)::BIGINT % 3) AS repo FROM staged),
+ every AS (SELECT log_id, rule_id, score, confidence, len(evidence) AS shown, 'log' AS detector, 0 AS nt, 0 AS nm FROM ranked
+  UNION ALL SELECT log_id, rule_id, score, confidence, least(5, n_triggers), 'source', n_triggers, n_mitigations FROM scan JOIN lr USING (repo))""", demo.CI_RULES, "event_logs")
+    + """SELECT log_id, rule_id, detector, row_number() OVER (PARTITION BY log_id ORDER BY score DESC, confidence DESC, shown DESC, rule_id) AS rank,
+  CASE WHEN nm > 0 THEN round(least(1.0, nm::DOUBLE / greatest(nt, 1)) * 100) / 100 ELSE 0 END::DOUBLE AS mitigation_presence FROM every""",
+)
+def source_candidates(spark, sf):
+    """Candidates of each log next to the source findings of its repository, with the share of mitigated triggers."""
+    files, rules, both = stored(demo.source_files(spark, sf)), source_rules(spark), _both_rules(spark)
+    logs = stored(demo.event_logs(spark, sf))
+    repo = F.concat(F.lit("r"), F.regexp_extract("log_id", "^u([0-9]+)-", 1).cast("bigint") % 3)
+    findings = sc.scan_sources(files, rules, stored(_changes(spark, sf))).join(logs.select("log_id", repo.alias("repo")), "repo")
+    ranked = rr.with_source_candidates(match_rules(logs, both.by_detector("log")), findings, sc.scan_evidence(files, rules), both.rules)
+    none = F.lit(None).cast("array<string>")
+    context = logs.select("log_id", *[none.alias(c) for c in rr.CONTEXT_COLUMNS], F.lit("").alias("command"), F.lit("").alias("step"), F.lit("").alias("top_cause"))
+    counts = small_table(spark, [], {"rule_id": "string", "n": "int"})
+    scored = rr.score_features(stored(ranked), both, counts, context)
+    value = F.get(F.filter("features", lambda f: f["name"] == "mitigation_presence"), 0)["value"]
+    return scored.select("log_id", "rule_id", "detector", F.col("rank").cast("bigint").alias("rank"), F.coalesce(value, F.lit(0.0)).alias("mitigation_presence"))

@@ -62,3 +62,12 @@ def test_upstream_by_ancestors(spark):
     at = lambda p: p.rsplit("/", 1)[0] if "/" in p else "."
     want = {i: any(at(c) == "." or at(f) == at(c) or at(f).startswith(at(c) + "/") for c in changed for f in failed) for _, i, changed, failed in rows}
     assert {r["incident"]: r["upstream_changed"] for r in ow.topology_signals(incidents, none).collect()} == want
+
+
+def test_globs_of_single_failures():
+    assert sum(len(ids.split()) for ids in cm.FAILURE_PATTERNS) == 61
+    assert cm.patterns_of("go-sum-missing", "build") == ["go.mod", "go.sum"]
+    assert cm.patterns_of("oom-killed", "x")[:6] == [".github*", ".gitlab-ci*", ".circleci*", "ci*", "Makefile", "*.sh"]
+    assert cm.patterns_of("port-in-use", "network", {"port-in-use": ["a", "a"]}) == ["a"]
+    assert cm.patterns_of("protobuf-compile", "")[-3:] == ["*.proto", "buf.gen.yaml", "buf.work.yaml"]  # Makefile is there already
+    assert cm.patterns_of("unknown", " Test ")[0] == "*_test.go" and cm.patterns_of("unknown", "") == cm.DEFAULT_PATTERNS
