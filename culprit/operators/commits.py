@@ -200,19 +200,19 @@ def co_change_pairs(commits: DataFrame) -> DataFrame:
     """Pairs of files changed together in at least two commits.
 
     Only files that occur in two or more commits can be in such a pair, so the rest is dropped
-    before pairing. A commit with many files is cut into blocks on one side of the join, so its
-    pairs are built by several tasks.
+    before pairing. The files of a commit fall into blocks, and blocks meet in the cells of a triangular grid:
+    a task holds two blocks, never a whole large commit.
     """
     blocks = F.ceil(F.size("files") / PAIR_BLOCK).cast("int")
     files = commits.select("repo", "hash", blocks.alias("blocks"), F.explode("files").alias("file"))
     again = repeated(file_churn(commits)).select("repo", "file")
     sized = stored(files.join(again, ["repo", "file"], "left_semi"))  # both sides of the pairing read it
-    left = sized.select("repo", "hash", F.col("file").alias("file_a"), F.pmod(F.xxhash64("file"), F.col("blocks")).alias("block"))
-    right = sized.select(
-        "repo", "hash", F.col("file").alias("file_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("blocks") - 1).cast("bigint"))).alias("block")
-    )
-    pairs = left.join(right, ["repo", "hash", "block"]).filter("file_a < file_b")
-    return pairs.groupBy("repo", "file_a", "file_b").agg(F.count("*").alias("count")).filter("count >= 2")
+    own = sized.withColumn("block", F.pmod(F.xxhash64("file"), F.col("blocks")).cast("int"))
+    placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["repo", "hash", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    a, b = (placed.select(*cell, F.col("file").alias(f"file_{x}"), F.col("block").alias(f"block_{x}")) for x in ("a", "b"))
+    met = a.join(b, ["repo", "hash", "low", "high"]).filter("file_a < file_b AND (low = high OR block_a <> block_b)")
+    return met.groupBy("repo", "file_a", "file_b").agg(F.count("*").alias("count")).filter("count >= 2")
 
 
 def recent_files(commits: DataFrame, n: int = RECENT_FILES) -> DataFrame:

@@ -10,6 +10,7 @@ from culprit.functions.storage import stored
 from culprit.operators import changes as ch
 from culprit.operators import commits as cm
 from culprit.operators import owners as ow
+from culprit.operators.ordered import last_before, time_bucket
 from culprit.plans import demo, sql
 from culprit.plans.demo import COMMITS_SQL, FILES_SQL
 from culprit.plans.sql import any_of, collapse, lit, trim_space
@@ -364,11 +365,10 @@ SELECT run_id, CASE WHEN coalesce(b0, '') <> branch THEN 'branch:' || coalesce(b
  || CASE WHEN coalesce(a0::VARCHAR, '') <> attempt::VARCHAR THEN 'run_attempt:' || coalesce(a0::VARCHAR, '') || '>' || attempt || ';' ELSE '' END AS diff FROM p""",
 )
 def environment_diff(spark, sf):
-    from pyspark.sql.window import Window as W
-
-    w = W.partitionBy("repo", "workflow").orderBy("ts", "run_id")
+    settings = ("branch", "event", "attempt")
     r = _ci_runs(spark, sf)
-    p = r.select("run_id", "branch", "event", "attempt", *[F.lag(c).over(w).alias(c + "0") for c in ("branch", "event", "attempt")])
+    p = last_before(r, ["repo", "workflow"], ["ts", "run_id"], time_bucket(F.col("ts"), "day"), F.struct(*settings), "earlier")
+    p = p.select("run_id", *settings, *[F.col("earlier")[c].alias(c + "0") for c in settings])
     names = {"branch": "branch", "event": "event", "run_attempt": "attempt"}
     d = p.withColumn("d", ch.env_diff({k: F.col(v + "0") for k, v in names.items()}, {k: F.col(v) for k, v in names.items()}))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("d")), lambda e: F.concat(e["key"], F.lit(":"), e["value"]["baseline"], F.lit(">"), e["value"]["current"], F.lit(";"))), "")

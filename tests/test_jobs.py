@@ -199,6 +199,20 @@ def test_co_change_blocks_equal_brute_force(spark, monkeypatch):
         assert {(r["file_a"], r["file_b"]): r["count"] for r in cm.co_change_pairs(df).collect()} == want
 
 
+def test_co_change_of_one_very_large_commit(spark, monkeypatch):
+    monkeypatch.setattr(cm, "PAIR_BLOCK", 60)
+    files = [f"d{i % 7}/f{i}.go" for i in range(700)]
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [("r", "large", t0, "s", "a", files), ("r", "next", t0, "s", "a", files[:80]), ("r", "other", t0, "s", "a", files[60:100])]
+    df = spark.createDataFrame(rows, "repo string, hash string, ts timestamp, subject string, author string, files array<string>")
+    got = {(r["file_a"], r["file_b"]): r["count"] for r in cm.co_change_pairs(df).collect()}
+    want = {}
+    for some in (files[:80], files[60:100]):
+        for a, b in itertools.combinations(sorted(some), 2):
+            want[a, b] = want.get((a, b), 1) + 1
+    assert got == want
+
+
 def test_fallback_branches(spark):
     _, df = commits_table(spark)
     pats = cm.failure_patterns(spark, [("hit", "test"), ("miss", "x")], {"hit": ["d1"], "miss": ["nope"]})
