@@ -74,6 +74,32 @@ def trace_rules(logs: DataFrame, rule_set: RuleSet, log_id: str = "log_id", text
     return single.unionByName(groups)
 
 
+def rule_reasons(
+    logs: DataFrame, rule_set: RuleSet, ranked_pairs: DataFrame, log_id: str = "log_id", text: str = "text"
+) -> DataFrame:
+    """Why-text per (log, rule) from counts: only hits are rows, what is missing or clear is a rule's total less its hits.
+
+    Same result as :func:`trace_reasons` of a trace of all logs and rules, without a row for each listed pattern.
+    """
+    p = rule_set.patterns.withColumn("norm", tx.normalize_line(F.col("pattern"))).select("rule_id", "section", "group_idx", "group_min", "norm")
+    found = find_hits(prepare_logs(logs, text), p.filter("norm <> ''"), [log_id]).select(log_id, "norm").join(p, "norm")
+
+    def n(section: str) -> Column:
+        return F.sum((F.col("section") == section).cast("bigint"))
+
+    # a k-of-n group counts once: reached or not
+    groups = found.filter("section = 'partial'").groupBy(log_id, "rule_id", "group_idx").agg((F.count("*") >= F.max("group_min")).cast("bigint").alias("reached"))
+    reached = groups.groupBy(log_id, "rule_id").agg(F.sum("reached").alias("partial_matched"))
+    hits = found.groupBy(log_id, "rule_id").agg(n("any").alias("any_matched"), n("all").alias("all_matched"), n("none").alias("none_blocked"))
+    totals = p.groupBy("rule_id").agg(n("all").alias("n_all"), n("none").alias("n_none"), F.count_distinct(F.when(F.col("section") == "partial", F.col("group_idx"))).alias("n_partial"))
+    every = with_row(logs.select(log_id), totals.agg(F.collect_list(F.struct(*totals.columns)).alias("_rules"))).select(log_id, F.explode("_rules").alias("r")).select(log_id, "r.*")
+    counted = every.join(hits, [log_id, "rule_id"], "left").join(reached, [log_id, "rule_id"], "left").fillna(0, ["any_matched", "all_matched", "none_blocked", "partial_matched"])
+    counted = counted.withColumns({
+        "all_missing": F.col("n_all") - F.col("all_matched"), "none_clear": F.col("n_none") - F.col("none_blocked"), "partial_missing": F.col("n_partial") - F.col("partial_matched"),
+    })
+    return _worded(counted, ranked_pairs, log_id)
+
+
 def trace_reasons(trace: DataFrame, ranked_pairs: DataFrame, log_id: str = "log_id") -> DataFrame:
     """Why-text per (log, rule): counts per section, worded for matches and for misses.
 
@@ -88,6 +114,10 @@ def trace_reasons(trace: DataFrame, ranked_pairs: DataFrame, log_id: str = "log_
         n("partial", "missing").alias("partial_missing"), n("none", "clear").alias("none_clear"),
         n("none", "blocked").alias("none_blocked"),
     )
+    return _worded(counts, ranked_pairs, log_id)
+
+
+def _worded(counts: DataFrame, ranked_pairs: DataFrame, log_id: str) -> DataFrame:
     flagged = counts.join(ranked_pairs.select(log_id, "rule_id").withColumn("ranked", F.lit(True)), [log_id, "rule_id"], "left")
 
     def line(name: str, words: str) -> Column:

@@ -158,7 +158,7 @@ SELECT log_id, rule_id, ranked, CASE WHEN len(why) = 0 THEN 'the playbook did no
 )
 def trace_reasons(spark, sf):
     logs, rules = demo.event_logs(spark, sf), demo.ci_rules(spark)
-    t = tr.trace_reasons(tr.trace_rules(logs, rules), mt.match_rules(logs, rules))
+    t = tr.rule_reasons(logs, rules, mt.match_rules(logs, rules))
     return t.select("log_id", "rule_id", "ranked", F.array_join("why", "; ").alias("why"))
 
 

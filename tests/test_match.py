@@ -169,3 +169,12 @@ def test_trace_masks_patterns(spark):
     t = tr.trace_rules(log, rules).first()
     assert t["status"] == "matched" and t["lines"] == ["<tmp> failed"]
     assert mt.unmatched(mt.evaluate_logs(log, rules)).count() == 1
+
+
+def test_reasons_from_counts_equal_those_of_the_trace(spark):
+    log = logs(spark, *["\n".join(r.get("any", [])[:1] + r.get("none", [])[: i % 2] + [p for g in r.get("partial", []) for p in g["patterns"]][: i % 4]) for i, r in enumerate(demo.RULES)], "", None)
+    rules = RuleSet.from_records(spark, demo.RULES + [{"rule_id": "odd", "any": ["the the", " "], "all": ["the the", "the the"], "partial": [{"minimum": 1, "patterns": ["|", "|"]}]}])
+    ranked_pairs = mt.match_rules(log, rules)
+    rows = lambda df: sorted((r["log_id"], r["rule_id"], r["ranked"], r["why"]) for r in df.collect())
+    got = rows(tr.rule_reasons(log, rules, ranked_pairs))
+    assert got == rows(tr.trace_reasons(tr.trace_rules(log, rules), ranked_pairs)) and len(got) == 12 * 11
