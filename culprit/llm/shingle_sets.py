@@ -7,9 +7,11 @@ common passages come last; the sample decides what the search costs and never wh
 Each different set puts its first members into a table of postings, which is shuffled once by member.
 One pass over each sorted part drops members that one set holds and compares every other holder with
 two leaders: the first one of its size band, for two ways to cut sizes into bands. A pair goes on if
-the places of the member, and the numbers of members in each 64th of the hashes, leave room for enough
-common members; then it is verified by the exact overlap of the two sets. Holders of a member that are
-still not connected are compared pair by pair, by size class, large groups in the blocks of a grid.
+the places of the member, and the marks of the two sets, leave room for enough common members; then it is
+verified by the exact overlap of the two sets. A mark is a bitmap of 1,024 bits: each bit of one that the
+other lacks is a member that is not shared. Holders of a member that are still not connected are
+compared pair by pair, by size class, large groups in the blocks of a grid; places and marks are
+compared inside the join, so only pairs that may be alike come out of it.
 
 Rules for words and shingles are those of ``simhash_trie``, but sets have no repeats; a text without
 words has no set. Nothing is dropped or capped.
@@ -32,6 +34,7 @@ from culprit.llm.components import components
 
 SAMPLE, OFTEN, RANKED = 10_000, 4, 1 << 17  # documents that the order is made from; its commonest shingles
 GROWTH = 1.25  # a set's partners are at most so many times as long
+MARK = 16  # numbers of 64 bits
 GRID = 2_000  # holders in a row or column of the grid of one member and size class
 
 
@@ -59,18 +62,19 @@ def common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[by], top["count"].to_numpy(np.int64)[by]
 
 
-def spread(s: np.ndarray) -> bytes | None:
-    """How many members lie in each 64th of the hashes; None if a number does not fit a byte."""
-    counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+def mark(s: np.ndarray) -> np.ndarray:
+    """Bitmap of ``64 * MARK`` bits of the hashes, as signed numbers."""
+    bits = np.zeros(64 * MARK, np.uint8)
+    bits[(s >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def described(body: Column, words: int, often: tuple[np.ndarray, np.ndarray]) -> Column:
-    """``fp``, hash of the set (``node``), its size ``n``, its ``spread`` and its first members in the order."""
+    """``fp``, hash of the set (``node``), its size ``n``, its ``mark`` and its first members in the order."""
     ranked, counts = often
 
     def run(texts: pa.Array) -> pa.Array:
-        fps, nodes, sizes, spreads, firsts = [], [], [], [], []
+        fps, nodes, sizes, marks, firsts = [], [], [], [], []
         for t in texts.to_pylist():
             hashes = list(simhash_trie.shingle_hashes(t, words))
             fps.append(simhash_trie.majority(hashes))
@@ -83,12 +87,12 @@ def described(body: Column, words: int, often: tuple[np.ndarray, np.ndarray]) ->
             first = s[np.lexsort((s, weight))[: n - (4 * n + 4) // 5 + 1 if n else 0]]
             nodes.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
             sizes.append(n)
-            spreads.append(spread(s))
+            marks.append(mark(s))
             firsts.append(first.view(np.int64))
-        columns = [pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(spreads, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(columns, ["fp", "node", "n", "spread", "first"])
+        columns = [pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["fp", "node", "n", "mark", "first"])
 
-    return F.arrow_udf(run, "struct<fp: bigint, node: bigint, n: int, spread: binary, first: array<bigint>>")(body)
+    return F.arrow_udf(run, "struct<fp: bigint, node: bigint, n: int, mark: array<bigint>, first: array<bigint>>")(body)
 
 
 def _enough(overlap, n, m):
@@ -139,17 +143,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*held, None)
 
 
-def _room_by_spread(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` that can be alike enough by the spread of their members."""
+def _room_by_marks(n: Column, a: Column, m: Column, b: Column) -> Column:
+    """Whether two sets of these sizes and marks can be alike enough."""
+    alone = [sum((F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(MARK)), F.lit(0)) for x, y in ((a, b), (b, a))]
+    return _enough(F.least(n - alone[0], m - alone[1]), n, m)
 
-    def run(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-        rows_ = zip(x.to_pylist(), y.to_pylist(), strict=True)
-        most = [a is None or b is None or int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum(dtype=np.int64)) for a, b in rows_]
-        return pa.array([k is True or 9 * k >= 4 * (i + j) for k, i, j in zip(most, n.to_pylist(), m.to_pylist(), strict=True)])
 
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"spread_{c}"))
+def _roomy(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("mark").alias(f"mark_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(F.arrow_udf(run, "boolean")("spread_a", "spread_b", "n_a", "n_b")).select("a", "b")
+    return both.filter(_room_by_marks(F.col("n_a"), F.col("mark_a"), F.col("n_b"), F.col("mark_b"))).select("a", "b")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -174,32 +177,33 @@ def _apart(met: DataFrame, linked: DataFrame) -> DataFrame:
     return placed.withColumn("least", F.min("part").over(same)).withColumn("most", F.max("part").over(same)).filter("least < most").drop("least", "most")
 
 
-def _every_pair(left: DataFrame) -> DataFrame:
+def _every_pair(left: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of unconnected holders of a member. They meet in their size class or the next one; a class of very many
     holders is cut into rows and columns of a grid."""
-    classed = left.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(GROWTH))))
+    classed = left.join(nodes.select("node", "mark"), "node").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(GROWTH))))
     cuts = classed.select("h", F.explode(F.array("class", F.col("class") - 1)).alias("class")).groupBy("h", "class").agg(F.ceil(F.count("*") / GRID).cast("int").alias("cuts"))
     block, all_blocks = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    x = classed.join(cuts, ["h", "class"]).select("h", "class", block.alias("row"), all_blocks.alias("column"), F.struct("node", "n", "i", "part").alias("x"))
+    x = classed.join(cuts, ["h", "class"]).select("h", "class", block.alias("row"), all_blocks.alias("column"), F.struct("node", "n", "i", "part", "mark").alias("x"))
     both = classed.withColumn("class", F.explode(F.array("class", F.col("class") - 1))).join(cuts, ["h", "class"])
-    y = both.select("h", "class", all_blocks.alias("row"), block.alias("column"), F.struct("node", "n", "i", "part").alias("y"))
+    y = both.select("h", "class", all_blocks.alias("row"), block.alias("column"), F.struct("node", "n", "i", "part", "mark").alias("y"))
     room = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
-    met = x.join(y, ["h", "class", "row", "column"]).filter((F.col("x.part") != F.col("y.part")) & _enough(room, F.col("x.n"), F.col("y.n")))
+    places = (F.col("x.part") != F.col("y.part")) & _enough(room, F.col("x.n"), F.col("y.n"))
+    met = x.join(y, ["h", "class", "row", "column"]).filter(places & _room_by_marks(F.col("x.n"), F.col("x.mark"), F.col("y.n"), F.col("y.mark")))
     return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
 def links(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``a, b``: links that join all sets with an index of at least 0.8, directly or over others. ``firsts(node, n, first)``
-    has one row for each set, ``nodes(node, n, spread, doc, key)`` one text for each."""
+    has one row for each set, ``nodes(node, n, mark, doc, key)`` one text for each."""
     postings = firsts.select("node", F.col("n").cast("bigint").alias("n"), F.posexplode("first").alias("i", "h"))
     packed = postings.select("h", (F.shiftleft("n", 32) + F.col("i")).alias("ni"), "node")
     met = stored(packed.repartition("h").sortWithinPartitions("h", "ni", "node").mapInArrow(_meet, "h bigint, ni bigint, node bigint, first bigint, second bigint"))
     led = met.select(F.explode(F.array("first", "second")).alias("lead"), "node").filter("lead IS NOT NULL")
-    pairs = stored(_room_by_spread(led.select(F.greatest("lead", "node").alias("a"), F.least("lead", "node").alias("b")).distinct(), nodes))
+    pairs = stored(_roomy(led.select(F.greatest("lead", "node").alias("a"), F.least("lead", "node").alias("b")).distinct(), nodes))
     linked = _verified(docs, nodes, pairs, words)
     left = stored(_apart(met, linked))
     release(met)
-    rest = stored(_room_by_spread(_every_pair(left).join(pairs, ["a", "b"], "left_anti"), nodes))
+    rest = stored(_every_pair(left, nodes).join(pairs, ["a", "b"], "left_anti"))
     release(left, pairs)
     return linked.unionAll(_verified(docs, nodes, rest, words))
 
@@ -211,8 +215,8 @@ def near_copies(docs: DataFrame, words: int, bits: int) -> DataFrame:
     found = docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(body).alias("key"), described(body.cast("binary"), words, often).alias("r"))
     found = stored(found.select("doc", "key", "r.*"))
     some = found.filter("n > 0")
-    nodes = some.groupBy("node").agg(F.min("fp").alias("least"), F.any_value("n").alias("n"), F.any_value("spread").alias("spread"), F.min(F.struct("doc", "key")).alias("one"))
-    nodes = stored(nodes.select("node", "least", "n", "spread", "one.*"))
+    nodes = some.groupBy("node").agg(F.min("fp").alias("least"), F.any_value("n").alias("n"), F.any_value("mark").alias("mark"), F.min(F.struct("doc", "key")).alias("one"))
+    nodes = stored(nodes.select("node", "least", "n", "mark", "one.*"))
     # copies have one set: its members leave the rows before they are exploded
     firsts = some.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("first").alias("first"))
     alike = links(docs, firsts, nodes, words)
