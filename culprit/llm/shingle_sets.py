@@ -10,8 +10,8 @@ two leaders: the first one of its size band, for two ways to cut sizes into band
 the places of the member, and the marks of the two sets, leave room for enough common members; then it is
 verified by the exact overlap of the two sets. A mark is a bitmap of 1,024 bits: each bit of one that the
 other lacks is a member that is not shared. Holders of a member that are still not connected are
-compared pair by pair, by size class, large groups in the blocks of a grid; places and marks are
-compared inside the join, so only pairs that may be alike come out of it.
+compared pair by pair, by size class, large groups in the blocks of a grid; there marks are compared
+inside the join, so that only pairs that may be alike come out of it.
 
 Rules for words and shingles are those of ``simhash_trie``, but sets have no repeats; a text without
 words has no set. Nothing is dropped or capped.
@@ -35,6 +35,7 @@ from culprit.llm.components import components
 SAMPLE, OFTEN, RANKED = 10_000, 4, 1 << 17  # documents that the order is made from; its commonest shingles
 GROWTH = 1.25  # a set's partners are at most so many times as long
 MARK = 16  # numbers of 64 bits
+CROWD = 32  # holders of one member and size class
 GRID = 2_000  # holders in a row or column of the grid of one member and size class
 
 
@@ -179,17 +180,30 @@ def _apart(met: DataFrame, linked: DataFrame) -> DataFrame:
 
 def _every_pair(left: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of unconnected holders of a member. They meet in their size class or the next one; a class of very many
-    holders is cut into rows and columns of a grid."""
-    classed = left.join(nodes.select("node", "mark"), "node").withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(GROWTH))))
-    cuts = classed.select("h", F.explode(F.array("class", F.col("class") - 1)).alias("class")).groupBy("h", "class").agg(F.ceil(F.count("*") / GRID).cast("int").alias("cuts"))
-    block, all_blocks = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
-    x = classed.join(cuts, ["h", "class"]).select("h", "class", block.alias("row"), all_blocks.alias("column"), F.struct("node", "n", "i", "part", "mark").alias("x"))
-    both = classed.withColumn("class", F.explode(F.array("class", F.col("class") - 1))).join(cuts, ["h", "class"])
-    y = both.select("h", "class", all_blocks.alias("row"), block.alias("column"), F.struct("node", "n", "i", "part", "mark").alias("y"))
-    room = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
-    places = (F.col("x.part") != F.col("y.part")) & _enough(room, F.col("x.n"), F.col("y.n"))
-    met = x.join(y, ["h", "class", "row", "column"]).filter(places & _room_by_marks(F.col("x.n"), F.col("x.mark"), F.col("y.n"), F.col("y.mark")))
-    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    holders is cut into rows and columns of a grid. Marks travel with the holders of ``CROWD`` and more only: there
+    they keep most pairs from coming out, elsewhere they would cost more than the few pairs."""
+    classed = left.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(GROWTH))))
+    both = F.explode(F.array("class", F.col("class") - 1)).alias("class")
+    counts = stored(classed.select("h", both).groupBy("h", "class").agg(F.count("*").alias("c")).filter("c > 1"))
+    pairs = []
+    for crowded in (False, True):
+        cuts = counts.filter(F.col("c") >= CROWD if crowded else F.col("c") < CROWD).select("h", "class", F.ceil(F.col("c") / GRID).cast("int").alias("cuts"))
+        block, all_blocks = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+        x = classed.join(cuts, ["h", "class"])
+        y = classed.select("h", "node", "n", "i", "part", both).join(cuts, ["h", "class"])
+        columns = ["node", "n", "i", "part"]
+        if crowded:
+            x, y = (side.join(nodes.select("node", "mark"), "node") for side in (x, y))
+            columns.append("mark")
+        x = x.select("h", "class", block.alias("row"), all_blocks.alias("column"), F.struct(*columns).alias("x"))
+        y = y.select("h", "class", all_blocks.alias("row"), block.alias("column"), F.struct(*columns).alias("y"))
+        room = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+        ok = (F.col("x.part") != F.col("y.part")) & _enough(room, F.col("x.n"), F.col("y.n"))
+        if crowded:
+            ok &= _room_by_marks(F.col("x.n"), F.col("x.mark"), F.col("y.n"), F.col("y.mark"))
+        met = x.join(y, ["h", "class", "row", "column"]).filter(ok)
+        pairs.append(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")))
+    return pairs[0].unionAll(pairs[1]).distinct()
 
 
 def links(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -203,7 +217,7 @@ def links(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, words: int) -> D
     linked = _verified(docs, nodes, pairs, words)
     left = stored(_apart(met, linked))
     release(met)
-    rest = stored(_every_pair(left, nodes).join(pairs, ["a", "b"], "left_anti"))
+    rest = stored(_roomy(_every_pair(left, nodes).join(pairs, ["a", "b"], "left_anti"), nodes))
     release(left, pairs)
     return linked.unionAll(_verified(docs, nodes, rest, words))
 
