@@ -47,7 +47,7 @@ def distinct_shingles(text: bytes, words: int) -> np.ndarray:
 
 def _sets(body: Column, words: int) -> Column:
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([distinct_shingles(t, words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([distinct_shingles(t.as_py(), words).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
     return F.arrow_udf(run, "array<bigint>").asNondeterministic()(body)  # so that the planner runs it once
 
@@ -76,8 +76,8 @@ def described(body: Column, words: int, often: tuple[np.ndarray, np.ndarray]) ->
 
     def run(texts: pa.Array) -> pa.Array:
         fps, nodes, sizes, marks, firsts = [], [], [], [], []
-        for t in texts.to_pylist():
-            hashes = list(simhash_trie.shingle_hashes(t, words))
+        for t in texts:  # one text at a time in Python's memory
+            hashes = list(simhash_trie.shingle_hashes(t.as_py(), words))
             fps.append(simhash_trie.majority(hashes))
             s = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
             n = len(s)
