@@ -293,7 +293,7 @@ def cluster_sample_files(spark, sf):
 # Streams over the same tables; append mode shows what the watermark has closed.
 def _event_stream(spark, sf):
     schema = demo.table(spark, sf, "events").schema
-    s = jobs.file_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = jobs.table_stream(spark, f"{sf}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     return s.select("event_id", "ts", "user_id", "event_type", (F.col("event_type") != "view").alias("matched"), F.col("event_type").alias("failure_id"))
 
 
@@ -358,7 +358,7 @@ def stream_recurrence(spark, sf):
 def stream_dedupe(spark, sf):
     """The corpus as a stream; all logs carry the same time, so no id expires."""
     schema = demo.table(spark, sf, "documents").schema
-    s = jobs.file_stream(spark, sf, schema, "documents.parquet").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    s = jobs.table_stream(spark, f"{sf}/documents.parquet", schema, 32).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     out = jobs.drain_to_table(jobs.dedupe_stream(s).select("fixture_id", "ts"), scratch(spark, "ded"), scratch(spark, "cp"))
     return out.select("fixture_id")
 
@@ -366,7 +366,7 @@ def stream_dedupe(spark, sf):
 @register("stream_evaluate", sql.results() + "SELECT log_id, matched, failure_id, confidence FROM results")
 def stream_evaluate(spark, sf):
     schema = demo.table(spark, sf, "documents").schema
-    s = jobs.file_stream(spark, sf, schema, "documents.parquet").select(F.col("doc_id").alias("log_id"), "text", "source")
+    s = jobs.table_stream(spark, f"{sf}/documents.parquet", schema, 32).select(F.col("doc_id").alias("log_id"), "text", "source")
     out = scratch(spark, "eval")
     writer = jobs.evaluate_stream(s, demo.rules(spark), lambda r, i: r.write.mode("overwrite").parquet(f"{out}/batch={i}"), source="source")
     jobs.run_available(writer, scratch(spark, "cp"))

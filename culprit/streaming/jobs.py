@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from culprit.functions import text as tx
+from culprit.functions.storage import is_folder
 from culprit.operators.match import evaluate_logs
 from culprit.operators.rules import RuleSet
 
@@ -19,6 +20,17 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table, one file or a folder of them, as a stream; in one batch unless ``files_per_batch`` says otherwise."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    folder, name = path.rsplit("/", 1)  # a stream reads folders only
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
 def dedupe_stream(logs: DataFrame, text: str = "text", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """First log of each content id; ids are forgotten once the watermark passes them."""
     keyed = logs.withColumn("fixture_id", tx.content_id(F.col(text)))
