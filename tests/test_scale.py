@@ -24,3 +24,30 @@ def test_table_of_several_files_as_a_stream(spark, tmp_path):
     for name in ("many", "one"):
         out = jobs.drain_to_table(jobs.table_stream(spark, f"{tmp_path}/{name}.parquet", d.schema, 3), f"{tmp_path}/{name}-out", f"{tmp_path}/{name}-cp")
         assert sorted(r["doc_id"] for r in out.collect()) == list(range(20))
+
+
+def test_shared_file_lists_score_like_lists_of_each_log(spark):
+    rules = RuleSet.from_records(spark, [
+        {"rule_id": "npm-lock", "title": "t", "category": "ci", "likely_files": ["*.json", "go.mod"], "any": ["boom"]},
+        {"rule_id": "runtime", "title": "u", "category": "runtime", "likely_files": [], "any": ["boom", "bang"]},
+    ])
+    logs = spark.createDataFrame([(i, "boom bang") for i in range(6)], "log_id int, text string")
+    files = spark.createDataFrame([(0, ["a/package.json", "x.py"], ["go.mod"]), (1, ["go.sum", ".github/workflows/a.yml"], None), (2, None, [])], "context_id int, changed_files array<string>, recent_files array<string>")
+    none = F.array().cast("array<string>")
+    context = logs.filter("log_id < 5").select(
+        "log_id", (F.col("log_id") % 4).alias("context_id"), *[none.alias(c) for c in rr.CONTEXT_COLUMNS[2:]], F.lit("").alias("command"), F.lit("").alias("step"), F.lit("").alias("top_cause"))
+    counts, ranked = small_table(spark, [], {"rule_id": "string", "n": "int"}), mt.match_rules(logs, rules)
+    shared = rr.score_features(ranked, rules, counts, context, files=files)
+    own = rr.score_features(ranked, rules, counts, context.join(files, "context_id", "left").drop("context_id"))
+    rows = lambda d: sorted(map(str, d.select("log_id", "rule_id", "prior", "features").collect()))
+    assert rows(shared) == rows(own) and len(rows(own)) == 12
+
+
+def test_every_part_is_in_a_change_context(spark, tmp_path):
+    """In the rows and in the statement: no part is left out because its number is beyond the users'."""
+    spark.createDataFrame([(i, f"x {i}", "T", i % 6) for i in range(1, 4001)], "p_partkey bigint, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 7, "error", 1.0, "", "2024-01-01 00:00:00")], "event_id bigint, user_id bigint, event_type string, value double, props string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    files, context = reasoning._context(spark, str(tmp_path))
+    held = files.select(F.explode(F.array_union("changed_files", "recent_files")).alias("f")).distinct().count()
+    assert files.count() == 40 and held > 1000 and context.first()["context_id"] == 7
+    assert "p_partkey % 40 AS k" in reasoning.RERANK
