@@ -51,3 +51,19 @@ def test_every_part_is_in_a_change_context(spark, tmp_path):
     held = files.select(F.explode(F.array_union("changed_files", "recent_files")).alias("f")).distinct().count()
     assert files.count() == 40 and held > 1000 and context.first()["context_id"] == 7
     assert "p_partkey % 40 AS k" in reasoning.RERANK
+
+
+def fnv(t):
+    h = 2166136261
+    for b in t.encode():
+        h = (h ^ b) * 16777619 & 0xFFFFFFFF
+    return f"{h:08x}"
+
+
+def test_fnv_of_long_texts_is_linear(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abé€ x") for _ in range(rng.choice([0, 1, 40, 300]))) for _ in range(500)] + ["ü" * 300_000, "", None]
+    began = time.time()
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.fnv1a32(F.col("t")).alias("h")).collect()
+    assert {r["i"]: r["h"] for r in got} == {i: None if t is None else fnv(t) for i, t in enumerate(texts)}
+    assert time.time() - began < 30
