@@ -67,3 +67,13 @@ def test_fnv_of_long_texts_is_linear(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.fnv1a32(F.col("t")).alias("h")).collect()
     assert {r["i"]: r["h"] for r in got} == {i: None if t is None else fnv(t) for i, t in enumerate(texts)}
     assert time.time() - began < 30
+
+
+def test_sanitiser_counts_run_each_step_once(spark):
+    texts = ["a@b.org c@d.org password=x", "Authorization: Bearer abc https://u:p@h/", "", None, "plain"]
+    d = spark.createDataFrame(list(enumerate(texts)), "log_id int, text string")
+    got = tx.sanitize_rows(d)
+    want = d.select("log_id", F.explode(tx.sanitize_counts(F.col("text"))).alias("c")).select("log_id", "c.rule", "c.n")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 3
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= len(tx.SANITIZERS) and plan.count("regexp_extract_all") + plan.count("regexp_count") <= len(tx.SANITIZERS)
