@@ -77,3 +77,24 @@ def test_sanitiser_counts_run_each_step_once(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 3
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") <= len(tx.SANITIZERS) and plan.count("regexp_extract_all") + plan.count("regexp_count") <= len(tx.SANITIZERS)
+
+
+def test_a_line_is_kept_once_for_all_its_pieces(spark):
+    words = [f"word{i} " for i in range(3000)]
+    line = "".join(words)
+    norms = [w + v for w, v in zip(words, words[1:])] + ["".join(words[i : i + 4]).strip() for i in range(0, 2900, 7)] + ["word1", "nothing of it at all"]
+    index = pattern_index.PatternIndex.build(spark.createDataFrame([(n,) for n in norms], "norm string"))
+    texts = pa.array([line, None, line + "\nsecond " + line])
+    found = pattern_index.surroundings(texts, texts, index.filter(), index.reach)
+    assert found.nbytes < 100 * len(line)  # a copy of the line for each piece would be over 10,000 times
+    hits = mt.find_hits(spark.createDataFrame([(0, line, line)], "log_id int, norm string, canonical string"), index, ["log_id"])
+    assert {(r["norm"], r["line_no"], r["line"]) for r in hits.collect()} == {(n, 1, line) for n in norms if n in line}
+
+
+def test_surroundings_of_a_piece_at_the_ends_of_lines(spark):
+    texts = ["abcdefgh\nxabcdefghijklmnopqy\nabcdefghijklmnop", "é" * 9 + "\n" + "é" * 8, "abcdefghi" * 3 + "\n" + "abcdefghi" * 2]
+    norms = ["abcdefghijklmnop", "abcdefghijklmnopq", "abcdefghi", "é" * 8, "é" * 9, "abcdefghiabcdefghi", "hiabcdefghia", "ijklmnopqrs"]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "log_id int, norm string, canonical string")
+    got = mt.find_hits(rows, spark.createDataFrame([(n,) for n in norms], "norm string"), ["log_id"]).collect()
+    want = {(i, n, next(k for k, l in enumerate(t.split("\n"), 1) if n in l)) for i, t in enumerate(texts) for n in norms if any(n in l for l in t.split("\n"))}
+    assert {(r["log_id"], r["norm"], r["line_no"]) for r in got} == want and len(got) == len(want)
