@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from culprit.functions import text as tx
+from culprit.functions.storage import stored
 from culprit.operators import labelled as lb
 from culprit.operators import match as mt
 from culprit.operators import rules as ru
@@ -159,7 +160,7 @@ SELECT improved, regressed, unchanged, b1 AS baseline_top1_rate, o1 AS other_top
  trunc((o1 - b1) * 1000 + 0.5) / 1000 AS top1_delta, trunc((o3 - b3) * 1000 + 0.5) / 1000 AS top3_delta FROM n""",
 )
 def mode_summary(spark, sf):
-    a, b = evaluated(spark, sf), evaluated(spark, sf, ru.RuleSet.from_records(spark, OTHER))
+    a, b = (stored(e.select("log_id", "expected_rank", "labelled", "unmatched", "false_positive", "weak_match")) for e in (evaluated(spark, sf), evaluated(spark, sf, ru.RuleSet.from_records(spark, OTHER))))
     return lb.mode_summary(lb.report(a), lb.report(b), lb.compare_modes(a, b))
 
 

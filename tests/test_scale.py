@@ -16,6 +16,22 @@ from culprit.plans import reasoning
 from culprit.streaming import jobs
 
 
+def fnv(t):
+    h = 2166136261
+    for b in t.encode():
+        h = (h ^ b) * 16777619 & 0xFFFFFFFF
+    return f"{h:08x}"
+
+
+def test_fnv_of_long_texts_is_linear(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abé€ x") for _ in range(rng.choice([0, 1, 40, 300]))) for _ in range(500)] + ["ü" * 300_000, "", None]
+    began = time.time()
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.fnv1a32(F.col("t")).alias("h")).collect()
+    assert {r["i"]: r["h"] for r in got} == {i: None if t is None else fnv(t) for i, t in enumerate(texts)}
+    assert time.time() - began < 30
+
+
 def test_table_of_several_files_as_a_stream(spark, tmp_path):
     d = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "doc_id int, text string")
     d.repartition(4).write.parquet(f"{tmp_path}/many.parquet")
@@ -53,22 +69,6 @@ def test_every_part_is_in_a_change_context(spark, tmp_path):
     assert "p_partkey % 40 AS k" in reasoning.RERANK
 
 
-def fnv(t):
-    h = 2166136261
-    for b in t.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return f"{h:08x}"
-
-
-def test_fnv_of_long_texts_is_linear(spark):
-    rng = random.Random(2)
-    texts = ["".join(rng.choice("abé€ x") for _ in range(rng.choice([0, 1, 40, 300]))) for _ in range(500)] + ["ü" * 300_000, "", None]
-    began = time.time()
-    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.fnv1a32(F.col("t")).alias("h")).collect()
-    assert {r["i"]: r["h"] for r in got} == {i: None if t is None else fnv(t) for i, t in enumerate(texts)}
-    assert time.time() - began < 30
-
-
 def test_sanitiser_counts_run_each_step_once(spark):
     texts = ["a@b.org c@d.org password=x", "Authorization: Bearer abc https://u:p@h/", "", None, "plain"]
     d = spark.createDataFrame(list(enumerate(texts)), "log_id int, text string")
@@ -98,3 +98,15 @@ def test_surroundings_of_a_piece_at_the_ends_of_lines(spark):
     got = mt.find_hits(rows, spark.createDataFrame([(n,) for n in norms], "norm string"), ["log_id"]).collect()
     want = {(i, n, next(k for k, l in enumerate(t.split("\n"), 1) if n in l)) for i, t in enumerate(texts) for n in norms if any(n in l for l in t.split("\n"))}
     assert {(r["log_id"], r["norm"], r["line_no"]) for r in got} == want and len(got) == len(want)
+
+
+def test_mode_summary_evaluates_each_mode_once(spark, monkeypatch):
+    from culprit.plans import labelled
+
+    columns = "log_id int, expected_rank int, labelled boolean, unmatched boolean, false_positive boolean, weak_match boolean"
+    rows, written = [(1, 1, True, False, False, False), (2, 0, True, True, False, False), (3, 2, True, False, True, False), (4, 1, False, False, False, False)], []
+    modes = iter([rows, [(1, 2, *rows[0][2:]), (2, 1, *rows[1][2:]), *rows[2:]]])
+    monkeypatch.setattr(labelled, "evaluated", lambda *_: spark.createDataFrame(next(modes), columns))
+    monkeypatch.setattr(labelled, "stored", lambda d: written.append(d) or d)
+    r = labelled.mode_summary(spark, "").first()
+    assert (r["improved"], r["regressed"], r["unchanged"]) == (1, 1, 1) and len(written) == 2
