@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from culprit.functions import html as ht
 from culprit.functions import signature as sg
 from culprit.functions import text as tx
-from culprit.functions.storage import checkpoint_dir
+from culprit.functions.storage import MANY_FILES, checkpoint_dir, dealt
 from culprit.operators import corpus as cp
 from culprit.operators import match as mt
 from culprit.operators import rules as ru
@@ -201,9 +201,9 @@ def source_tree_files(spark, sf):
     """A tree on disk with one small file for ten parts, and the same files again under a skipped folder."""
     root = scratch(spark, "tree")
     part = demo.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 10).alias("folder"), "p_partkey", "p_name")
-    lines = part.repartition("folder").sortWithinPartitions("folder", "p_partkey").drop("p_partkey")
+    lines = dealt(part, "folder").sortWithinPartitions("folder", "p_partkey").drop("p_partkey")
     for top in ("src", "vendor"):
-        lines.write.partitionBy("folder").option("extension", "php").option("quote", "\u0000").option("sep", "\u0001").csv(f"{root}/{top}")
+        lines.write.options(**MANY_FILES).partitionBy("folder").option("extension", "php").option("quote", "\u0000").option("sep", "\u0001").csv(f"{root}/{top}")
     files = rp.read_source_tree(spark, root, "r")
     return files.select(F.regexp_extract("path", "^src/folder=([0-9]+)/", 1).cast("bigint").alias("folder"), "content")
 
@@ -287,7 +287,7 @@ def cluster_sample_files(spark, sf):
     logs, path = demo.event_logs(spark, sf), scratch(spark, "samples")
     c = cp.gap_clusters(mt.evaluate_logs(logs, RuleSet.from_records(spark, demo.CI_RULES[:2])))
     sc.write_cluster_samples(c, logs, path, text="text")
-    return spark.read.text(path).select("cluster_id", F.col("value").alias("line"))
+    return sc.read_cluster_samples(spark, path).select("cluster_id", F.col("value").alias("line"))
 
 
 # Streams over the same tables; append mode shows what the watermark has closed.
@@ -392,7 +392,7 @@ def match_fingerprints(spark, sf):
 def log_files(spark, sf):
     """Each document as a log file of its own, read back with its path as source."""
     path = scratch(spark, "logs")
-    demo.table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    dealt(demo.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").write.options(**MANY_FILES).partitionBy("doc_id").text(path)
     name = F.regexp_extract("source", "doc_id=(-?[0-9]+)/[^/]*$", 1).cast("bigint")
     return sc.read_logs(spark, path).select(name.alias("log_id"), "text")
 

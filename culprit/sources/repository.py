@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from culprit.functions.storage import in_fewer_tasks
 from culprit.functions.text import trim_space
 
 # --- fixed values: source files and skipped folders, hunk header -------------------------------------------
@@ -97,7 +98,7 @@ def read_source_tree(spark: SparkSession, root: str, repo: str = "") -> DataFram
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     rel = F.substring_index(full, base + "/", -1)
     files = d.select(F.lit(repo).alias("repo"), rel.alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
-    return files.filter(is_source_path(F.col("path")))
+    return in_fewer_tasks(files.filter(is_source_path(F.col("path"))))
 
 
 def join_run_parts(parts: DataFrame, key: str = "run_id") -> DataFrame:

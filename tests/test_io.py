@@ -43,6 +43,27 @@ def test_logs_and_tree(spark, tmp_path):
     assert corpus.read_logs(spark, str(tmp_path)).count() == 4
 
 
+def test_many_small_files(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"in/d{i}").mkdir(parents=True)
+        (tmp_path / f"in/d{i}/f.py").write_text(f"text {i}")
+    logs, tree = corpus.read_logs(spark, str(tmp_path / "in")), rp.read_source_tree(spark, str(tmp_path / "in"))
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert logs.rdd.getNumPartitions() <= few and tree.rdd.getNumPartitions() <= few
+    assert {r["text"] for r in logs.collect()} == {r["content"] for r in tree.collect()} == {f"text {i}" for i in range(300)}
+
+
+def test_cluster_sample_files(spark, tmp_path):
+    logs = spark.range(200).selectExpr("id AS log_id", "concat('line ', id, '\n', 'of ', id % 40) AS text").repartition(8)
+    clusters = logs.groupBy(F.format_string("cluster-%03d", F.col("log_id") % 40).alias("cluster_id")).agg(F.collect_list("log_id").alias("sample_ids"))
+    path = tmp_path / "out"
+    corpus.write_cluster_samples(clusters, logs, str(path), text="text")
+    files = [p for p in path.rglob("*") if p.is_file() and p.parent != path]
+    assert len(files) == 40 and {p.parent.name for p in files} == {f"cluster_id=cluster-{i:03d}" for i in range(40)}  # no checksum files, one file each
+    rows = corpus.read_cluster_samples(spark, str(path)).collect()
+    assert sorted((r["cluster_id"], r["value"]) for r in rows) == sorted((f"cluster-{i % 40:03d}", v) for i in range(200) for v in (f"line {i}", f"of {i % 40}"))
+
+
 def test_repository_text(spark, tmp_path):
     p = tmp_path / "log"
     p.write_text("\x1fh1\x1e1704067200\x1efix: a\x1eme\n\nx.go\nx.go\ny.go\n\x1fbroken\n\x1fh2\x1e1704067201\x1es\n")
