@@ -152,9 +152,8 @@ def label_rates(spark, sf):
 def _two(spark, sf):
     from culprit.operators.rules import RuleSet
 
-    base = results(spark, sf, RuleSet.from_records(spark, demo.RULES[:-1]))
-    cur = results(spark, sf, RuleSet.from_records(spark, demo.RULES[1:]))
-    return base, cur
+    sets = [RuleSet.from_records(spark, r) for r in (demo.RULES[:-1], demo.RULES[1:])]
+    return mt.evaluate_each(demo.logs(spark, sf), sets, source="source")
 
 
 B = f"b AS ({sql.results(demo.RULES[:-1])} SELECT * FROM results), c AS ({sql.results(demo.RULES[1:])} SELECT * FROM results)"
@@ -204,7 +203,7 @@ def new_unmatched_tags(spark, sf):
     """Rules taken out: their logs turn up under new tags."""
     from culprit.operators.rules import RuleSet
 
-    return cp.new_unmatched_tags(results(spark, sf), results(spark, sf, RuleSet.from_records(spark, demo.RULES[:5])))
+    return cp.new_unmatched_tags(*mt.evaluate_each(demo.logs(spark, sf), [demo.rules(spark), RuleSet.from_records(spark, demo.RULES[:5])], source="source"))
 
 
 @register(

@@ -46,6 +46,12 @@ def evaluated(spark, sf, rules=None):
     return lb.evaluate_fixtures(d, fixtures(spark, sf))
 
 
+def evaluated_both(spark, sf):
+    """All rules, and those of ``OTHER``: the texts are scanned once."""
+    sets = [demo.rules(spark), ru.RuleSet.from_records(spark, OTHER)]
+    return [lb.evaluate_fixtures(d, fixtures(spark, sf)) for d in mt.diagnose_each(demo.logs(spark, sf), sets, source="source")]
+
+
 def evaluated_sql(rules=None):
     return f"""({sql.ranked(f''', fx AS ({FIX}), fy AS (SELECT *, CASE WHEN top_n > 0 THEN top_n WHEN fixture_class = 'minimal' THEN 1 ELSE 3 END AS allow,
   CASE WHEN min_confidence > 0 THEN min_confidence WHEN fixture_class = 'real' THEN 0.55 ELSE 0 END AS floor FROM fx),
@@ -147,7 +153,7 @@ OTHER = [r for r in demo.RULES if r["rule_id"] not in ("mixed-markup", "spanish-
  ELSE 'unchanged' END AS change FROM a JOIN b USING (log_id) WHERE b.labelled""",
 )
 def mode_changes(spark, sf):
-    c = lb.compare_modes(evaluated(spark, sf), evaluated(spark, sf, ru.RuleSet.from_records(spark, OTHER)))
+    c = lb.compare_modes(*evaluated_both(spark, sf))
     return c.select("log_id", F.col("baseline_rank").cast("bigint").alias("baseline_rank"), F.col("other_rank").cast("bigint").alias("other_rank"), "change")
 
 
@@ -160,7 +166,7 @@ SELECT improved, regressed, unchanged, b1 AS baseline_top1_rate, o1 AS other_top
  trunc((o1 - b1) * 1000 + 0.5) / 1000 AS top1_delta, trunc((o3 - b3) * 1000 + 0.5) / 1000 AS top3_delta FROM n""",
 )
 def mode_summary(spark, sf):
-    a, b = (stored(e.select("log_id", "expected_rank", "labelled", "unmatched", "false_positive", "weak_match")) for e in (evaluated(spark, sf), evaluated(spark, sf, ru.RuleSet.from_records(spark, OTHER))))
+    a, b = (stored(e.select("log_id", "expected_rank", "labelled", "unmatched", "false_positive", "weak_match")) for e in evaluated_both(spark, sf))
     return lb.mode_summary(lb.report(a), lb.report(b), lb.compare_modes(a, b))
 
 

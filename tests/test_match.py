@@ -54,6 +54,20 @@ def test_empty_and_unmatched(spark):
     assert got == {0: (False, "empty fixture", ""), 1: (False, "empty fixture", ""), 2: (False, "", ""), 3: (True, "", "r")}
 
 
+def test_several_rule_sets_in_one_scan(spark, tmp_path, monkeypatch):
+    from culprit.plans import corpus
+
+    texts = ["the the que und der", "MIT License | ### ***", "", " les que eau é tion", "licensed under cc by-nc 4.0", "plain", None]
+    rows = [(i, t, "s") for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    apart = [corpus.results(spark, str(tmp_path), RuleSet.from_records(spark, r)) for r in (demo.RULES[:-1], demo.RULES[1:])]
+    want = [sorted(map(str, d.collect())) for d in apart]
+    find, scans = mt.find_hits, []
+    monkeypatch.setattr(mt, "find_hits", lambda *a, **k: scans.append(1) or find(*a, **k))
+    got = [sorted(map(str, d.collect())) for d in corpus._two(spark, str(tmp_path))]
+    assert got == want and want[0] != want[1] and len(scans) == 1
+
+
 def _hits(df):
     return sorted((r["log_id"], r["norm"], r["line_no"], r["line"]) for r in df.collect())
 
