@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from culprit.functions import text as tx
@@ -41,15 +43,16 @@ def fixtures(spark, sf):
     return f.withColumn("disallowed", F.array("disallowed_rule"))
 
 
-def evaluated(spark, sf, rules=None):
-    d = mt.diagnose(demo.logs(spark, sf), rules or demo.rules(spark), source="source")
+def evaluated(spark, sf, diagnosed=None):
+    d = diagnosed() if diagnosed else mt.diagnose(demo.logs(spark, sf), demo.rules(spark), source="source")
     return lb.evaluate_fixtures(d, fixtures(spark, sf))
 
 
 def evaluated_both(spark, sf):
     """All rules, and those of ``OTHER``: the texts are scanned once."""
     sets = [demo.rules(spark), ru.RuleSet.from_records(spark, OTHER)]
-    return [lb.evaluate_fixtures(d, fixtures(spark, sf)) for d in mt.diagnose_each(demo.logs(spark, sf), sets, source="source")]
+    each = cache(lambda: mt.diagnose_each(demo.logs(spark, sf), sets, source="source"))
+    return [evaluated(spark, sf, lambda i=i: each()[i]) for i in range(len(sets))]
 
 
 def evaluated_sql(rules=None):
