@@ -111,11 +111,16 @@ HITS = f"""{LINES}, {VALUES}, h0 AS (SELECT s.*, m.rule_id, m.kind, m.signal_id,
  hits AS (SELECT * FROM h0 UNION ALL SELECT * FROM cs)"""
 
 
+def signal_hits(spark, sf):
+    """Signals and broken local idioms, and the rules. The idioms are found from the signals in several steps, so those are kept."""
+    rules = source_rules(spark)
+    h = stored(sc.signal_matches(sc.matched_lines(demo.source_files(spark, sf), rules), rules))
+    return h.unionByName(stored(sc.consistency_matches(h, rules).select(*h.columns))), rules
+
+
 @register("source_signals", f"WITH {HITS} SELECT repo, rule_id, kind, signal_id, label, weight, path, line, scope_key FROM hits")
 def source_signals(spark, sf):
-    rules = source_rules(spark)
-    h = sc.signal_matches(sc.matched_lines(demo.source_files(spark, sf), rules), rules)
-    h = h.unionByName(sc.consistency_matches(h, rules).select(*h.columns))
+    h, _ = signal_hits(spark, sf)
     return h.select("repo", "rule_id", "kind", "signal_id", "label", "weight", "path", F.col("line").cast("bigint").alias("line"), "scope_key")
 
 
@@ -127,9 +132,7 @@ COMPOUND = """cr AS (SELECT rule_id, id AS cid, label AS clabel, scope, CASE WHE
 
 @register("source_compounds", f"WITH {HITS}, {COMPOUND} SELECT repo, rule_id, cid AS signal_id, key, bonus::DOUBLE AS bonus FROM cf")
 def source_compounds(spark, sf):
-    rules = source_rules(spark)
-    h = sc.signal_matches(sc.matched_lines(demo.source_files(spark, sf), rules), rules)
-    h = h.unionByName(sc.consistency_matches(h, rules).select(*h.columns))
+    h, rules = signal_hits(spark, sf)
     return sc.compound_matches(h, rules).select("repo", "rule_id", "signal_id", "key", "bonus")
 
 

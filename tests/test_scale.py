@@ -110,3 +110,16 @@ def test_mode_summary_evaluates_each_mode_once(spark, monkeypatch):
     monkeypatch.setattr(labelled, "stored", lambda d: written.append(d) or d)
     r = labelled.mode_summary(spark, "").first()
     assert (r["improved"], r["regressed"], r["unchanged"]) == (1, 1, 1) and len(written) == 2
+
+
+def test_source_texts_are_scanned_once(spark, monkeypatch):
+    from culprit.plans import demo, sources_scan
+
+    guarded, bare = 'func a(input string) {\n\tdb.Query("x" + input)\n\tvalidate(input)\n}', 'func b(input string) {\n\tdb.Query("y" + input)\n}'
+    files = spark.createDataFrame([("r0", "mod1/examples/a.go", guarded), ("r0", "mod1/examples/b.go", bare), ("r0", "mod1/examples/c.go", None)], "repo string, path string, content string")
+    monkeypatch.setattr(demo, "source_files", lambda *_: files)
+    got = sources_scan.source_signals(spark, "")
+    assert {(r["kind"], r["signal_id"], r["path"][-4:], r["line"]) for r in got.collect()} == {
+        ("trigger", "query", "a.go", 2), ("trigger", "query", "b.go", 2), ("mitigation", "validated", "a.go", 3), ("amplifier", "peers", "b.go", 2)}
+    for d in (got, sources_scan.source_compounds(spark, "")):
+        assert "EvalPython" not in d._jdf.queryExecution().optimizedPlan().toString()  # the scan is behind a table
