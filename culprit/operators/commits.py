@@ -289,6 +289,7 @@ def hotspot_dirs(commits: DataFrame, patterns: DataFrame, n: int = HOTSPOT_DIRS)
 
 def co_change_hints(pairs: DataFrame, patterns: DataFrame, n: int = CO_CHANGE_HINTS) -> DataFrame:
     """Co-change pairs with a matching file on either side."""
+    pairs = stored(pairs)  # read for the files and for both sides
     files = pairs.select("repo", F.explode(F.array("file_a", "file_b")).alias("file"))
     hits = matched_files(files, patterns)
     sides = [pairs.join(hits.withColumnRenamed("file", c), ["repo", c]) for c in ("file_a", "file_b")]

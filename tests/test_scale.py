@@ -123,3 +123,14 @@ def test_source_texts_are_scanned_once(spark, monkeypatch):
         ("trigger", "query", "a.go", 2), ("trigger", "query", "b.go", 2), ("mitigation", "validated", "a.go", 3), ("amplifier", "peers", "b.go", 2)}
     for d in (got, sources_scan.source_compounds(spark, "")):
         assert "EvalPython" not in d._jdf.queryExecution().optimizedPlan().toString()  # the scan is behind a table
+
+
+def test_co_change_pairs_are_formed_once_for_hints(spark):
+    from culprit.operators import commits as cm
+
+    lists = [["a/x_test.go", "go.mod", "b.py"], ["go.mod", "a/x_test.go"], ["b.py", "c.py"], ["c.py", "b.py"], ["d.py", "go.mod"]]
+    commits = spark.createDataFrame([("r", f"h{i}", x) for i, x in enumerate(lists)], "repo string, hash string, files array<string>")
+    patterns = spark.createDataFrame([("lock", "go.mod"), ("lock", "*_test.go"), ("python", "c.*"), ("none", "d.py")], "failure_id string, pattern string")
+    got = cm.co_change_hints(cm.co_change_pairs(commits), patterns)
+    assert sorted(map(tuple, got.collect())) == [("r", "lock", 1, "a/x_test.go <-> go.mod"), ("r", "python", 1, "b.py <-> c.py")]
+    assert "block_a" not in got._jdf.queryExecution().optimizedPlan().toString()  # the pairing is behind a table
