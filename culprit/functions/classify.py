@@ -106,9 +106,9 @@ def is_noise_line(lower: Column) -> Column:
     return out
 
 
-def candidate_score(line: Column) -> Column:
-    """Diagnostic weight of a trimmed line."""
-    lower = F.lower(line)
+def candidate_score(line: Column, lower: Column | None = None) -> Column:
+    """Diagnostic weight of a trimmed line. ``lower``: its lower case, where that is known."""
+    lower = F.lower(line) if lower is None else lower
     score = F.lit(0)
     for w in ERROR_WORDS:
         score = score + F.when(F.contains(lower, F.lit(w)), 3).otherwise(0)

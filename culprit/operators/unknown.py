@@ -24,16 +24,15 @@ def candidate_patterns(
 
     Ranking happens inside the row, so no shuffle is needed; a log is one row already.
     """
-    base = logs.select(log_id, tx.canonicalize_log(F.col(text)).alias("c")).filter("c <> ''")
-    base = base.withColumn("stage", log_stage(F.lower("c")))
-    lines = F.filter(F.split("c", "\n"), lambda l: ~cl.is_noise_line(F.lower(l)))
-    numbered = F.transform(
-        lines,
-        lambda l, i: F.struct(
-            (-cl.candidate_score(l)).alias("neg"), l.alias("line"), F.lower(l).alias("low"), i.alias("i")
-        ),
-    )
-    by_text = F.array_sort(F.transform(numbered, lambda x: F.struct(x["low"].alias("low"), x["i"].alias("i"), x["neg"].alias("neg"), x["line"].alias("line"))))
+    base = logs.select(log_id, tx.canonicalize_log(F.col(text)).alias("c"))
+    # lower case once a line: a lambda computes each expression as often as it is written. An empty log is one empty line, and
+    # dropped as such: a filter on its text would clean the text a second time
+    both = F.transform(F.split("c", "\n"), lambda l: F.struct(F.lower(l).alias("low"), l.alias("line")))
+    base = base.select(log_id, log_stage(F.lower("c")).alias("stage"), both.alias("ls"))
+    lines = F.filter("ls", lambda x: (x["low"] != "") & ~cl.is_noise_line(x["low"]))
+    by_text = F.array_sort(F.transform(lines, lambda x, i: F.struct(
+        x["low"].alias("low"), i.alias("i"), (-cl.candidate_score(x["line"], x["low"])).alias("neg"), x["line"].alias("line")
+    )))
     rows = base.select(log_id, "stage", by_text.alias("xs"))
     # first spelling of a line wins over later ones that differ in case only
     first = F.filter("xs", lambda x, i: (i == 0) | (F.get(F.col("xs"), i - 1)["low"] != x["low"]))

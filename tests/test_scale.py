@@ -134,3 +134,13 @@ def test_co_change_pairs_are_formed_once_for_hints(spark):
     got = cm.co_change_hints(cm.co_change_pairs(commits), patterns)
     assert sorted(map(tuple, got.collect())) == [("r", "lock", 1, "a/x_test.go <-> go.mod"), ("r", "python", 1, "b.py <-> c.py")]
     assert "block_a" not in got._jdf.queryExecution().optimizedPlan().toString()  # the pairing is behind a table
+
+
+def test_candidate_lines_are_cleaned_and_lowered_once(spark):
+    from culprit.operators import unknown as uk
+
+    texts = ["Fatal: no such É\nfatal: no such é\n\n ## x\nok", "", " \n\t\r\n", None, "## only noise", "ok"]
+    got = uk.candidate_patterns(spark.createDataFrame(list(enumerate(texts)), "log_id int, text string"))
+    assert sorted((r["log_id"], r["rank"], r["pattern"], r["score"]) for r in got.collect()) == [(0, 1, "Fatal: no such É", 6), (0, 2, "ok", -2), (5, 1, "ok", -2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<tmp>") == 1 and plan.count("StartsWith(lower(") == 0
