@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from culprit.operators.pattern_index import Filter, buffers, scan
+from culprit.operators.pattern_index import Filter, buffers, part_by_part, scan
 
 _CALLED = re.compile(r"(?:func (?:\([^)]*\)\s*)?|function )([^(]*)\(", re.ASCII)
 _BOUND = re.compile(r"(?:const|let|var) \s*(\S+)", re.ASCII)
@@ -101,4 +101,4 @@ def lines_with_pieces(pieces: Filter, norm: Column, content: Column) -> Column:
         return pa.ListArray.from_arrays(hits.offsets, pa.StructArray.from_arrays(fields, names=["code", "piece", "line_no", "line", "function", "depth"]))
 
     kind = "array<struct<code:tinyint,piece:bigint,line_no:int,line:string,function:string,depth:int>>"
-    return F.arrow_udf(run, kind).asNondeterministic()(norm, content)  # so that the planner runs it once
+    return part_by_part(run, kind)(norm, content)

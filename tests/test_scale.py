@@ -6,6 +6,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from culprit.functions import scopes
 from culprit.functions import text as tx
 from culprit.operators import match as mt
 from culprit.operators import pattern_index
@@ -100,6 +101,34 @@ def test_surroundings_of_a_piece_at_the_ends_of_lines(spark):
     assert {(r["log_id"], r["norm"], r["line_no"]) for r in got} == want and len(got) == len(want)
 
 
+def test_rows_of_a_part_leave_a_scan_before_the_next_part(spark, monkeypatch):
+    norms = ["ab", "needle in a long text", "çé"]
+    index = pattern_index.PatternIndex.build(spark.createDataFrame([(n,) for n in norms], "norm string"))
+    texts = [None, "ab", "", "x" * 30 + "\nneedle in a long text", "çé ab\n" * 9, "çé", None, "y" * 50, "ab\nçé"]
+    made, real = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: made.append(f) or real(f, kind))
+    index.hits(F.col("norm"), F.col("canonical"))
+    scopes.lines_with_pieces(index.filter(), F.col("norm"), F.col("content"))
+    monkeypatch.setattr(pattern_index, "PART", 40)
+    batch, read = pa.array(texts), []
+    for run in made:
+        out = run((read.append(1) or b) for b in [(batch, batch), (batch[:0], batch[:0]), (batch, batch)])
+        found = [next(out)]
+        assert 0 < len(found[0]) < len(texts) and read == [1]  # rows of one part, while the rest of the batch waits
+        found += out
+        assert len(found) > 6 and sum(map(len, found)) == 2 * len(texts) and len(read) == 3
+        read.clear()
+        if run is made[0]:
+            whole = pattern_index.surroundings(batch, batch, index.filter(), index.reach).to_pylist()
+            assert [x for f in found for x in f.to_pylist()] == whole * 2
+
+    long = [*texts, *("z" * 3_000_000 + f"\nab {i}\nneedle in a long text" for i in range(3)), "ab"]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(long)], "log_id int, norm string, canonical string").coalesce(1)
+    got = mt.find_hits(rows, index, ["log_id"]).collect()
+    want = {(i, n, next(l for l in t.split("\n") if n in l)) for i, t in enumerate(long) for n in norms if n in (t or "")}
+    assert {(r["log_id"], r["norm"], r["line"]) for r in got} == want and len(got) == len(want)
+
+
 def test_mode_summary_evaluates_each_mode_once(spark, monkeypatch):
     from culprit.plans import labelled
 
