@@ -173,3 +173,18 @@ def test_candidate_lines_are_cleaned_and_lowered_once(spark):
     assert sorted((r["log_id"], r["rank"], r["pattern"], r["score"]) for r in got.collect()) == [(0, 1, "Fatal: no such É", 6), (0, 2, "ok", -2), (5, 1, "ok", -2)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("<tmp>") == 1 and plan.count("StartsWith(lower(") == 0
+
+
+def test_an_index_sends_no_pieces_through_the_driver(spark, monkeypatch):
+    """However small the planner takes the tables for: there are several pieces to a pattern, and its files say little of rows."""
+    norms = [f" w{i} of w{i % 7} " for i in range(40)] + ["ab", "ü" * 9, None, ""]
+    plans, real = [], pattern_index.stored
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(pattern_index, "stored", lambda d: plans.append(plan(d)) or real(d))
+    monkeypatch.setattr(pattern_index, "MANY", 10, raising=False)
+    index = pattern_index.PatternIndex.build(spark.createDataFrame([(n,) for n in norms], "norm string"))
+    texts = ["x ab w3 of w3 y", "ü" * 12 + " w39 of w4 ", None, ""]
+    logs = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "log_id int, norm string, canonical string")
+    got = mt.find_hits(logs, index, ["log_id"])
+    assert {(r["log_id"], r["norm"]) for r in got.collect()} == {(i, n) for i, t in enumerate(texts) for n in norms if n and n in (t or "")}
+    assert plans and not any("Broadcast" in p for p in [*plans, plan(got)])
