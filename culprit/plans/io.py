@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from culprit.functions import html as ht
 from culprit.functions import signature as sg
 from culprit.functions import text as tx
-from culprit.functions.storage import MANY_FILES, checkpoint_dir, dealt
+from culprit.functions.storage import checkpoint_dir
 from culprit.operators import corpus as cp
 from culprit.operators import match as mt
 from culprit.operators import rules as ru
@@ -17,6 +17,7 @@ from culprit.plans import demo, sql
 from culprit.plans.sql import any_of, lit, sub
 from culprit.plans.texts import CLUSTER, evidence_line_sql
 from culprit.sources import corpus as sc
+from culprit.sources import files as ff
 from culprit.sources import history as sh
 from culprit.sources import repository as rp
 from culprit.streaming import jobs
@@ -201,9 +202,8 @@ def source_tree_files(spark, sf):
     """A tree on disk with one small file for ten parts, and the same files again under a skipped folder."""
     root = scratch(spark, "tree")
     part = demo.table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 10).alias("folder"), "p_partkey", "p_name")
-    lines = dealt(part, "folder").sortWithinPartitions("folder", "p_partkey").drop("p_partkey")
     for top in ("src", "vendor"):
-        lines.write.options(**MANY_FILES).partitionBy("folder").option("extension", "php").option("quote", "\u0000").option("sep", "\u0001").csv(f"{root}/{top}")
+        ff.write_lines(part, f"{root}/{top}", "folder", "p_name", ["p_partkey"], "php")
     files = rp.read_source_tree(spark, root, "r")
     return files.select(F.regexp_extract("path", "^src/folder=([0-9]+)/", 1).cast("bigint").alias("folder"), "content")
 
@@ -392,7 +392,7 @@ def match_fingerprints(spark, sf):
 def log_files(spark, sf):
     """Each document as a log file of its own, read back with its path as source."""
     path = scratch(spark, "logs")
-    dealt(demo.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").write.options(**MANY_FILES).partitionBy("doc_id").text(path)
+    ff.write_lines(demo.table(spark, sf, "documents"), path, "doc_id", "text")
     name = F.regexp_extract("source", "doc_id=(-?[0-9]+)/[^/]*$", 1).cast("bigint")
     return sc.read_logs(spark, path).select(name.alias("log_id"), "text")
 

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from culprit.functions import text as tx
-from culprit.functions.storage import MANY_FILES, dealt, in_fewer_tasks
 from culprit.operators.labelled import prepare_fixtures
+from culprit.sources import files
 
 HISTORY_SCHEMA = "matched BOOLEAN, failure_id STRING, severity STRING"
 RESULT_SCHEMA = (
@@ -76,8 +76,7 @@ def read_corpus_csv(
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """One log per file; the path is its source."""
-    d = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return in_fewer_tasks(d.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")))
+    return files.whole_texts(spark, path).withColumnRenamed("value", "text")
 
 
 def read_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -108,12 +107,13 @@ def read_fixtures(spark: SparkSession, path: str, default_class: str = "minimal"
 
 def write_cluster_samples(clusters: DataFrame, corpus: DataFrame, path: str, log_id: str = "log_id", text: str = "raw") -> None:
     """Texts of the clusters' sample logs, one folder with one file per cluster."""
-    dealt(cluster_samples(clusters, corpus, log_id, text), "cluster_id").write.options(**MANY_FILES).partitionBy("cluster_id").text(path)
+    files.write_lines(cluster_samples(clusters, corpus, log_id, text), path, "cluster_id", "value")
 
 
 def read_cluster_samples(spark: SparkSession, path: str) -> DataFrame:
     """``cluster_id, value``: the lines of :func:`write_cluster_samples`."""
-    return in_fewer_tasks(spark.read.text(path).select("cluster_id", "value"))
+    texts = files.whole_texts(spark, path)
+    return texts.select(files.key_of(F.col("source"), "cluster_id").alias("cluster_id"), F.explode(files.lines_of(F.col("value"))).alias("value"))
 
 
 def cluster_samples(clusters: DataFrame, corpus: DataFrame, log_id: str = "log_id", text: str = "raw") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from culprit.functions.storage import in_fewer_tasks
 from culprit.functions.text import trim_space
+from culprit.sources.files import whole_texts
 
 # --- fixed values: source files and skipped folders, hunk header -------------------------------------------
 SOURCE_EXTENSIONS = [".go", ".js", ".jsx", ".ts", ".tsx", ".py", ".java", ".rb", ".php", ".cs", ".kt", ".yaml", ".yml"]
@@ -93,12 +93,13 @@ def is_source_path(path: Column) -> Column:
 
 def read_source_tree(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
     """``files(repo, path, content)`` below a folder, with slash paths relative to it."""
-    d = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    full = F.col("_metadata.file_path")
     base = root.rstrip("/").split("://")[-1].lstrip("/")
-    rel = F.substring_index(full, base + "/", -1)
-    files = d.select(F.lit(repo).alias("repo"), rel.alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
-    return in_fewer_tasks(files.filter(is_source_path(F.col("path"))))
+
+    def rel(full: Column) -> Column:
+        return F.substring_index(full, base + "/", -1)
+
+    d = whole_texts(spark, root, lambda full: is_source_path(rel(full)))
+    return d.select(F.lit(repo).alias("repo"), rel(F.col("source")).alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
 
 
 def join_run_parts(parts: DataFrame, key: str = "run_id") -> DataFrame:
