@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from culprit.functions.storage import stored
+from culprit.functions.storage import release, stored
 from culprit.llm import bpe_transducer, entropy_mix, line_dedup, quality_crf, rows, shingle_sets
 
 WORDS, BITS = 5, 4  # of the near-duplicate stage: 60 of 64 bits agree, or four fifths of the shingles
@@ -62,9 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = rows.table(spark, sf_dir, "documents")
+    docs, before = rows.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs)
+            release(*before)
+            before = [docs]
     return docs

@@ -9,7 +9,9 @@ One pass over each sorted part drops members that one set holds and compares eve
 two leaders: the first one of its size band, for two ways to cut sizes into bands. A pair goes on if
 the places of the member, and the marks of the two sets, leave room for enough common members; then it is
 verified by the exact overlap of the two sets. A mark is a bitmap of 1,024 bits: each bit of one that the
-other lacks is a member that is not shared. Holders of a member that are still not connected are
+other lacks is a member that is not shared. A set of more members fills it, so it has a wide mark too, of a bit
+or two a member; whole sets are shuffled only for pairs that both marks leave open, and texts only if one of
+``BUCKETS`` hashes, which are broadcast, is that of a text asked for. Holders of a member that are still not connected are
 compared pair by pair, by size class, large groups in the blocks of a grid; there marks are compared
 inside the join, so that only pairs that may be alike come out of it.
 
@@ -33,6 +35,7 @@ from culprit.llm import rows, simhash_trie
 from culprit.llm.components import components
 
 SAMPLE, OFTEN, RANKED = 10_000, 4, 1 << 17  # documents that the order is made from; its commonest shingles
+BUCKETS = 1 << 20  # hashes of the texts that are made into sets
 GROWTH = 1.25  # a set's partners are at most so many times as long
 MARK = 16  # numbers of 64 bits
 CROWD = 32  # holders of one member and size class
@@ -70,12 +73,22 @@ def mark(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def wide_mark(s: np.ndarray) -> np.ndarray:
+    """Of a set that fills its mark, the bitmap of as many bits as it has members, up to a power of two. Halves laid
+    over each other are the bitmap of half as many bits."""
+    if len(s) <= 64 * MARK:
+        return np.zeros(0, np.int64)
+    bits = np.zeros(1 << (len(s) - 1).bit_length(), np.uint8)
+    bits[(s >> np.uint64(20)).astype(np.int64) % len(bits)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def described(body: Column, words: int, often: tuple[np.ndarray, np.ndarray]) -> Column:
-    """``fp``, hash of the set (``node``), its size ``n``, its ``mark`` and its first members in the order."""
+    """``fp``, hash of the set (``node``), its size ``n``, its ``mark``, ``wide`` mark and its first members in the order."""
     ranked, counts = often
 
     def run(texts: pa.Array) -> pa.Array:
-        fps, nodes, sizes, marks, firsts = [], [], [], [], []
+        fps, nodes, sizes, marks, wides, firsts = [], [], [], [], [], []
         for t in texts:  # one text at a time in Python's memory
             hashes = list(simhash_trie.shingle_hashes(t.as_py(), words))
             fps.append(simhash_trie.majority(hashes))
@@ -89,11 +102,12 @@ def described(body: Column, words: int, often: tuple[np.ndarray, np.ndarray]) ->
             nodes.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
             sizes.append(n)
             marks.append(mark(s))
+            wides.append(wide_mark(s))
             firsts.append(first.view(np.int64))
-        columns = [pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(columns, ["fp", "node", "n", "mark", "first"])
+        columns = [pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(marks, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["fp", "node", "n", "mark", "wide", "first"])
 
-    return F.arrow_udf(run, "struct<fp: bigint, node: bigint, n: int, mark: array<bigint>, first: array<bigint>>")(body)
+    return F.arrow_udf(run, "struct<fp: bigint, node: bigint, n: int, mark: array<bigint>, wide: array<bigint>, first: array<bigint>>")(body)
 
 
 def _enough(overlap, n, m):
@@ -150,10 +164,30 @@ def _room_by_marks(n: Column, a: Column, m: Column, b: Column) -> Column:
     return _enough(F.least(n - alone[0], m - alone[1]), n, m)
 
 
+def _room_by_wide_marks(n: Column, a: Column, m: Column, b: Column) -> Column:
+    """The same by wide marks, the longer one folded. Sets that differ more in size are not told apart here."""
+
+    def folded(x: Column, to: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) <= F.size(to), x).otherwise(F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q)))
+
+    def alone(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+
+    x, y = folded(a, b), folded(b, a)
+    few = (F.size(a) == 0) | (F.size(b) == 0) | (F.greatest(F.size(a), F.size(b)) > 2 * F.least(F.size(a), F.size(b)))
+    return F.when(few, F.lit(True)).otherwise(_enough(F.least(n - alone(x, y), m - alone(y, x)), n, m))
+
+
 def _roomy(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("mark").alias(f"mark_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(_room_by_marks(F.col("n_a"), F.col("mark_a"), F.col("n_b"), F.col("mark_b"))).select("a", "b")
+    """Pairs that the marks leave open, and the wide marks of what is left."""
+
+    def kept(open_pairs: DataFrame, mark: str, room) -> DataFrame:
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col(mark).alias(f"mark_{c}"))
+        both = open_pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.filter(room(F.col("n_a"), F.col("mark_a"), F.col("n_b"), F.col("mark_b"))).select("a", "b")
+
+    return kept(kept(pairs, "mark", _room_by_marks), "wide", _room_by_wide_marks)
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -161,7 +195,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int) -
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(asked, "node").select("node", "doc", "key")
     texts = docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(rows.body(docs)).alias("key"), rows.body(docs).alias("body"))
-    found = texts.join(wanted, ["doc", "key"]).dropDuplicates(["node"])
+    bucket = F.pmod(F.xxhash64("doc", "key"), F.lit(BUCKETS)).alias("bucket")
+    some = texts.withColumn("bucket", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    found = some.join(wanted, ["doc", "key"]).dropDuplicates(["node"])
     sets = stored(found.select("node", _sets(F.col("body").cast("binary"), words).alias("s")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     done = stored(both.filter(_enough(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b"))
@@ -208,7 +244,7 @@ def _every_pair(left: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, firsts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``a, b``: links that join all sets with an index of at least 0.8, directly or over others. ``firsts(node, n, first)``
-    has one row for each set, ``nodes(node, n, mark, doc, key)`` one text for each."""
+    has one row for each set, ``nodes(node, n, mark, wide, doc, key)`` one text for each."""
     postings = firsts.select("node", F.col("n").cast("bigint").alias("n"), F.posexplode("first").alias("i", "h"))
     packed = postings.select("h", (F.shiftleft("n", 32) + F.col("i")).alias("ni"), "node")
     met = stored(packed.repartition("h").sortWithinPartitions("h", "ni", "node").mapInArrow(_meet, "h bigint, ni bigint, node bigint, first bigint, second bigint"))
@@ -229,8 +265,8 @@ def near_copies(docs: DataFrame, words: int, bits: int) -> DataFrame:
     found = docs.select(rows.doc_number(docs).alias("doc"), F.xxhash64(body).alias("key"), described(body.cast("binary"), words, often).alias("r"))
     found = stored(found.select("doc", "key", "r.*"))
     some = found.filter("n > 0")
-    nodes = some.groupBy("node").agg(F.min("fp").alias("least"), F.any_value("n").alias("n"), F.any_value("mark").alias("mark"), F.min(F.struct("doc", "key")).alias("one"))
-    nodes = stored(nodes.select("node", "least", "n", "mark", "one.*"))
+    nodes = some.groupBy("node").agg(F.min("fp").alias("least"), F.any_value("n").alias("n"), F.any_value("mark").alias("mark"), F.any_value("wide").alias("wide"), F.min(F.struct("doc", "key")).alias("one"))
+    nodes = stored(nodes.select("node", "least", "n", "mark", "wide", "one.*"))
     # copies have one set: its members leave the rows before they are exploded
     firsts = some.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("first").alias("first"))
     alike = links(docs, firsts, nodes, words)
